@@ -20,6 +20,7 @@ def local_session(cores: int = 8, name: str = "cairn", partitions: int | None =
         .appName(name)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
     )
     for key, value in SETTINGS.items():
