@@ -30,6 +30,7 @@ def query(name: str, sql: str | None = None):
 _MODULES: tuple[str, ...] = (
     "selection",
     "adjustment",
+    "tables",
 )
 
 
