@@ -31,6 +31,7 @@ _MODULES: tuple[str, ...] = (
     "selection",
     "adjustment",
     "tables",
+    "coordinates",
 )
 
 
