@@ -32,6 +32,7 @@ _MODULES: tuple[str, ...] = (
     "adjustment",
     "tables",
     "coordinates",
+    "accuracy",
 )
 
 
