@@ -33,6 +33,7 @@ _MODULES: tuple[str, ...] = (
     "tables",
     "coordinates",
     "accuracy",
+    "models",
 )
 
 

@@ -73,7 +73,7 @@ def float_equations(stations: DataFrame, initial: DataFrame | None = None, ell:
             F.struct(
                 F.concat(F.lit("float|"), F.col("code"), F.lit(f"|{a}")).alias("obs_key"),
                 away[a].alias("misclosure"),
-                (1.0 / (error[a] * error[a])).alias("weight"),
+                F.try_divide(F.lit(1.0), error[a] * error[a]).alias("weight"),
                 F.array(
                     F.struct(F.concat(F.col("code"), F.lit(f"|{a}")).alias("param"), F.lit(1.0).alias("coef"))
                 ).alias("design"),
@@ -109,7 +109,7 @@ def colocation_equations(pairs: DataFrame, stations: DataFrame, ell: Ellipsoid =
             F.struct(
                 F.concat(F.lit("coloc|"), F.col("a"), F.lit("|"), F.col("b"), F.lit(f"|{a_}")).alias("obs_key"),
                 gap[a_].alias("misclosure"),
-                (1.0 / (error[a_] * error[a_])).alias("weight"),
+                F.try_divide(F.lit(1.0), error[a_] * error[a_]).alias("weight"),
                 F.array_compact(F.array(term("b", a_, 1.0), term("a", a_, -1.0))).alias("design"),
                 (error[a_] > 0).alias("_on"),
             )

@@ -20,7 +20,8 @@ def merge_parameters(equations: DataFrame, links: DataFrame) -> DataFrame:
 
     groups = connected_components(links.select(F.col("param").alias("a"), F.col("same_as").alias("b")))
     flat = equations.withColumn("_eq", F.monotonically_increasing_id())
-    terms = flat.select("_eq", F.explode("design").alias("_t")).select("_eq", "_t.param", "_t.coef")
+    terms = flat.select("_eq", F.explode_outer("design").alias("_t")).select("_eq", "_t.param", "_t.coef")
+    terms = terms.filter("param IS NOT NULL")
     terms = terms.join(groups, F.col("param") == F.col("node"), "left").groupBy(
         "_eq", F.coalesce("component", "param").alias("param")
     ).agg(F.sum("coef").alias("coef"))
@@ -46,7 +47,8 @@ def eliminate_set_unknowns(
     small = sizes.filter(F.col("_terms") <= limit)
     terms = (
         grouped.join(small.select(set_id), set_id, "left_semi")
-        .select(set_id, (F.col("weight") * F.col(coef)).alias("_w"), F.explode("design").alias("_t"))
+        .select(set_id, (F.col("weight") * F.col(coef)).alias("_w"), F.explode_outer("design").alias("_t"))
+        .filter("_t IS NOT NULL")
         .groupBy(set_id, F.col("_t.param").alias("param"))
         .agg(F.sum(F.col("_w") * F.col("_t.coef")).alias("coef"))
     )
@@ -84,7 +86,7 @@ def set_unknown_values(
     if solution is not None:
         rows = rows.withColumn("_eq", F.monotonically_increasing_id())
         moved = (
-            rows.select("_eq", F.explode("design").alias("_t"))
+            rows.select("_eq", F.explode_outer("design").alias("_t"))
             .join(solution, F.col("_t.param") == F.col("param"))
             .groupBy("_eq")
             .agg(F.sum(F.col("_t.coef") * F.col("x")).alias("_m"))
@@ -120,7 +122,8 @@ def normal_cells(equations: DataFrame) -> DataFrame:
     )
     return (
         equations.select("weight", bordered.alias("_d"))
-        .select(F.inline(products))
+        # The outer form keeps the planner from copying the design's arithmetic into a filter on its size.
+        .select(F.inline_outer(products))
         .groupBy("row", "col")
         .agg(F.sum("value").alias("value"))
     )

@@ -183,11 +183,12 @@ def design_rows(
     ax = enu_axes(F.col("_f_glon"), F.col("_f_glat"))
     d = [F.col("dx"), F.col("dy"), F.col("dz")]
     hz2, ch2 = F.col("_hz") ** 2, F.col("_chord") ** 2
-    local_az = [F.col("_n") / hz2, -F.col("_e") / hz2, F.lit(0.0)]
+    # A plumb line has no direction: its gradients come out null rather than failing the job.
+    local_az = [F.try_divide("_n", hz2), F.try_divide(-F.col("_e"), hz2), F.lit(0.0)]
     local_zd = [
-        F.col("_u") * F.col("_e") / (F.col("_hz") * ch2),
-        F.col("_u") * F.col("_n") / (F.col("_hz") * ch2),
-        -F.col("_hz") / ch2,
+        F.try_divide(F.col("_u") * F.col("_e"), F.col("_hz") * ch2),
+        F.try_divide(F.col("_u") * F.col("_n"), F.col("_hz") * ch2),
+        F.try_divide(-F.col("_hz"), ch2),
     ]
 
     def in_xyz(local: list[Column], k: int) -> Column:
@@ -195,7 +196,7 @@ def design_rows(
 
     out = out.withColumns(
         {
-            f"_g{k}": F.when(kind.isin(*DISTANCES), d[k] / F.col("_chord"))
+            f"_g{k}": F.when(kind.isin(*DISTANCES), F.try_divide(d[k], F.col("_chord")))
             .when(kind.isin("AZ", "HA"), in_xyz(local_az, k))
             .when(kind == "ZD", in_xyz(local_zd, k))
             for k in range(3)
@@ -222,7 +223,7 @@ def design_rows(
         {
             "misclosure": misclosure,
             "design": F.array_compact(F.array(*terms, *extra)),
-            "weight": 1.0 / (F.col("error") * F.col("error")),
+            "weight": F.try_divide(F.lit(1.0), F.col("error") * F.col("error")),
         }
     )
 
@@ -275,7 +276,7 @@ def point_rows(df: DataFrame, ell: Ellipsoid = GRS80) -> DataFrame:
             "calc": calc,
             "misclosure": F.when(kind == "LN", wrap_angle(F.col("value") - calc)).otherwise(F.col("value") - calc),
             "design": F.array_compact(F.array(*_terms("f", "from_code", coefs, "enu", free))),
-            "weight": 1.0 / (F.col("error") * F.col("error")),
+            "weight": F.try_divide(F.lit(1.0), F.col("error") * F.col("error")),
         }
     )
 

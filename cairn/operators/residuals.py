@@ -14,6 +14,8 @@ from cairn.functions.ellipsoid import LOWER, enu_axes, rotate_covariance, to_enu
 
 # A residual whose own error is below this share of the observation's has no meaningful ratio.
 CERTAIN = 1.0e-4
+# Square metres below which a direction of a residual covariance counts as fixed.
+NIL_VARIANCE = 1.0e-10
 
 
 def residual_rows(equations: DataFrame, solution: DataFrame, inverse: DataFrame | None = None) -> DataFrame:
@@ -24,7 +26,8 @@ def residual_rows(equations: DataFrame, solution: DataFrame, inverse: DataFrame
     stored ones, so two joins by key give it without any full matrix.
     """
     key = ["obs_key", "component"]
-    terms = equations.select(*key, F.explode("design").alias("t")).select(*key, "t.param", "t.coef")
+    # The outer form keeps the planner from copying the design's arithmetic into a filter on its size.
+    terms = equations.select(*key, F.explode_outer("design").alias("t")).select(*key, "t.param", "t.coef")
     moved = terms.join(solution.select("param", "x"), "param").groupBy(*key).agg(
         F.sum(F.col("coef") * F.col("x")).alias("_shift")
     )
@@ -36,7 +39,7 @@ def residual_rows(equations: DataFrame, solution: DataFrame, inverse: DataFrame
         return out.drop("_shift").withColumn("error", error)
     pairs = equations.select(
         *key,
-        F.inline(
+        F.inline_outer(
             F.flatten(
                 F.transform(
                     "design",
@@ -66,13 +69,11 @@ def residual_rows(equations: DataFrame, solution: DataFrame, inverse: DataFrame
 def vector_sres(df: DataFrame, res: str = "res_vec", cov: str = "res_cov") -> DataFrame:
     """Standardised length ``sqrt(v' C^-1 v / rank)`` of a residual vector and the rank of its covariance.
 
-    A pivot that is nothing beside its diagonal drops its direction, as happens for a baseline the
-    network fixes in one direction.
+    A pivot below ``NIL_VARIANCE`` drops its direction, as happens for a baseline the network fixes in one direction.
     """
     v = [F.element_at(res, i + 1) for i in range(3)]
     c = {ij: F.element_at(cov, k + 1) for k, ij in enumerate(LOWER)}
-    eps = 1.0e-8
-    out = df.withColumns({"_on1": c[0, 0] > 0.0, "_p1": c[0, 0]})
+    out = df.withColumns({"_on1": c[0, 0] >= NIL_VARIANCE, "_p1": c[0, 0]})
     out = out.withColumns(
         {
             "_l21": F.when(F.col("_on1"), c[1, 0] / F.col("_p1")).otherwise(0.0),
@@ -80,11 +81,11 @@ def vector_sres(df: DataFrame, res: str = "res_vec", cov: str = "res_cov") -> Da
         }
     )
     out = out.withColumn("_p2", c[1, 1] - F.col("_l21") * c[1, 0])
-    out = out.withColumn("_on2", F.col("_p2") > eps * F.abs(c[1, 1]))
+    out = out.withColumn("_on2", F.col("_p2") >= NIL_VARIANCE)
     out = out.withColumn("_c32", c[2, 1] - F.col("_l31") * c[1, 0])
     out = out.withColumn("_l32", F.when(F.col("_on2"), F.col("_c32") / F.col("_p2")).otherwise(0.0))
     out = out.withColumn("_p3", c[2, 2] - F.col("_l31") * c[2, 0] - F.col("_l32") * F.col("_c32"))
-    out = out.withColumn("_on3", F.col("_p3") > eps * F.abs(c[2, 2]))
+    out = out.withColumn("_on3", F.col("_p3") >= NIL_VARIANCE)
     out = out.withColumn("_y2", v[1] - F.col("_l21") * v[0])
     out = out.withColumn("_y3", v[2] - F.col("_l31") * v[0] - F.col("_l32") * F.col("_y2"))
     part = lambda on, y, p: F.when(F.col(on), y * y / F.col(p)).otherwise(0.0)
@@ -236,17 +237,14 @@ def vector_view(vec: Column, cov: Column, lon: Column, lat: Column, topocentric:
     """A vector with its standard errors, length and the length's error, in X/Y/Z or east/north/up."""
     v = [F.element_at(vec, i + 1) for i in range(3)]
     c = [F.element_at(cov, i + 1) for i in range(6)]
+    # Length and its error do not depend on the axes, so they come from the vector as given.
+    length = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    quad = F.lit(0.0)
+    for value, (i, j) in zip(c, LOWER):
+        quad = quad + (1.0 if i == j else 2.0) * v[i] * v[j] * value
     if topocentric:
         c = rotate_covariance(c, enu_axes(lon, lat))
         v = list(to_enu(lon, lat, *v))
-    length = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
-    full = {}
-    for value, (i, j) in zip(c, LOWER):
-        full[i, j] = full[j, i] = value
-    quad = F.lit(0.0)
-    for i in range(3):
-        for j in range(3):
-            quad = quad + v[i] * v[j] * full[i, j]
     return {
         "v1": v[0], "v2": v[1], "v3": v[2],
         "s1": F.sqrt(c[0]), "s2": F.sqrt(c[2]), "s3": F.sqrt(c[5]),
