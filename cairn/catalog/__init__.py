@@ -34,6 +34,7 @@ _MODULES: tuple[str, ...] = (
     "coordinates",
     "accuracy",
     "models",
+    "ingest",
 )
 
 

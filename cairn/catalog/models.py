@@ -159,7 +159,7 @@ SELECT obs_key, concat(to_code, '|n') AS param, round((gz * cos(tla) - sin(tla)
 UNION ALL SELECT obs_key, concat(from_code, '|e'), round((gx * sin(flo) - gy * cos(flo)) * 1e6, 6) FROM x""",
 )
 def _(t):
-    rows = O.design_rows(_lines(t, "AZ")).select("obs_key", "from_code", "to_code", F.explode("design").alias("d"))
+    rows = O.design_rows(_lines(t, "AZ")).select("obs_key", "from_code", "to_code", F.explode_outer("design").alias("d"))
     wanted = F.concat("to_code", F.lit("|n")), F.concat("from_code", F.lit("|e"))
     return rows.filter((F.col("d.param") == wanted[0]) | (F.col("d.param") == wanted[1])).select(
         "obs_key", "d.param", F.round(F.col("d.coef") * 1e6, 6).alias("coef")
@@ -336,7 +336,7 @@ def _(t):
     links = t.mixed.filter("class_party IN ('P2', 'P3')").select(
         F.concat(F.lit("distsf|"), "class_party").alias("param"), F.when(F.col("class_party") == "P2", "distsf|P1").otherwise("distsf|P2").alias("same_as")
     ).distinct()
-    merged = N.merge_parameters(eq, links).select(F.explode("design").alias("d"))
+    merged = N.merge_parameters(eq, links).select(F.explode_outer("design").alias("d"))
     return merged.groupBy("d.param").agg(F.count("*").alias("n"), F.round(F.sum("d.coef"), 6).alias("total"))
 
 

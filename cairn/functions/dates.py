@@ -35,58 +35,37 @@ def same_date(a: Column, b: Column) -> Column:
     return F.abs(a - b) < F.lit(SAME_DATE_DAYS)
 
 
-_MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC"
-
-
-def _month(text: Column) -> Column:
-    named = F.ceil(F.instr(F.lit(_MONTHS), F.upper(F.substring(text, 1, 3))) / 4.0).cast("int")
-    is_name = text.rlike("^[A-Za-z]{3,}$") & F.lit(_MONTHS).contains(F.upper(F.substring(text, 1, 3)))
-    return F.when(is_name, named).otherwise(text.try_cast("int"))
-
-
-def _civil(year: Column, month: Column, day: Column, hms: Column) -> Column:
-    """Day number of checked calendar parts; day 31 of a short month runs on into the next."""
-    hour = F.regexp_extract(hms, r"^\D*(\d{1,2})", 1).try_cast("int")
-    minute = F.regexp_extract(hms, r"^\D*\d{1,2}\D+(\d{1,2})", 1).try_cast("int")
-    second = F.regexp_extract(hms, r"^\D*\d{1,2}\D+\d{1,2}\D+(\d{1,2})", 1).try_cast("int")
-    hour, minute, second = (F.coalesce(c, F.lit(0)) for c in (hour, minute, second))
-    ok = (
-        year.between(1000, 4000)
-        & month.between(1, 12)
-        & day.between(1, 31)
-        & hour.between(0, 24)
-        & minute.between(0, 59)
-    )
-    first = F.try_make_timestamp_ntz(year, month, F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    days = F.datediff(F.to_date(first), F.lit("1970-01-01").cast("date")) + day - 1
-    return F.when(ok, days + (hour * 3600 + minute * 60 + second) / F.lit(86400.0))
-
-
 def parse_date(text: Column, now: Column | None = None) -> Column:
     """Day number of ``Y-M-D [h:m:s]``, ``D-M-Y [h:m:s]``, a decimal year or ``now``; NULL when unreadable.
 
-    Months may be numbers or names, and any punctuation separates the parts.
+    Months may be numbers or names, and any punctuation, or none between letters and digits, separates the parts.
     """
     t = F.trim(text)
-    month = r"(\d{1,2}|[A-Za-z]{3,})"
-    ymd = rf"^(\d{{4}})[^0-9A-Za-z]*{month}[^0-9A-Za-z]*(\d{{1,2}})(?:\D(.*))?$"
-    dmy = rf"^(\d{{1,2}})[^0-9A-Za-z]*{month}[^0-9A-Za-z]*(\d{{4}})(?:\D(.*))?$"
-
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(t, pattern, i)
-
-    by_ymd = F.when(
-        t.rlike(ymd),
-        _civil(part(ymd, 1).try_cast("int"), _month(part(ymd, 2)), part(ymd, 3).try_cast("int"), part(ymd, 4)),
+    spaced = F.regexp_replace(t, r"[^0-9A-Za-z]+|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", " ")
+    tidy = F.initcap(F.trim(F.regexp_replace(spaced, r"([A-Za-z]{3})[A-Za-z]+", "$1")))
+    parts = F.split(tidy, " ")
+    head = F.array_join(F.slice(parts, 1, 3), " ")
+    name_second = head.rlike("[A-Za-z]")
+    year_first = head.rlike(r"^[0-9]{4} ")
+    date = F.coalesce(
+        F.when(year_first & ~name_second, F.try_to_date(head, "y M d")),
+        F.when(year_first & name_second, F.try_to_date(head, "y MMM d")),
+        F.when(~year_first & name_second, F.try_to_date(head, "d MMM y")),
+        F.when(~year_first & ~name_second, F.try_to_date(head, "d M y")),
+    )
+    clock = F.slice(parts, 4, 3)
+    hms = F.aggregate(
+        F.zip_with(clock, F.array(F.lit(3600), F.lit(60), F.lit(1)), lambda c, w: F.coalesce(c.try_cast("int"), F.lit(0)) * w),
+        F.lit(0),
+        lambda total, v: total + F.coalesce(v, F.lit(0)),
     )
-    by_dmy = F.when(
-        t.rlike(dmy),
-        _civil(part(dmy, 3).try_cast("int"), _month(part(dmy, 2)), part(dmy, 1).try_cast("int"), part(dmy, 4)),
+    by_parts = F.when(
+        F.year(date).between(1000, 4000), F.datediff(date, F.lit("1970-01-01").cast("date")) + hms / F.lit(86400.0)
     )
-    number = F.when(t.rlike(r"^\d{4}(\.\d*)?$"), t.try_cast("double"))
+    number = F.when(t.rlike(r"^[0-9]{4}([.][0-9]*)?$"), t.try_cast("double"))
     by_year = F.when((number > 1000) & (number < 4000), from_decimal_year(number))
     stamp = F.when(F.lower(t) == "now", now if now is not None else day_number(F.localtimestamp()))
-    return F.coalesce(stamp, by_ymd, by_dmy, by_year)
+    return F.coalesce(stamp, by_year, by_parts)
 
 
 def parse_year_day(text: Column) -> Column:

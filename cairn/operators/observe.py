@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.ellipsoid import GRS80, Ellipsoid, enu_axes, geocentric, meridian_radius, prime_vertical, to_enu
+from cairn.plans.settle import settle
 from cairn.plans.skew import salted_join
 
 ARC_SECOND = math.pi / 180.0 / 3600.0
@@ -144,6 +145,7 @@ def calculate(df: DataFrame, ell: Ellipsoid = GRS80) -> DataFrame:
 
 def reject_collocated(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split off rows whose line is too short to give a direction or a distance."""
+    df = settle(df, ["_chord"])
     short = (F.col("_chord") < COLLOCATED) & F.col("obs_type").isin(*DISTANCES, *ANGLES, "ZD")
     return df.filter(~F.coalesce(short, F.lit(False))), df.filter(short)
 
@@ -175,7 +177,8 @@ def design_rows(
     """Add ``misclosure`` and ``design`` for the line types.
 
     ``f_free``/``t_free`` name the axes a station may move in (a subset of ``enu``);
-    ``dimension`` limits them further. ``extra`` are ``(param, coef)`` structs for
+    ``dimension`` limits them further. Take ``design`` apart with ``explode_outer``: the plain form makes the
+    planner repeat the whole gradient in a filter below it. ``extra`` are ``(param, coef)`` structs for
     named unknowns, null where they do not apply.
     """
     out = df if "calc" in df.columns else calculate(df, ell)
