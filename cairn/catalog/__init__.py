@@ -35,6 +35,8 @@ _MODULES: tuple[str, ...] = (
     "accuracy",
     "models",
     "ingest",
+    "positions",
+    "network",
 )
 
 

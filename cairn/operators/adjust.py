@@ -252,3 +252,13 @@ def max_adjustment(stations: DataFrame, tolerance: float) -> DataFrame:
         F.max_by("code", F.struct("s", "code")).alias("code"),
         F.count_if(F.col("s") > tolerance).alias("above"),
     )
+
+
+def update_parameters(params: DataFrame, solution: DataFrame, inverse: DataFrame | None = None) -> DataFrame:
+    """Named parameters with their solved changes added and, given inverse cells, their variances."""
+    x = solution.select(F.col("param").alias("name"), F.col("x").alias("_x"))
+    out = params.join(x, "name", "left").withColumn("value", F.col("value") + F.coalesce("_x", F.lit(0.0)))
+    if inverse is None:
+        return out.drop("_x")
+    own = inverse.filter("row = col").select(F.col("row").alias("name"), F.col("value").alias("variance"))
+    return out.drop("_x").join(own, "name", "left")

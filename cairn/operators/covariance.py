@@ -103,8 +103,8 @@ def whiten_sets(rows: DataFrame, blocks: DataFrame, set_id: str = "set_id", limi
     if widest is not None and widest > limit:
         raise ValueError(f"a set holds {widest} correlated vectors; raise limit above {limit} if one task can hold its matrix")
     term = "array<struct<param:string,coef:double>>"
-    r = rows.select(set_id, "i", F.col("component").cast("int").alias("component"), "misclosure", F.col("design").cast(term).alias("design"))
-    b = blocks.select(set_id, "i", "j", "cov")
+    r = rows.select(F.col(set_id).alias("_set"), "i", F.col("component").cast("int").alias("component"), "misclosure", F.col("design").cast(term).alias("design"))
+    b = blocks.select(F.col(set_id).alias("_key"), "i", "j", "cov")
 
     def whiten(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         members = np.unique(left["i"].to_numpy())
@@ -133,7 +133,7 @@ def whiten_sets(rows: DataFrame, blocks: DataFrame, set_id: str = "set_id", limi
         return pd.DataFrame(out, columns=[set_id, "i", "component", "misclosure", "design"])
 
     kind = dict(rows.dtypes)[set_id]
-    out = r.groupBy(set_id).cogroup(b.groupBy(set_id)).applyInPandas(
+    out = r.groupBy("_set").cogroup(b.groupBy("_key")).applyInPandas(
         whiten, f"{set_id} {kind}, i long, component int, misclosure double, design {term}"
     )
     return out.withColumn("weight", F.lit(1.0))
