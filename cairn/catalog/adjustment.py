@@ -40,7 +40,7 @@ def _level_adjustment(t):
     eq = A.cut(eq.select(*keep))
     cells = A.cut(N.normal_cells(eq.filter("used")))
     matrix, rhs, _ = N.split_cells(cells)
-    solution = A.cut(V.solve(matrix, rhs))
+    solution = A.cut(V.solve(matrix, rhs, stored=True))
     return obs, eq, matrix, solution
 
 

@@ -215,14 +215,16 @@ def adjust(observations: DataFrame, stations: DataFrame, options: Options | None
     initial = now.select("code", "lon", "lat", "ohgt")
     observations = cut(observations)
     history: list[dict] = []
-    solution = matrix = equations = None
+    solution = matrix = equations = comps = None
     stats: dict = {}
     for number in range(1, options.max_iterations + 1):
-        equations = equations_for(observations, now, options, initial)
+        equations = cut(equations_for(observations, now, options, initial))
         cells, nobs, nset = summed_cells(equations, options.mode == "preanalysis")
         matrix, rhs, vwv = normal.split_cells(cells)
         explicit_sets = matrix.filter((F.col("row") == F.col("col")) & F.col("row").startswith("set|")).count()
-        solution = cut(solve.solve(matrix, rhs, options.dense_limit))
+        # The observations link the same stations in every iteration.
+        comps = comps if comps is not None else cut(solve.components_of(matrix))
+        solution = cut(solve.solve(matrix, rhs, options.dense_limit, comps=comps, stored=True))
         totals = solution.join(rhs, "param").agg(
             F.sum(F.col("x") * F.col("b")).alias("bx"), F.count("*").alias("n")
         ).first()

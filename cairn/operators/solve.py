@@ -173,10 +173,19 @@ def conjugate_gradients(
     return state.select("rhs_id", "param", "x")
 
 
-def solve(matrix: DataFrame, rhs: DataFrame, limit: int = DENSE_LIMIT, tolerance: float = 1.0e-12) -> DataFrame:
-    """``(param, x, singular)`` of the normal equations, component by component."""
-    matrix, rhs = cut(matrix), cut(rhs)
-    comps = cut(components_of(matrix))
+def solve(
+    matrix: DataFrame, rhs: DataFrame, limit: int = DENSE_LIMIT, tolerance: float = 1.0e-12,
+    comps: DataFrame | None = None, stored: bool = False,
+) -> DataFrame:
+    """``(param, x, singular)`` of the normal equations, component by component.
+
+    ``stored`` says that the cells already lie in the checkpoint folder; ``comps`` hands in the components of an
+    earlier solution over the same graph.
+    """
+    if not stored:
+        matrix, rhs = cut(matrix), cut(rhs)
+    if comps is None:
+        comps = cut(components_of(matrix))
     dense = solve_small(matrix, rhs, comps, False, limit)
     out = dense.select(F.col("row").alias("param"), F.col("value").alias("x"), "singular")
     large = comps.filter(F.col("size") > limit).select("param")
