@@ -91,10 +91,10 @@ FROM {supplier}""",
     ),
     # 25 x 25 geoid grid, 0.5 degree spacing from (-46.5, 166.5).
     "grid": (
-        ("nation",),
-        """SELECT CAST(a.n_nationkey AS BIGINT) AS iy, CAST(b.n_nationkey AS BIGINT) AS ix,
-       ((a.n_nationkey * 17 + b.n_nationkey * 29) % 101) * 1.0E-1 AS v
-FROM {nation} a JOIN {nation} b ON b.n_nationkey >= 0""",
+        ("lineitem",),
+        """SELECT CAST(floor(k / 25) AS BIGINT) AS iy, CAST(k % 25 AS BIGINT) AS ix,
+       ((CAST(floor(k / 25) AS BIGINT) * 17 + (k % 25) * 29) % 101) * 1.0E-1 AS v
+FROM (SELECT DISTINCT (l_orderkey * 7 + l_partkey) % 625 AS k FROM {lineitem}) d""",
     ),
     # One triangle with a triangular hole per supplier, as well-known text.
     "polygons": (

@@ -80,17 +80,20 @@ def metadata(stations: DataFrame, observations: DataFrame, stats: dict[str, floa
     """Run description as ``(code, value, comment)``: counts from the tables, figures from the solution."""
     st = stations.agg(F.count("*").alias("nstations"))
     ob = observations.agg(F.count("*").alias("nobservations"), F.count_if("unused").alias("nunused"))
-    one = st.join(ob, F.lit(True))
     notes = {
         "nstations": "stations in the network", "nobservations": "observations read", "nunused": "observations not used",
         "nprm": "calculated parameters", "dof": "degrees of freedom", "ssr": "sum of squared residuals", "seu": "standard error of unit weight",
     }
-    values = {"nstations": F.col("nstations"), "nobservations": F.col("nobservations"), "nunused": F.col("nunused")}
-    values |= {k: F.lit(v) for k, v in stats.items()}
-    rows = F.array(
-        *[F.struct(F.lit(k).alias("code"), v.cast("string").alias("value"), F.lit(notes.get(k, "")).alias("comment")) for k, v in values.items()]
-    )
-    return one.select(F.inline(rows))
+
+    def rows(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+        items = [
+            F.struct(F.lit(k).alias("code"), v.cast("string").alias("value"), F.lit(notes.get(k, "")).alias("comment"))
+            for k, v in values.items()
+        ]
+        return df.select(F.inline(F.array(*items)))
+
+    counted = rows(st, {"nstations": F.col("nstations")} | {k: F.lit(v) for k, v in stats.items()})
+    return counted.unionByName(rows(ob, {"nobservations": F.col("nobservations"), "nunused": F.col("nunused")}))
 
 
 def file_list(stations: DataFrame, observations: DataFrame, station_file: str = "crd_file") -> DataFrame:
