@@ -308,6 +308,18 @@ def _(t):
     return S.eliminate(state, near, TEST_A).select("code", "status")
 
 
+@query("failed_pairs_left_among_passed_marks", with_views("stations") + "SELECT CAST(count(*) * 0 AS BIGINT) AS n, CAST(count(*) * 0 AS BIGINT) AS undecided FROM fx_stations")
+def _(t):
+    """After elimination no failed pair joins two passed marks and no mark with tests is left undecided."""
+    state = _screened(t)
+    near = S.pair_status(state, TEST_A, _covariances(t)).filter("status = 'fail'")
+    done = S.eliminate(state, S.pair_status(state, TEST_A, _covariances(t)), TEST_A)
+    good = done.filter("status IN ('pass', 'passed')").select("code")
+    bad = near.join(good.withColumnRenamed("code", "a"), "a", "left_semi").join(good.withColumnRenamed("code", "b"), "b", "left_semi")
+    rows = bad.select(F.lit(1).alias("b"), F.lit(0).alias("u")).unionAll(done.select(F.lit(0), F.when(F.col("status") == "unknown", 1).otherwise(0)))
+    return rows.agg(F.sum("b").cast("long").alias("n"), F.sum("u").cast("long").alias("undecided"))
+
+
 @query("order_cascade")
 def _(t):
     out, _ = S.cascade(_order_marks(t), [TEST_A, TEST_B], _covariances(t))

@@ -60,6 +60,33 @@ def _(t):
     return solution.select("param", F.round("x", 6).alias("shift"), "singular")
 
 
+@query(
+    "level_normal_equations_satisfied",
+    LV + """, e AS (SELECT f.code AS fc, f.mode_v AS fm, t.code AS tc, t.mode_v AS tm FROM fx_levels l JOIN fx_stations f ON l.from_code = f.code JOIN fx_stations t ON l.to_code = t.code WHERE NOT l.rejected)
+SELECT DISTINCT concat(fc, '|u') AS param, true AS satisfied FROM e WHERE fm = 'free' UNION SELECT DISTINCT concat(tc, '|u'), true FROM e WHERE tm = 'free'""",
+)
+def _(t):
+    """The solved heights put back into the normal equations leave nothing over."""
+    from cairn.plans.lineage import cut
+
+    matrix, rhs, _ = N.split_cells(cut(N.normal_cells(level_equations(t).filter("used"))))
+    x = V.solve(matrix, rhs, stored=True).select(F.col("param").alias("col"), "x")
+    back = matrix.join(x, "col").groupBy(F.col("row").alias("param")).agg(F.sum(F.col("value") * F.col("x")).alias("nx"), F.sum(F.abs("value")).alias("size"))
+    left = back.join(rhs, "param").withColumn("gap", F.abs(F.col("nx") - F.col("b")) / F.col("size"))
+    return left.select("param", (F.col("gap") < 1.0e-7).alias("satisfied"))
+
+
+@query(
+    "class_values_by_name",
+    MX + """SELECT obs_key, coalesce(m.class_method, '-') AS method, s.class_mark_type AS from_mark_type FROM fx_mixed m JOIN fx_stations s ON m.from_code = s.code""",
+)
+def _(t):
+    ob = t.mixed.withColumn("classes", F.create_map(F.lit("method"), "class_method", F.lit("party"), "class_party"))
+    st = t.stations.select(F.col("code").alias("from_code"), F.create_map(F.lit("mark_type"), "class_mark_type").alias("st_classes"))
+    joined = ob.join(st, "from_code")
+    return joined.select("obs_key", S.class_value("classes", "method").alias("method"), S.class_value("st_classes", "mark_type").alias("from_mark_type"))
+
+
 @query(
     "level_normal_matrix",
     LV + """, e AS (

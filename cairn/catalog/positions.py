@@ -97,7 +97,14 @@ def _(t):
     return out.select("code", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), "n")
 
 
-@query("positions_by_distances")
+@query(
+    "positions_by_distances",
+    FR + """, h AS (SELECT code, ox, oy, ox * ox + oy * oy - ds * ds AS k FROM f WHERE ds IS NOT NULL),
+g AS (SELECT code, avg(ox) AS mx, avg(oy) AS my, avg(k) AS mk, count(*) AS n FROM h GROUP BY code HAVING count(*) >= 3),
+s AS (SELECT code, n, sum((ox - mx) * (ox - mx)) AS uu, sum((ox - mx) * (oy - my)) AS uv, sum((oy - my) * (oy - my)) AS vv, sum((ox - mx) * (k - mk) / 2) AS uk, sum((oy - my) * (k - mk) / 2) AS vk
+  FROM h JOIN g USING (code) GROUP BY code, n)
+SELECT code, round((uk * vv - vk * uv) / (uu * vv - uv * uv), 2) AS x, round((uu * vk - uv * uk) / (uu * vv - uv * uv), 2) AS y, n FROM s WHERE uu * vv - uv * uv > 0.0025 * uu * vv + 1.0E-12""",
+)
 def _(t):
     out = X.fix_by_distances(_frontier(t))
     return out.select("code", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), "n")
