@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import exact, near
+from cairn.llm import exact, mixing, near, secret_scan, warc
 from cairn.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,63 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = near.near_classes(table(spark, folder, "documents"))
     return found.select("doc_id", "class_id", "n_links", "n_texts", "copies")
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, folder, "documents"))
+
+
+@query(
+    "op9_source_mix",
+    r"""WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CAST('0x' || substr(md5('mix0|' || coalesce(CAST(doc_id AS VARCHAR), 't' || text, '')), 1, 13) AS BIGINT) AS u
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::DOUBLE AS cap,
+         [2, 3, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) % 3)] AS weight
+  FROM d GROUP BY source
+), o AS (
+  SELECT *, (1.5 * sum(source_size) OVER ()
+             - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+          / sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s
+), t AS (
+  SELECT source, source_size, CASE WHEN weight * level > cap THEN cap
+         ELSE weight * (SELECT max(level) FROM o WHERE weight * level <= cap) END AS target
+  FROM o
+), p AS (
+  SELECT *, CASE WHEN target >= 2 * source_size THEN 2 WHEN target >= source_size THEN 1 ELSE 0 END AS whole FROM t
+), r AS (
+  SELECT d.doc_id, d.size, d.u, p.*, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u) AS upto,
+         sum(d.size) OVER (PARTITION BY d.source, d.u) AS here
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE) AS target,
+       CAST(size * (whole + CASE WHEN whole < 2 AND 2 * upto - here < 2 * (target - whole * source_size) AND size > 0 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r""",
+)
+def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"), F.array("source"))
+    return mixed.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
+
+
+@query(
+    "op10_warc_zstd",
+    """WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS bits,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS most
+  FROM pages
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
+           + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = most THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> most THEN most END AS refers_to
+FROM p""",
+)
+def op10_warc_zstd(spark: SparkSession, folder: str) -> DataFrame:
+    read = warc.archive_round_trip(table(spark, folder, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
