@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact, langid, mixing, near, quality, secret_scan, toxicity, warc
+from cairn.llm import decontaminate, exact, langid, licenses, mixing, near, quality, secret_scan, toxicity, warc
 from cairn.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,15 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_quality")
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_decontamination")
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    # A document's place is its source and language; its name is its id.
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(table(spark, folder, "documents"), path).withColumnRenamed("id", "doc_id")
