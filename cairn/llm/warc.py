@@ -67,7 +67,10 @@ def train(pages: DataFrame, html_col: str = "html") -> bytes:
     The sample only steers compression: every archive decodes to the same records with any dictionary.
     """
     some = pages.select(F.col(html_col).cast("string").cast("binary").alias("b")).filter(F.octet_length("b").between(1, SAMPLE_BYTES))
-    samples = [bytes(r.b) for r in some.orderBy(F.xxhash64("b")).limit(SAMPLE_PAGES).collect()]
+    share = min(1.0, SAMPLE_PAGES / max(some.count(), 1))
+    # Drawn by a hash of the payload, copies once: about SAMPLE_PAGES rows reach the driver whatever the input.
+    drawn = some.filter(F.pmod(F.xxhash64("b"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).distinct()
+    samples = sorted(bytes(r.b) for r in drawn.collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
