@@ -6,7 +6,7 @@ labels rows of an unlabelled pool; those it is sure of, by probabilities calibra
 aside, join the other view's training rows (as many of each label as their share allows). At the end each view is
 calibrated on the rows held aside and a third logistic combines the two; it scores every document.
 
-Bounds: at most ``SAMPLE`` labelled rows, the smallest by a hash of the id, and a pool of about ``POOL`` unlabelled
+Bounds: about ``SAMPLE`` labelled rows at most, drawn by a hash of the id, and a pool of about ``POOL`` unlabelled
 rows drawn by a hash of id and text; both only fit the models. Null texts count as empty, null metadata as a
 value of its own, a null or wrong length as the measured one. Without labels of both kinds every score is the
 share of good labels (1 without any). Rows are scored one by one, so repeated rows agree.
@@ -179,9 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = inputs(docs, id_col, text_col, source_col, lang_col, length_col)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
-    order = F.xxhash64("doc_id", F.lit("quality sample"))
-    # At most SAMPLE rows whatever the input.
-    some = F.broadcast(freeze(known.orderBy(order, "doc_id").limit(SAMPLE)))
+    share = min(1.0, SAMPLE / max(known.count(), 1))
+    # About SAMPLE rows whatever the input.
+    some = F.broadcast(freeze(known.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))))
     got = rows.join(some, "doc_id").select("text", "source", "lang", "length", "label", "doc_id").mapInArrow(_view_rows, FEATURE_SCHEMA + ", label int, doc_id long").collect()
     labels_got = {r.label for r in got}
     if len(labels_got) < 2 or len(got) < 8:

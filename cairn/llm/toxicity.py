@@ -199,9 +199,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(
         F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    # One label an id, toxic where they differ; the sample has at most SAMPLE rows whatever the input.
-    order = F.xxhash64("doc_id", F.lit("toxicity sample"))
-    known = freeze(known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(order, "doc_id").limit(sample))
+    # One label an id, toxic where they differ; the sample has about SAMPLE rows whatever the input.
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    share = min(1.0, sample / max(known.count(), 1))
+    known = freeze(known.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))))
     train = freeze(rows.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label"))
     totals = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("t")).first()
     if totals.t in (0, totals.n):
