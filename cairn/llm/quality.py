@@ -182,20 +182,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, SAMPLE / max(known.count(), 1))
     # About SAMPLE rows whatever the input.
     some = F.broadcast(freeze(known.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))))
-    got = rows.join(some, "doc_id").select("text", "source", "lang", "length", "label", "doc_id").mapInArrow(_view_rows, FEATURE_SCHEMA + ", label int, doc_id long").collect()
-    labels_got = {r.label for r in got}
-    if len(labels_got) < 2 or len(got) < 8:
-        return sum(r.label for r in got) / len(got) if got else 1.0
-    got.sort(key=lambda r: (int(V.mix(np.array([r.doc_id & (2**63 - 1)], np.uint64))[0]), r.doc_id, r.text_view))
+    got = rows.join(some, "doc_id").select("text", "source", "lang", "length", "label", "doc_id").mapInArrow(_view_rows, FEATURE_SCHEMA + ", label int, doc_id long").toArrow()
+    label = got["label"].to_numpy()
+    if len(label) < 8 or len(set(label)) < 2:
+        return float(label.mean()) if len(label) else 1.0
     count = rows.count()
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("quality pool")), F.lit(1 << 30)) < F.lit(int(min(1.0, POOL / count) * (1 << 30)))
-    pool = rows.filter(draw).join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").select("text", "source", "lang", "length", "doc_id").mapInArrow(_view_rows, FEATURE_SCHEMA + ", doc_id long").collect()
-    pool.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.text_view))
-    width = len(got[0].text_view), len(got[0].meta_view)
-    stack = lambda rows, name, k: np.array([getattr(r, name) for r in rows]).reshape(-1, width[k])
-    return co_train(
-        (stack(got, "text_view", 0), stack(got, "meta_view", 1), np.array([r.label for r in got])), (stack(pool, "text_view", 0), stack(pool, "meta_view", 1))
-    )
+    pool = rows.filter(draw).join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").select("text", "source", "lang", "length", "doc_id").mapInArrow(_view_rows, FEATURE_SCHEMA + ", doc_id long").toArrow()
+    return co_train((*_ordered(got), label[_order(got)]), _ordered(pool))
+
+
+def _order(rows: pa.Table) -> np.ndarray:
+    """The rows in an order that does not follow how Spark delivers them."""
+    first = rows["text_view"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)[:, :2].T if len(rows) else np.zeros((2, 0))
+    ids = rows["doc_id"].fill_null(-1).to_numpy().astype(np.int64)
+    return np.lexsort((*first, ids, V.mix(ids.view(np.uint64))))
+
+
+def _ordered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    order = _order(rows)
+    width = len(text_view(next(V.slices(pa.array([""]))))[0]), 2 * META + 2
+    return tuple(rows[n].combine_chunks().flatten().to_numpy().reshape(-1, k)[order] for n, k in zip(("text_view", "meta_view"), width))
 
 
 def apply(model: Model | float, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
