@@ -233,11 +233,11 @@ def adjust(observations: DataFrame, stations: DataFrame, options: Options | None
             nobs, totals["n"] - explicit_sets, nset, total_vwv["vwv"] if total_vwv else 0.0, totals["bx"] or 0.0
         )
         if options.mode in ("preanalysis", "datacheck"):
-            history.append({"iteration": number, "max_shift": 0.0})
+            history.append({"iteration": number, "max_shift": 0.0, "converged": True})
             break
         now = cut(apply_shifts(now, solution, options.ellipsoid))
         worst = now.select(F.max(F.greatest(F.abs("de"), F.abs("dn"), F.abs("du"))).alias("m")).first()["m"] or 0.0
-        history.append({"iteration": number, "max_shift": worst})
+        history.append({"iteration": number, "max_shift": worst, "converged": worst < options.tolerance})
         if worst > options.max_adjustment:
             raise ValueError(f"a station moved by {worst:.1f} m in iteration {number}")
         if worst < options.tolerance:

@@ -13,6 +13,7 @@ clockwise from north.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -82,7 +83,7 @@ def zenith_to_height(zenith: Column, distance: Column, from_hgt: Column, to_hgt:
     return distance * F.cos(zenith) / F.sin(zenith) + curvature + from_hgt - to_hgt
 
 
-def orient_rounds(rounds: DataFrame, known: DataFrame, max_steps: int = 100) -> DataFrame:
+def orient_rounds(rounds: DataFrame, known: DataFrame) -> DataFrame:
     """Orientation of every round that hangs together with a known azimuth: ``(round_id, orientation, step)``.
 
     ``rounds(round_id, code, other, reading)``; ``known(code, other, azimuth)`` are lines of known azimuth, either
@@ -95,7 +96,7 @@ def orient_rounds(rounds: DataFrame, known: DataFrame, max_steps: int = 100) ->
     lines = cut(_mean_azimuth(lines.select(F.col("code"), F.col("other"), F.col("azimuth"))))
     rounds = cut(rounds.select("round_id", "code", "other", "reading"))
     done = None
-    for step in range(max_steps):
+    for step in itertools.count():
         left = rounds if done is None else rounds.join(done.select("round_id"), "round_id", "left_anti")
         hits = left.join(lines, ["code", "other"]).withColumn("_o", F.col("azimuth") - F.col("reading"))
         fresh = hits.groupBy("round_id").agg(F.atan2(F.avg(F.sin("_o")), F.avg(F.cos("_o"))).alias("orientation"))
@@ -279,11 +280,11 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
     return best.select("code", "_b.x", "_b.y", "_b.method", "_b.n")
 
 
-def traverses(lines: DataFrame, fixed: DataFrame, max_legs: int = 50) -> DataFrame:
+def traverses(lines: DataFrame, fixed: DataFrame) -> DataFrame:
     """Positions along chains of azimuth-and-distance legs between two fixed marks, with the misclose spread by length.
 
     A chain is a run of waiting stations with two such neighbours each. Both ends must be fixed and different.
-    ``(code, x, y, chain, misclose)``; chains longer than ``max_legs`` are left to be fixed leg by leg.
+    ``(code, x, y, chain, misclose)``; chains of any length are walked to their end.
     """
     legs = both_ways(lines).filter("azimuth IS NOT NULL AND distance IS NOT NULL").select("code", "other", "azimuth", "distance")
     known = fixed.filter("x IS NOT NULL").select("code", "x", "y")
@@ -307,7 +308,8 @@ def traverses(lines: DataFrame, fixed: DataFrame, max_legs: int = 50) -> DataFra
         F.col("first.distance").alias("length"),
     )
     walked = at = cut(at)
-    for _ in range(max_legs - 1):
+    # A chain has no more legs than there are inner stations.
+    for _ in range(inner.count()):
         onward = at.join(legs, "code").filter(F.col("other") != F.col("prev")).join(
             chain.select(F.col("code").alias("other"), F.col("chain").alias("_c")), "other"
         ).filter(F.col("chain") == F.col("_c"))
@@ -338,7 +340,7 @@ def traverses(lines: DataFrame, fixed: DataFrame, max_legs: int = 50) -> DataFra
 
 
 def fix_positions(
-    lines: DataFrame, stations: DataFrame, rounds: DataFrame | None = None, points: DataFrame | None = None, max_rounds: int = 50
+    lines: DataFrame, stations: DataFrame, rounds: DataFrame | None = None, points: DataFrame | None = None
 ) -> DataFrame:
     """Stations ``(code, x, y, h, method, step)`` after repeating the best fixes until none is added.
 
@@ -352,7 +354,7 @@ def fix_positions(
             F.when(F.col("x").isNotNull(), "given").alias("method"), F.lit(0).alias("step"),
         )
     )
-    for step in range(1, max_rounds + 1):
+    for step in itertools.count(1):
         here = edges
         if rounds is not None:
             here = _with_round_azimuths(edges, rounds, state)

@@ -8,19 +8,17 @@ from pyspark.sql import functions as F
 from cairn.plans.lineage import cut
 
 
-def connected_pairs(observations: DataFrame, set_id: str | None = None, set_limit: int = 200) -> DataFrame:
+def connected_pairs(observations: DataFrame, set_id: str | None = None) -> DataFrame:
     """Unique station pairs joined by an observation, lower code first.
 
-    With ``set_id`` given, targets of one grouped round also join each other;
-    that is a clique, which sets above ``set_limit`` members replace by the
-    star through the instrument station already present (same components).
+    With ``set_id`` given, targets of one grouped round also join each other, whatever the round's size.
     """
     direct = observations.filter(F.col("to_code").isNotNull() & (F.col("from_code") != F.col("to_code"))).select(
         F.least("from_code", "to_code").alias("a"), F.greatest("from_code", "to_code").alias("b")
     )
     if set_id is not None:
         members = observations.filter(F.col("to_code").isNotNull()).select(set_id, "to_code").distinct()
-        sizes = members.groupBy(set_id).agg(F.count("*").alias("_n")).filter((F.col("_n") > 1) & (F.col("_n") <= set_limit))
+        sizes = members.groupBy(set_id).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
         small = members.join(sizes.select(set_id), set_id)
         other = small.select(set_id, F.col("to_code").alias("_other"))
         inner = (

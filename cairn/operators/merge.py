@@ -154,6 +154,7 @@ def first_of_set(df: DataFrame, set_id: str, order: Sequence[str], value: str, n
 
     The first value is a combinable aggregate joined back, so a set of any size stays spread out.
     """
-    first = df.groupBy(set_id).agg(F.min_by(F.col(value), F.struct(*order)).alias(name))
-    return df.join(first, set_id)
+    first = df.filter(F.col(set_id).isNotNull()).groupBy(set_id).agg(F.min_by(F.col(value), F.struct(*order)).alias(name))
+    # A row without a set is a set by itself.
+    return df.join(first, set_id, "left").withColumn(name, F.when(F.col(set_id).isNull(), F.col(value)).otherwise(F.col(name)))
 

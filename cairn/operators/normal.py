@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.plans.lineage import cut
+
 RHS = "="  # stands for the right-hand side among the parameter names; sorts before any code used
 
 
@@ -19,7 +21,8 @@ def merge_parameters(equations: DataFrame, links: DataFrame) -> DataFrame:
     from cairn.operators.graph import connected_components
 
     groups = connected_components(links.select(F.col("param").alias("a"), F.col("same_as").alias("b")))
-    flat = equations.withColumn("_eq", F.monotonically_increasing_id())
+    # Written once, so both sides of the join back see the same numbers.
+    flat = cut(equations.withColumn("_eq", F.monotonically_increasing_id()))
     terms = flat.select("_eq", F.explode_outer("design").alias("_t")).select("_eq", "_t.param", "_t.coef")
     terms = terms.filter("param IS NOT NULL")
     terms = terms.join(groups, F.col("param") == F.col("node"), "left").groupBy(
@@ -84,7 +87,7 @@ def set_unknown_values(
     rows = equations.filter(F.col(coef).isNotNull())
     left = F.col("misclosure")
     if solution is not None:
-        rows = rows.withColumn("_eq", F.monotonically_increasing_id())
+        rows = cut(rows.withColumn("_eq", F.monotonically_increasing_id()))
         moved = (
             rows.select("_eq", F.explode_outer("design").alias("_t"))
             .join(solution, F.col("_t.param") == F.col("param"))

@@ -49,15 +49,27 @@ def grid_text(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return grids.drop("unit"), scaled
 
 
+# First column and width of each field of a published geoid listing.
+GEOID_COLUMNS = {
+    "tag": (1, 3), "und": (4, 9), "south": (14, 1), "lat_d": (15, 2), "lat_m": (18, 2), "lat_s": (21, 6),
+    "east": (28, 1), "lon_d": (29, 3), "lon_m": (33, 2), "lon_s": (36, 6),
+}
+
+
 def geoid_text(lines: DataFrame) -> DataFrame:
-    """Nodes ``(file, lon_deg, lat_deg, und)`` of a published geoid listing: one line per node, latitude south, longitude east."""
-    pattern = r"^GEO([ 0-9\-]{5}\.\d{3})\sS(\d\d)\s(.\d)\s(.\d\.\d{3})\sE(\d{3})\s(.\d)\s(.\d\.\d{3})"
-    part = lambda i: F.trim(F.regexp_extract("text", pattern, i)).try_cast("double")
-    return lines.filter(F.col("text").rlike(pattern)).select(
-        "file",
-        (part(5) + part(6) / 60.0 + part(7) / 3600.0).alias("lon_deg"),
-        (-(part(2) + part(3) / 60.0 + part(4) / 3600.0)).alias("lat_deg"),
-        part(1).alias("und"),
+    """Nodes ``(file, lon_deg, lat_deg, und)`` of a published geoid listing: one line per node, latitude south, longitude east.
+
+    Fields stand in fixed columns; a line whose fields are not all numbers in their range is no node.
+    """
+    raw = {n: F.trim(F.substring("text", at, width)) for n, (at, width) in GEOID_COLUMNS.items()}
+    value = {n: c.try_cast("double") for n, c in raw.items() if n not in ("tag", "south", "east")}
+    sixty = [value[n].between(0.0, 59.9999999) for n in ("lat_m", "lat_s", "lon_m", "lon_s")]
+    known = (raw["tag"] == "GEO") & (raw["south"] == "S") & (raw["east"] == "E") & value["und"].isNotNull()
+    for test in (*sixty, value["lat_d"].between(0.0, 90.0), value["lon_d"].between(0.0, 360.0)):
+        known &= test
+    degrees = lambda k: value[k + "_d"] + value[k + "_m"] / 60.0 + value[k + "_s"] / 3600.0
+    return lines.filter(F.coalesce(known, F.lit(False))).select(
+        "file", degrees("lon").alias("lon_deg"), (-degrees("lat")).alias("lat_deg"), value["und"].alias("und")
     )
 
 
@@ -87,7 +99,7 @@ def triangle_text(lines: DataFrame) -> DataFrame:
     kind = F.upper(F.get("_f", F.lit(0)))
     points = parts.filter(kind == "P").select(
         "file", F.get("_f", F.lit(1)).alias("p"), F.get("_f", F.lit(2)).try_cast("double").alias("x"), F.get("_f", F.lit(3)).try_cast("double").alias("y"),
-        F.transform(F.slice("_f", 5, 100), lambda v: v.try_cast("double")).alias("v"),
+        F.transform(F.slice("_f", 5, F.size("_f")), lambda v: v.try_cast("double")).alias("v"),
     )
     out = parts.filter(kind == "T").select(
         "file", F.col("line_no").alias("tri_id"), *[F.get("_f", F.lit(i)).alias(f"p{i}") for i in (1, 2, 3)]

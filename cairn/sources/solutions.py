@@ -95,13 +95,13 @@ def labelled_summary(lines: DataFrame) -> DataFrame:
 def tagged_summary(lines: DataFrame) -> DataFrame:
     """Baselines of ``@``-tagged records: ``@+`` from station, ``@-`` vector to a station, ``@=`` scale and upper covariance triangle, ``@*`` date."""
     tag = F.regexp_extract("text", r"^@(.)", 1)
-    body = lines.filter(F.col("text").startswith("@")).withColumns({"_t": tag, "_d": F.substring("text", 3, 4000)})
+    body = lines.filter(F.col("text").startswith("@")).withColumns({"_t": tag, "_d": F.substring("text", F.lit(3), F.length("text"))})
     body = running_sum(body, ["file"], "line_no", (F.col("_t") == "+").cast("long"), "report").filter("report > 0")
     code = F.trim(F.substring("_d", 1, 16))
     numbers = lambda c: F.transform(fields(c), lambda v: v.try_cast("double"))
     pick = lambda t, c: F.max(F.when(F.col("_t") == t, c))
     got = body.groupBy("file", "report").agg(
-        pick("+", code).alias("from_code"), pick("-", code).alias("to_code"), pick("-", F.substring("_d", 17, 4000)).alias("_vec"),
+        pick("+", code).alias("from_code"), pick("-", code).alias("to_code"), pick("-", F.substring("_d", F.lit(17), F.length("_d"))).alias("_vec"),
         pick("=", F.col("_d")).alias("_cov"), F.trim(pick("*", F.col("_d"))).alias("date"),
     )
     c = numbers(F.col("_cov"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.functions.angles import parse_coordinate_text, parse_dms
@@ -23,15 +24,15 @@ def station_text(lines: DataFrame, projected: Sequence[str] = ()) -> tuple[DataF
     Only the three header lines are matched up per file; stations stay spread over tasks.
     """
     text = uncomment(lines).filter("text <> ''")
-    # Every file's header is within its first lines, so the header table has a few rows per file.
-    head = text.filter("line_no <= 20").groupBy("file").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("line_no", "text"))), 1, 3).alias("_h")
-    )
+    # The first three lines that hold anything, however long a comment stands before them; Spark limits
+    # the ranks below the shuffle, so a task sends three rows of a file at most.
+    first = text.withColumn("_rank", F.row_number().over(Window.partitionBy("file").orderBy("line_no"))).filter("_rank <= 3")
+    head = first.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_h"))
     second, third = F.get("_h", F.lit(1)), F.get("_h", F.lit(2))
     has_options = F.lower(third["text"]).startswith("options")
     opts = F.when(has_options, F.split(F.lower(F.trim(third["text"])), r"\s+"))
     raw = F.when(has_options, F.split(F.trim(third["text"]), r"\s+"))
-    classes = F.transform(F.filter(raw, lambda o: F.lower(o).startswith("c=")), lambda o: F.substring(o, 3, 200))
+    classes = F.transform(F.filter(raw, lambda o: F.lower(o).startswith("c=")), lambda o: F.substring(o, F.lit(3), F.length(o)))
     say = lambda word: F.coalesce(F.array_contains(opts, word), F.lit(False))
     header = head.select(
         "file",
@@ -70,7 +71,7 @@ def station_text(lines: DataFrame, projected: Sequence[str] = ()) -> tuple[DataF
     out = out.withColumns(
         {
             "classes": F.map_from_arrays(F.transform("class_names", clean_class_name), values),
-            "name": F.array_join(F.slice("_f", F.col("_c0") + F.size("class_names") + 1, 1000), " "),
+            "name": F.array_join(F.slice("_f", F.col("_c0") + F.size("class_names") + 1, F.size("_f")), " "),
             "ohgt": F.when(F.col("ellipsoidal"), F.col("height") - F.coalesce("und", F.lit(0.0))).otherwise(F.col("height")),
             "_a": F.coalesce("lat_deg", "northing"),
             "_b": F.coalesce("lon_deg", "easting"),
