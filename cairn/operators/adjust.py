@@ -23,6 +23,7 @@ class Options:
     max_adjustment: float = 1.0e4
     dense_limit: int = solve.DENSE_LIMIT
     ellipsoid: Ellipsoid = field(default_factory=lambda: GRS80)
+    projection: object = None  # the projection in which PB rows are bearings
 
 
 @dataclass
@@ -35,6 +36,11 @@ class Adjustment:
     stats: dict
     iterations: list[dict]
 
+    @property
+    def converged(self) -> bool:
+        """Whether the last iteration moved no station by the tolerance or more."""
+        return bool(self.iterations) and self.iterations[-1]["converged"]
+
 
 def free_axes(mode_h: Column, mode_v: Column, options: Options) -> Column:
     """Axes a station may move in: floating stations move too, tied by an equation of their own."""
@@ -152,7 +158,7 @@ def equations_for(
     used = ~F.coalesce(F.col("rejected"), F.lit(False)) if "rejected" in observations.columns else F.lit(True)
     resolved = resolved.withColumn("used", used).withColumn("component", F.lit(0))
     lines, _ = observe.reject_collocated(
-        observe.calculate(resolved.filter(~F.col("obs_type").isin(*observe.POINTS, "GB")), ell)
+        observe.calculate(resolved.filter(~F.col("obs_type").isin(*observe.POINTS, "GB")), ell, options.projection)
     )
     set_coef = F.when(F.col("obs_type") == "HA", 1.0).when(F.col("obs_type") == "DR", F.col("_chord") * 1.0e-6)
     parts = [observe.design_rows(lines, ell, options.dimension).withColumn("set_coef", set_coef).select(*columns)]
@@ -182,13 +188,21 @@ def equations_for(
 
 
 def summed_cells(equations: DataFrame, preanalysis: bool = False) -> tuple[DataFrame, int, int]:
-    """Bordered normal cells of the used equations with the number of observations and of implicit unknowns."""
+    """Bordered normal cells of the used equations with the number of observations and of implicit unknowns.
+
+    A used equation without misclosure or weight would count without adding anything, so it is refused.
+    """
     used = equations.filter("used")
     if preanalysis:
         used = used.withColumn("misclosure", F.lit(0.0))
     counts = used.agg(
-        F.count("*").alias("n"), F.count_distinct(F.when(F.col("set_coef").isNotNull(), F.col("set_id"))).alias("sets")
+        F.count("*").alias("n"),
+        # A row with a set unknown but no set is a set by itself.
+        (F.count_distinct(F.when(F.col("set_coef").isNotNull(), F.col("set_id"))) + F.count_if(F.col("set_coef").isNotNull() & F.col("set_id").isNull())).alias("sets"),
+        F.min(F.when(F.col("misclosure").isNull() | F.col("weight").isNull(), F.col("obs_key").cast("string"))).alias("lacking"),
     ).first()
+    if counts["lacking"] is not None:
+        raise ValueError(f"used equations lack a misclosure or a weight, the first of them {counts['lacking']}")
     plain = used.filter(F.col("set_coef").isNull()).select("misclosure", "weight", "design")
     if counts["sets"]:
         reduced = normal.eliminate_set_unknowns(used.filter(F.col("set_coef").isNotNull()))

@@ -39,8 +39,10 @@ def eliminate_set_unknowns(
 
     A set's weighted sum, taken with negative weight, downdates the normal equations; its products
     fill a block over the whole set. Sets with more than ``limit`` terms would fill too much, so they
-    keep their unknown as a parameter of its own, which gives the same solution.
+    keep their unknown as a parameter of its own, which gives the same solution. A row without a set has an
+    unknown to itself, which takes up all it says: it adds nothing.
     """
+    equations = equations.filter(F.col(set_id).isNotNull() | F.col(coef).isNull() | (F.col(coef) == 0.0))
     grouped = equations.filter(F.col(coef).isNotNull() & (F.col(coef) != 0.0))
     sizes = grouped.groupBy(set_id).agg(
         F.sum(F.size("design")).alias("_terms"),
@@ -83,8 +85,13 @@ def eliminate_set_unknowns(
 def set_unknown_values(
     equations: DataFrame, solution: DataFrame | None = None, set_id: str = "set_id", coef: str = "set_coef"
 ) -> DataFrame:
-    """Each set's implicit unknown: its weighted mean misclosure after the solution is taken off, with its a-priori variance."""
+    """Each set's implicit unknown: its weighted mean misclosure after the solution is taken off, with its a-priori variance.
+
+    Rows without a set are sets by themselves, named by their ``obs_key`` where there is one.
+    """
     rows = equations.filter(F.col(coef).isNotNull())
+    if "obs_key" in rows.columns:
+        rows = rows.withColumn(set_id, F.coalesce(set_id, F.col("obs_key").cast("string")))
     left = F.col("misclosure")
     if solution is not None:
         rows = cut(rows.withColumn("_eq", F.monotonically_increasing_id()))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.ellipsoid import GRS80, Ellipsoid, enu_axes, geocentric, meridian_radius, prime_vertical, to_enu
+from cairn.operators.crs import projection_bearing
 from cairn.plans.settle import settle
 from cairn.plans.skew import salted_join
 
@@ -96,9 +97,9 @@ def with_line_geometry(df: DataFrame, ell: Ellipsoid = GRS80) -> DataFrame:
             .when(kind == "ED", -F.col("t_ohgt") - _or_zero(df, "t_und"))
             .when(kind == "MD", -F.col("t_ohgt") + undulation)
             .otherwise(ht),
-            "_f_glat": F.col("f_lat") + F.when(kind == "AZ", 0.0).otherwise(_or_zero(df, "f_xi")),
+            "_f_glat": F.col("f_lat") + F.when(kind.isin("AZ", "PB"), 0.0).otherwise(_or_zero(df, "f_xi")),
             "_f_glon": F.col("f_lon")
-            + F.when(kind == "AZ", 0.0).otherwise(_or_zero(df, "f_eta")) / F.cos("f_lat"),
+            + F.when(kind.isin("AZ", "PB"), 0.0).otherwise(_or_zero(df, "f_eta")) / F.cos("f_lat"),
         }
     )
     fx = geocentric(F.col("f_lon"), F.col("f_lat"), F.col("f_ohgt") + _or_zero(df, "f_und") + F.col("_of"), ell)
@@ -124,9 +125,16 @@ def arc_factor(cos_verticals: Column) -> Column:
     return 1.0 + (1.0 - cos_verticals) / 12.0
 
 
-def calculate(df: DataFrame, ell: Ellipsoid = GRS80) -> DataFrame:
-    """Add ``calc`` (metres or radians) for the line types; expects :func:`resolve_ends` columns."""
+def calculate(df: DataFrame, ell: Ellipsoid = GRS80, projection=None) -> DataFrame:
+    """Add ``calc`` (metres or radians) for the line types; expects :func:`resolve_ends` columns.
+
+    Projection bearings need the ``projection`` they were taken in; without one their ``calc`` is null.
+    """
     out = with_line_geometry(df, ell)
+    bearing = F.lit(None).cast("double")
+    if projection is not None:
+        out = projection_bearing(out, projection, out="_bearing")
+        bearing = F.col("_bearing")
     kind = F.col("obs_type")
     azimuth = F.atan2("_e", "_n")
     azimuth = F.when(azimuth < 0, azimuth + 2.0 * math.pi).otherwise(azimuth)
@@ -134,6 +142,7 @@ def calculate(df: DataFrame, ell: Ellipsoid = GRS80) -> DataFrame:
         F.when(kind.isin("SD", "DR", "HD"), F.col("_chord"))
         .when(kind.isin("ED", "MD"), F.col("_chord") * arc_factor(F.col("_cosv")))
         .when(kind.isin("AZ", "HA"), azimuth)
+        .when(kind == "PB", bearing)
         .when(kind == "ZD", F.atan2("_hz", "_u"))
         .when(
             kind == "LV",
@@ -200,7 +209,7 @@ def design_rows(
     out = out.withColumns(
         {
             f"_g{k}": F.when(kind.isin(*DISTANCES), F.try_divide(d[k], F.col("_chord")))
-            .when(kind.isin("AZ", "HA"), in_xyz(local_az, k))
+            .when(kind.isin("AZ", "HA", "PB"), in_xyz(local_az, k))
             .when(kind == "ZD", in_xyz(local_zd, k))
             for k in range(3)
         }

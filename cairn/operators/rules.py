@@ -80,8 +80,11 @@ def apply_rules(observations: DataFrame, rules: Sequence[Rule], set_id: str = "s
             & (baseline & rules[i].match_from if rules[i].action in ("offset_error", "antenna") else F.lit(True))
             for i in once
         }
-        per_set = df.groupBy(set_id).agg(*[F.max(member[i]).alias(f"_s{i}") for i in once])
-        df = df.join(per_set, set_id, "left")
+        per_set = df.filter(F.col(set_id).isNotNull()).groupBy(set_id).agg(*[F.max(member[i]).alias(f"_s{i}") for i in once])
+        # A row without a set is a set by itself.
+        df = df.join(per_set, set_id, "left").withColumns(
+            {f"_s{i}": F.when(F.col(set_id).isNull(), member[i]).otherwise(F.col(f"_s{i}")) for i in once}
+        )
     had_reject = F.col("rejected") if "rejected" in observations.columns else F.lit(False)
     hits = lambda ids: [F.col(flag[i]) for i in ids]
     any_hit = lambda cols: F.greatest(F.lit(False), F.lit(False), *cols) if cols else F.lit(False)

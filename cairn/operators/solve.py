@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -179,6 +181,7 @@ def solve(
 ) -> DataFrame:
     """``(param, x, singular)`` of the normal equations, component by component.
 
+    ``singular`` is null in components above ``limit``, where solving does not tell; :func:`singular_parameters` does.
     ``stored`` says that the cells already lie in the checkpoint folder; ``comps`` hands in the components of an
     earlier solution over the same graph.
     """
@@ -193,7 +196,34 @@ def solve(
         part = matrix.join(large.withColumnRenamed("param", "row"), "row")
         b = rhs.join(large, "param").withColumn("rhs_id", F.lit(0).cast("long"))
         cg = conjugate_gradients(part, b, tolerance)
-        out = out.unionByName(cg.select("param", "x", F.lit(False).alias("singular")))
+        out = out.unionByName(cg.select("param", "x", F.lit(None).cast("boolean").alias("singular")))
+    return out
+
+
+def singular_parameters(matrix: DataFrame, limit: int = DENSE_LIMIT, seen: float = 1.0e-3) -> DataFrame:
+    """``param`` of every parameter that the equations do not determine, in components of any size.
+
+    Small components are factored. In a large one a random vector is multiplied by the matrix and solved for
+    again: what does not come back lies in a null direction, and the parameters in which more than ``seen`` of a
+    standard deviation is missing are the undetermined ones. Parameters with nothing on the diagonal are too.
+    """
+    matrix = cut(matrix.groupBy("row", "col").agg(F.sum("value").alias("value")))
+    comps = cut(components_of(matrix))
+    diag = matrix.filter("row = col").select(F.col("row").alias("param"), F.col("value").alias("d"))
+    zero = diag.select("param", F.lit(0.0).alias("b"))
+    out = solve_small(matrix, zero, comps, False, limit).filter("singular").select(F.col("row").alias("param"))
+    large = diag.join(comps.filter(F.col("size") > limit).select("param"), "param")
+    if large.limit(1).count():
+        out = out.unionByName(large.filter("d <= 0").select("param"))
+        # Normal deviates from a hash of the name (Box and Muller 1958), the same in every run.
+        share = lambda salt: (F.pmod(F.xxhash64("param", F.lit(salt)), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
+        normal = F.sqrt(-2.0 * F.ln(share(1))) * F.cos(2.0 * math.pi * share(2))
+        probe = cut(large.filter("d > 0").select("param", "d", (normal / F.sqrt("d")).alias("v")))
+        part = cut(matrix.join(probe.select(F.col("param").alias("row")), "row", "left_semi").join(probe.select(F.col("param").alias("col")), "col", "left_semi"))
+        b = part.join(probe.select(F.col("param").alias("col"), "v"), "col").groupBy(F.col("row").alias("param")).agg(F.sum(F.col("value") * F.col("v")).alias("b"))
+        back = conjugate_gradients(part, b.withColumn("rhs_id", F.lit(0).cast("long"))).select("param", "x")
+        missing = F.abs(F.col("v") - F.col("x")) * F.sqrt("d")
+        out = out.unionByName(probe.join(back, "param").filter(missing > seen).select("param"))
     return out
 
 
@@ -203,13 +233,19 @@ def inverse_cells(
     """Cells ``(row, col, value)`` of the inverse.
 
     Small components give their stored cells, and any ``wanted(row, col)`` pair, from one dense inverse.
-    Large ones solve for unit vectors of the wanted columns, ``batch`` at a time.
+    Large ones solve for unit vectors of the wanted columns, ``batch`` at a time. Wanted pairs with ends in
+    different components are zero; those that name no parameter of the matrix are left out.
     """
     matrix = cut(matrix)
     comps = cut(components_of(matrix))
     zero = matrix.filter("row = col").select(F.col("row").alias("param"), F.lit(0.0).alias("b"))
     pairs = matrix.select("row", "col")
+    apart = None
     if wanted is not None:
+        part_of = lambda end: comps.select(F.col("param").alias(end), F.col("component").alias(f"_{end}"))
+        placed = cut(wanted.select("row", "col").distinct().join(part_of("row"), "row").join(part_of("col"), "col"))
+        apart = placed.filter("_row <> _col").select(F.greatest("row", "col").alias("row"), F.least("row", "col").alias("col"), F.lit(0.0).alias("value"))
+        wanted = placed.filter("_row = _col").select("row", "col")
         pairs = pairs.unionByName(wanted.select("row", "col")).distinct()
         # A wanted pair outside the stored cells enters as an explicit zero so that it is returned.
         matrix_w = matrix.unionByName(wanted.select("row", "col", F.lit(1e-300).alias("value")))
@@ -238,6 +274,8 @@ def inverse_cells(
                 .join(need, ["row", "col"], "left_semi")
             )
             out = out.unionByName(cells)
+    if apart is not None:
+        out = out.unionByName(apart)
     return out.dropDuplicates(["row", "col"])
 
 

@@ -40,3 +40,64 @@ def test_orientation_goes_on_until_nothing_is_added(spark):
     rounds = spark.createDataFrame([(f"r{i}", f"P{i}", f"P{i + 1}", 0.25) for i in range(4)] + [(f"r{i}", f"P{i}", f"P{i - 1}", 0.5) for i in range(1, 4)], "round_id string, code string, other string, reading double")
     known = spark.createDataFrame([("P0", "P1", 1.0)], "code string, other string, azimuth double")
     assert fix.orient_rounds(rounds, known).count() == 4
+
+
+def test_null_directions_are_found_at_any_size(spark):
+    from cairn.operators import normal, solve
+
+    chain = [(0.5, 1.0, [(f"{name}{i:02d}|u", 1.0), (f"{name}{i + 1:02d}|u", -1.0)]) for name in "ab" for i in range(20)]
+    held = [(0.0, 1.0, [("a00|u", 1.0)])]
+    schema = "misclosure double, weight double, design array<struct<param:string,coef:double>>"
+    matrix, _, _ = normal.split_cells(normal.normal_cells(spark.createDataFrame(chain + held, schema)))
+    for limit in (1000, 5):
+        assert {r.param for r in solve.singular_parameters(matrix, limit).collect()} == {f"b{i:02d}|u" for i in range(21)}
+
+
+def test_pairs_across_components_are_zero(spark):
+    from cairn.operators import normal, solve
+
+    rows = [(0.0, 4.0, [("a|u", 1.0)]), (0.0, 2.0, [("b|u", 1.0)])]
+    schema = "misclosure double, weight double, design array<struct<param:string,coef:double>>"
+    matrix, _, _ = normal.split_cells(normal.normal_cells(spark.createDataFrame(rows, schema)))
+    wanted = spark.createDataFrame([("b|u", "a|u"), ("b|u", "none")], "row string, col string")
+    for limit in (10, 0):
+        cells = {(r.row, r.col): r.value for r in solve.inverse_cells(matrix, wanted, limit).collect()}
+        assert cells == {("a|u", "a|u"): 0.25, ("b|u", "b|u"): 0.5, ("b|u", "a|u"): 0.0}
+
+
+def test_rows_with_an_unknown_of_their_own_change_nothing(spark):
+    from cairn.operators import normal
+
+    schema = "set_id string, set_coef double, misclosure double, weight double, design array<struct<param:string,coef:double>>"
+    kept = [("s", 1.0, 0.5, 1.0, [("a", 1.0)]), ("s", 1.0, 0.1, 1.0, [("b", 1.0)])]
+    alone = [(None, 1.0, 3.0, 1.0, [("a", 1.0)]), (None, 1.0, 4.0, 1.0, [("b", -1.0)])]
+    cells = lambda rows: {(r.row, r.col): round(r.value, 12) for r in normal.normal_cells(normal.eliminate_set_unknowns(spark.createDataFrame(rows, schema))).collect()}
+    assert cells(kept + alone) == cells(kept)
+
+
+def test_projection_bearings_enter_the_adjustment(spark):
+    import math
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from cairn.catalog.models import TM
+    from cairn.operators import adjust, crs
+
+    place = {"A": (175.0, -40.0), "B": (175.02, -40.01), "C": (175.01, -40.02), "D": (174.99, -40.01)}
+    ends = [(f, t) for f in "ABC" for t in "D"]
+    lines = spark.createDataFrame([(f + t, *map(math.radians, place[f] + place[t])) for f, t in ends], "obs_key string, f_lon double, f_lat double, t_lon double, t_lat double")
+    bearings = crs.projection_bearing(lines, TM).select(
+        "obs_key", F.lit("PB").alias("obs_type"), F.col("obs_key").substr(1, 1).alias("from_code"), F.col("obs_key").substr(2, 1).alias("to_code"),
+        F.lit(None).cast("string").alias("set_id"), F.col("calc").alias("value"), F.lit(5e-6).alias("error"),
+    )
+    start = spark.createDataFrame(
+        [(c, math.radians(x + (1e-4 if c == "D" else 0)), math.radians(y), 10.0, 0.0, "free" if c == "D" else "fixed", "fixed") for c, (x, y) in place.items()],
+        "code string, lon double, lat double, ohgt double, und double, mode_h string, mode_v string",
+    )
+    run = adjust.adjust(bearings, start, adjust.Options(dimension="en", projection=TM))
+    at = run.stations.filter("code = 'D'").first()
+    assert run.converged and run.stats["dof"] == 1
+    assert abs(math.degrees(at.lon) - place["D"][0]) < 1e-9 and abs(math.degrees(at.lat) - place["D"][1]) < 1e-9
+    with pytest.raises(ValueError, match="lack a misclosure"):
+        adjust.adjust(bearings, start, adjust.Options(dimension="en"))
