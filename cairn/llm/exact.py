@@ -38,7 +38,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         split = with_group_stats(
             digits.drop("_group") if depth == 0 else digits,
             ["_size", "_digit"] if depth == 0 else ["_group", "_digit"],
-            {"_n": ("count", F.lit(1)), "_name": ("min", F.col("_row"))}, ["_row"],
+            # Row numbers are not settled before the first cut: dealt by them, a row could miss its group's part.
+            {"_n": ("count", F.lit(1)), "_name": ("min", F.col("_row"))}, ["doc_id", "text_key"] if depth == 0 else ["_row"],
         )
         depth += width
         width *= GROWTH
