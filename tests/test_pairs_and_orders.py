@@ -114,7 +114,7 @@ def test_elimination_matches_the_plain_loop(spark):
         links = spark.createDataFrame([(a, b, "fail" if bad else "pass") for a, b, bad in edges], "a string, b string, status string")
         got = {r.code: r.status for r in S.eliminate(df, links, S.OrderTest("A", min_pairs=min_pairs)).collect()}
         assert got == one_at_a_time(marks, edges, min_pairs)
-        # The distributed variant must at least decide every mark and leave no failed pair among passed ones.
-        wide = {r.code: r.status for r in S.eliminate(df, links, S.OrderTest("A", min_pairs=min_pairs), edge_limit=0).collect()}
-        assert not [e for e in edges if e[2] and wide[e[0]] in ("pass", "passed") and wide[e[1]] in ("pass", "passed")]
-        assert "unknown" not in wide.values()
+        # The same marks fail where components do not fit into a task and are taken a part at a time.
+        for limit in (0, 12):
+            wide = {r.code: r.status for r in S.eliminate(df, links, S.OrderTest("A", min_pairs=min_pairs), edge_limit=limit).collect()}
+            assert wide == got
