@@ -7,6 +7,7 @@ DataFrame instead, so each is decided once per station and then joined.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -79,37 +80,36 @@ def in_list(stations: DataFrame, listed: DataFrame, code: str = "code") -> DataF
 
 def inside_polygons(
     stations: DataFrame, edges: DataFrame, key: str = "code", x: str = "lon_deg", y: str = "lat_deg",
-    band: float = 0.5, outside: bool = False, wrap: bool = True, polygon: str = "poly_id",
+    band: float = 0.5, outside: bool = False, wrap: bool = True, polygon: str = "poly_id", tile: float = 5.0,
 ) -> DataFrame:
     """Stations inside any polygon of ``edges(poly_id, x1, y1, x2, y2)`` by the even-odd rule over all rings.
 
-    Edges are cut into horizontal bands and joined to stations on the band, so a
-    station meets only the edges its latitude crosses. ``outside`` keeps the rest.
+    Edges are cut into horizontal bands; with ``wrap`` each also lies in the tiles of ``tile`` degrees from its
+    polygon's western limit to its own eastern end, where points can see it. Stations meet edges of their band
+    and tile only. ``outside`` keeps the rest.
     """
     bounds = edges.groupBy(polygon).agg(
         F.min("x1").alias("_xmin"), F.max("x1").alias("_xmax"), F.min("y1").alias("_ymin"), F.max("y1").alias("_ymax")
     )
-    banded = (
-        edges.filter(F.col("y1") != F.col("y2"))
-        .join(bounds, polygon)
-        .withColumn(
-            "_band",
-            F.explode(
-                F.sequence(
-                    F.floor(F.least("y1", "y2") / band).cast("long"), F.floor(F.greatest("y1", "y2") / band).cast("long")
-                )
-            ),
-        )
-    )
+    steps = lambda low, high, size: F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
+    banded = edges.filter(F.col("y1") != F.col("y2")).join(bounds, polygon)
+    points = stations.select(key, x, y).withColumn("_band", F.floor(F.col(y) / band).cast("long"))
+    on = ["_band"]
     px = F.col(x)
     if wrap:
         px = F.col(x) - 360.0 * F.floor((F.col(x) - F.col("_xmin")) / 360.0)
-    points = stations.withColumn("_band", F.floor(F.col(y) / band).cast("long"))
+        around = math.ceil(360.0 / tile)
+        width = 360.0 / around
+        # A hair wider, as points on a limit of tiles may be rounded to either side.
+        seen = steps(F.col("_xmin") - 1e-9, F.greatest("x1", "x2") + 1e-9, width)
+        banded = banded.withColumn("_tile", F.explode(F.array_distinct(F.transform(seen, lambda k: F.pmod(k, F.lit(around))))))
+        points = points.withColumn("_tile", F.pmod(F.floor(F.col(x) / width).cast("long"), F.lit(around)))
+        on = ["_band", "_tile"]
+    banded = banded.withColumn("_band", F.explode(steps(F.least("y1", "y2"), F.greatest("y1", "y2"), band)))
     slope_x = F.col("x1") + (F.col(y) - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
     crossing = ((F.col("y1") <= F.col(y)) != (F.col("y2") <= F.col(y))) & (F.col("_px") < slope_x)
     hits = (
-        points.select(key, x, y, "_band")
-        .join(bounded_broadcast(banded), "_band")
+        points.join(bounded_broadcast(banded), on)
         .withColumn("_px", px)
         .filter(F.col("_px").between(F.col("_xmin"), F.col("_xmax")) & crossing)
         .groupBy(key, polygon)

@@ -101,3 +101,31 @@ def test_projection_bearings_enter_the_adjustment(spark):
     assert abs(math.degrees(at.lon) - place["D"][0]) < 1e-9 and abs(math.degrees(at.lat) - place["D"][1]) < 1e-9
     with pytest.raises(ValueError, match="lack a misclosure"):
         adjust.adjust(bearings, start, adjust.Options(dimension="en"))
+
+
+def test_points_in_polygons_at_any_tile_width(spark):
+    import random
+
+    from cairn.operators import criteria
+
+    rnd = random.Random(5)
+    rings = [(1, [(170.0, -50.0), (190.0, -48.0), (184.0, -30.0), (176.0, -41.0)]), (2, [(-4.0, 10.0), (3.0, 11.0), (5.0, 20.0), (0.0, 13.0), (-5.0, 19.0)]), (3, [(178.0, -46.0), (180.0, -44.0), (181.0, -40.0)])]
+    edges = [(n, *p, *q) for n, ring in rings for p, q in zip(ring, ring[1:] + ring[:1])]
+    points = [(f"p{i}", rnd.choice([rnd.uniform(-180, 180), rnd.uniform(170, 190), rnd.uniform(-6, 6), 0.0, 180.0, -180.0, 355.0]), rnd.choice([rnd.uniform(-52, -28), rnd.uniform(9, 21)])) for i in range(400)]
+
+    def inside(x, y):
+        for n, ring in rings:
+            west, east = min(p[0] for p in ring), max(p[0] for p in ring)
+            px = x - 360 * ((x - west) // 360)
+            crossed = sum(((y1 <= y) != (y2 <= y)) and px < x1 + (y - y1) * (x2 - x1) / (y2 - y1) for k, x1, y1, x2, y2 in edges if k == n)
+            if px <= east and crossed % 2:
+                return True
+        return False
+
+    expected = {c for c, x, y in points if inside(x, y)}
+    assert 20 < len(expected) < 380
+    stations = spark.createDataFrame(points, "code string, lon_deg double, lat_deg double")
+    table = spark.createDataFrame(edges, "poly_id int, x1 double, y1 double, x2 double, y2 double")
+    for tile in (0.7, 5.0, 360.0):
+        assert {r.code for r in criteria.inside_polygons(stations, table, tile=tile).collect()} == expected
+    assert {r.code for r in criteria.inside_polygons(stations, table, outside=True).collect()} == {c for c, _, _ in points} - expected
