@@ -59,8 +59,14 @@ def _iso_sql(lat: str, e2: float) -> str:
 TM = P.TransverseMercator(173 * RAD, 0.0, 0.9996, 1.6e6, 1.0e7)
 
 
+# Fixed values for the SQL side, from the closed formulas in 40-digit arithmetic of the projections queried here.
+TM_RADIUS, TM_ALPHA = 6364902.166112739, (0.0008377318247344344, 7.608527788826163e-07, 1.1976380191731534e-09, 2.4433762425103678e-12)
+LCC_N, LCC_SIZE, LCC_R0 = 0.6564741723596046, 12242592.025446493, 7329506.805914943
+PS_SIZE, EM_SIZE = 12637318.498049943, 4820591.0156223085
+
+
 def _tm_sql() -> str:
-    radius, alpha, _, xi0 = TM._constants()
+    radius, alpha, xi0 = TM_RADIUS, TM_ALPHA, 0.0
     se = " + ".join(f"{a!r} * cos({2 * (j + 1)} * xi) * sinh({2 * (j + 1)} * et)" for j, a in enumerate(alpha))
     sn = " + ".join(f"{a!r} * sin({2 * (j + 1)} * xi) * cosh({2 * (j + 1)} * et)" for j, a in enumerate(alpha))
     return f"""t AS (SELECT code, sinh({_iso_sql('radians(lat_deg)', E2)}) AS t, radians(lon_deg) - {TM.lon0!r} AS dl FROM fx_stations),
@@ -90,7 +96,7 @@ LCC = P.LambertConic(-37.5 * RAD, -44.5 * RAD, -41 * RAD, 173 * RAD, 3.0e6, 7.0e
 
 
 def _lcc_sql() -> str:
-    flip, n, size, r0 = LCC._constants()
+    n, size, r0 = LCC_N, LCC_SIZE, LCC_R0
     r = f"{size!r} * exp({-n!r} * {_iso_sql('radians(-lat_deg)', E2)})"
     th = f"{n!r} * (radians(lon_deg) - {LCC.lon0!r})"
     return f"SELECT code, round({LCC.fe!r} + {r} * sin({th}), 4) AS easting, round({LCC.fn!r} - ({r0!r} - {r} * cos({th})), 4) AS northing FROM fx_stations"
@@ -111,7 +117,7 @@ PS = P.PolarStereographic(170 * RAD, 0.994, 5.0e6, 1.0e6)
 
 @query(
     "polar_stereographic",
-    ST + f""", r AS (SELECT code, {PS._size!r} * exp(-{_iso_sql('radians(-lat_deg)', E2)}) AS r, radians(lon_deg) - {PS.lon0!r} AS dl FROM fx_stations)
+    ST + f""", r AS (SELECT code, {PS_SIZE!r} * exp(-{_iso_sql('radians(-lat_deg)', E2)}) AS r, radians(lon_deg) - {PS.lon0!r} AS dl FROM fx_stations)
 SELECT code, round({PS.fe!r} + r * sin(dl), 4) AS easting, round({PS.fn!r} + r * cos(dl), 4) AS northing FROM r""",
 )
 def _(t):
@@ -128,7 +134,7 @@ EM = P.Mercator(160 * RAD, -41 * RAD)
 
 @query(
     "equatorial_mercator",
-    ST + f"""SELECT code, round({EM._size!r} * (radians(lon_deg) - {EM.lon0!r}), 4) AS easting, round({EM._size!r} * {_iso_sql('radians(lat_deg)', E2)}, 4) AS northing FROM fx_stations""",
+    ST + f"""SELECT code, round({EM_SIZE!r} * (radians(lon_deg) - {EM.lon0!r}), 4) AS easting, round({EM_SIZE!r} * {_iso_sql('radians(lat_deg)', E2)}, 4) AS northing FROM fx_stations""",
 )
 def _(t):
     return _rounded(EM.forward(_radians(t), "lon", "lat"), 4, "easting", "northing")
