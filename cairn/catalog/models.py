@@ -184,9 +184,9 @@ def _(t):
 
 @query(
     "projection_bearing",
-    with_views("lines") + ", fx_stations2 AS (SELECT concat(obs_key, 'f') AS code, f_lon AS lon_deg, f_lat AS lat_deg FROM fx_lines UNION ALL SELECT concat(obs_key, 't'), t_lon, t_lat FROM fx_lines), "
-    + _tm_sql().replace("fx_stations", "fx_stations2").replace("\nSELECT code, round", ",\nen AS (SELECT code, round").replace(" FROM s", " FROM s)").replace("round(", "(").replace(", 4) AS", ") AS")
-    + """, m AS (SELECT l.obs_key, atan2(b.easting - a.easting, b.northing - a.northing) AS v FROM fx_lines l JOIN en a ON a.code = concat(l.obs_key, 'f') JOIN en b ON b.code = concat(l.obs_key, 't'))
+    with_views("lines") + ", l AS MATERIALIZED (SELECT obs_key, f_lon, f_lat, t_lon, t_lat FROM fx_lines), fx_stations2 AS MATERIALIZED (SELECT DISTINCT f_lon AS lon_deg, f_lat AS lat_deg, concat(f_lon, ' ', f_lat) AS code FROM l UNION SELECT t_lon, t_lat, concat(t_lon, ' ', t_lat) FROM l), "
+    + _tm_sql().replace("fx_stations", "fx_stations2").replace("t AS (", "t AS MATERIALIZED (", 1).replace("s AS (SELECT", "s AS MATERIALIZED (SELECT", 1).replace("\nSELECT code, round", ",\nen AS MATERIALIZED (SELECT code, round").replace(" FROM s", " FROM s)").replace("round(", "(").replace(", 4) AS", ") AS")
+    + """, m AS (SELECT l.obs_key, atan2(b.easting - a.easting, b.northing - a.northing) AS v FROM l JOIN en a ON a.code = concat(l.f_lon, ' ', l.f_lat) JOIN en b ON b.code = concat(l.t_lon, ' ', l.t_lat))
 SELECT obs_key, round(CASE WHEN v < 0 THEN v + 2 * pi() ELSE v END, 8) AS calc FROM m""",
 )
 def _(t):
