@@ -6,6 +6,13 @@ words weigh as much as the templates' median word. Lines are screened by an uppe
 so what remains is scored exactly. A file's licence is its most similar passage at ``LEAST`` or more (on ties the
 longer, then the earlier passage, then the template's name).
 
+Notices that share their lines with other words are found by word windows from every word, inside lines and across
+them: of each template's length and, for templates of ``WHOLE`` words or more, of the ``CUTS`` of it. A window must hold
+the template's words among ``NAMES``. It gives the licence where it is more similar than every run of lines and names another
+licence; where both name the same, the run of lines is reported. In a file without such a passage, the longest (then the first)
+title or SPDX tag of ``TITLES`` that stands in it word for word gives the licence, at a cosine of 1, and before a bare "all rights
+reserved"; a copyright line without those words names no licence.
+
 A file named like a licence file, or mostly made of licence text, speaks for its directory: files without a licence of
 their own take that of their nearest ancestor directory that has one (of several files there the most similar,
 then the first path). Directories are joined by path, each once; a directory that holds a third of all files is split by the join.
@@ -30,6 +37,8 @@ from cairn.llm.common import freeze
 LEAST = 0.7
 SCREEN = 0.25
 SPANS = (1, 3, 8, 20)
+WHOLE = 12
+CUTS = (0.75, 0.5)
 MOSTLY = 0.5
 FILE_NAMES = r"(?i)^(un)?licen[cs]e|^copying|^copyright|^notice"
 
@@ -62,12 +71,47 @@ TEMPLATES = (
     ("proprietary", "All rights reserved."),
 )
 
+RESERVED = "proprietary"
+# Words that tell licences apart.
+NAMES = """license apache mit bsd gnu lesser affero mozilla eclipse cc0 cc creative commons attribution
+sharealike noncommercial noderivatives sa nc nd 2 3 4""".split()
+# Licences by name.
+TITLES = (
+    *(("Apache-2.0", t) for t in ("Apache License 2.0", "Apache License Version 2.0", "Apache License v2.0", "Apache License v 2.0", "Apache 2.0 License")),
+    *(("MIT", t) for t in ("MIT License", "MIT Licence")),
+    *(("BSD", t) for t in ("BSD License", "BSD 2-Clause", "BSD 3-Clause", "BSD-style license")),
+    *((f"GPL-{v}.0", t + v) for v in "23" for t in ("GNU General Public License version ", "GNU General Public License v", "GNU GPL version ", "GNU GPL v", "GPL version ", "GPL v", "GPLv")),
+    *(("LGPL", t) for t in ("GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "LGPLv2", "LGPLv3")),
+    *(("AGPL-3.0", t) for t in ("GNU Affero General Public License", "GNU AGPL", "AGPLv3")),
+    *((f"{short}-2.0", f"{name} Public License{v}2.0") for short, name in (("MPL", "Mozilla"), ("EPL", "Eclipse")) for v in (" ", " version ", " v", " v ")),
+    ("ISC", "ISC License"),
+    ("Unlicense", "The Unlicense"),
+    ("CC0-1.0", "CC0 1.0"),
+    *(
+        (f"CC-BY{short}-4.0", title)
+        for short, name in (("", ""), ("-SA", "-ShareAlike"), ("-NC", "-NonCommercial"), ("-ND", "-NoDerivatives"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-NC-ND", "-NonCommercial-NoDerivatives"))
+        for title in (f"CC BY{short} 4.0", f"Creative Commons Attribution{name} 4.0")
+    ),
+    *(
+        (name, f"SPDX-License-Identifier: {tag}")
+        for name, tags in {
+            "BSD": ("BSD-2-Clause", "BSD-3-Clause", "0BSD"), "LGPL": ("LGPL-2.0", "LGPL-2.1", "LGPL-3.0"), "Apache-2.0": ("Apache-2.0",), "MIT": ("MIT",), "GPL-2.0": ("GPL-2.0",), "GPL-3.0": ("GPL-3.0",),
+            "AGPL-3.0": ("AGPL-3.0",), "MPL-2.0": ("MPL-2.0",), "EPL-2.0": ("EPL-2.0",), "ISC": ("ISC",), "Unlicense": ("Unlicense",), "CC0-1.0": ("CC0-1.0",),
+        }.items()
+        for tag in tags
+    ),
+    (RESERVED, "All rights reserved"),
+)
+
 
 class Index(NamedTuple):
     names: list[str]
     vocabulary: np.ndarray
     idf: np.ndarray  # of the vocabulary, and last of any other word
     rows: np.ndarray  # template x word, of norm 1
+    sizes: list[list[int]]  # words of each template's windows
+    keys: list[np.ndarray]  # words each template's windows must hold
+    titles: list[tuple[str, np.ndarray]]
 
 
 def _words(text: str) -> np.ndarray:
@@ -101,7 +145,12 @@ def build(texts: DataFrame, templates=TEMPLATES) -> Index:
     for i, own in enumerate(words):
         np.add.at(rows[i], np.searchsorted(vocabulary, own), 1)
     rows *= idf
-    return Index([n for n, _ in templates], vocabulary, np.append(idf, np.median(idf)), rows / np.linalg.norm(rows, axis=1, keepdims=True))
+    sizes = [[len(own), *(int(np.ceil(len(own) * cut)) for cut in CUTS if len(own) >= WHOLE)] for own in words]
+    names = _words(" ".join(NAMES))
+    return Index(
+        [n for n, _ in templates], vocabulary, np.append(idf, np.median(idf)), rows / np.linalg.norm(rows, axis=1, keepdims=True),
+        sizes, [np.intersect1d(own, names) for own in words], [(n, _words(t)) for n, t in TITLES],
+    )
 
 
 def cosines(words: np.ndarray, index: Index, seen: np.ndarray) -> np.ndarray:
@@ -113,6 +162,82 @@ def cosines(words: np.ndarray, index: Index, seen: np.ndarray) -> np.ndarray:
     return index.rows[:, known] @ a / norm if norm else np.zeros(len(index.names))
 
 
+def _best_window(words: np.ndarray, seen: np.ndarray, index: Index, template: int, least: float) -> tuple | None:
+    """``(cosine, words, -first word)`` of the window of one text that is most similar to a template, if ``least`` or more."""
+    n, best = len(words), None
+    weight = index.idf[seen]
+    dots = np.concatenate(([0.0], np.cumsum((np.append(index.rows[template], 0.0) * index.idf)[seen])))
+    mass = np.concatenate(([0.0], np.cumsum(weight**2)))
+    longest = max(index.sizes[template])
+    words, weight = np.append(words, np.zeros(longest, np.uint64)), np.append(weight, np.zeros(longest))
+    for size in index.sizes[template]:
+        ends = np.minimum(np.arange(n) + size, n)
+        dot = dots[ends] - dots[:-1]
+        # Each word counted apart gives too small a norm here too.
+        likely = np.flatnonzero(dot >= (least - 1e-6) * np.sqrt(np.maximum(mass[ends] - mass[:-1], 0)))
+        for some in np.array_split(likely, len(likely) * size // (1 << 20) + 1):
+            for key in index.keys[template]:
+                holds = np.concatenate(([0], np.cumsum(words[:n] == key)))
+                some = some[holds[ends[some]] > holds[some]]
+            if not len(some):
+                continue
+            place = some[:, None] + np.arange(size)
+            place = np.take_along_axis(place, np.argsort(words[place], axis=1), axis=1).ravel()
+            own = words[place]
+            new = np.concatenate(([True], own[1:] != own[:-1]))
+            new[::size] = True
+            runs = np.flatnonzero(new)
+            squares = (np.diff(np.append(runs, len(own))) * weight[place[runs]]) ** 2
+            found = np.round(dot[some] / np.sqrt(np.add.reduceat(squares, np.flatnonzero(runs % size == 0))), 12)
+            k = int(found.argmax())
+            entry = (float(found[k]), int(ends[some[k]] - some[k]), -int(some[k]))
+            if found[k] >= least and (best is None or entry > best):
+                best = entry
+    return best
+
+
+def _titles(w: V.Words, owner: np.ndarray, index: Index) -> dict[int, tuple]:
+    """Of each text that holds a title ``(not a bare notice of rights, words, -first word, licence)`` of the longest."""
+    starts = {int(first): np.flatnonzero(w.hashes == first) for first in {own[0] for _, own in index.titles}}
+    out: dict[int, tuple] = {}
+    for name, own in index.titles:
+        at = starts[int(own[0])]
+        at = at[at + len(own) <= len(w.hashes)]
+        for k in range(1, len(own)):
+            at = at[w.hashes[at + k] == own[k]]
+        for i in at[owner[at] == owner[at + len(own) - 1]]:
+            text, entry = int(owner[i]), (name != RESERVED, len(own), -int(i), name)
+            out[text] = max(out.get(text, entry), entry)
+    return out
+
+
+def _embedded(w: V.Words, seen: np.ndarray, owner: np.ndarray, line: np.ndarray, first_line: np.ndarray, index: Index, least: float, out: list[tuple | None]) -> None:
+    """Enter in ``out`` the passages inside and across lines."""
+
+    def entry(name: str, cosine: float, a: int, b: int) -> tuple:
+        text = owner[a]
+        return name, cosine, int(line[a] - first_line[text]) + 1, int(line[b - 1] - first_line[text]) + 1, float(b - a) / float(w.offsets[text + 1] - w.offsets[text])
+
+    # A window is at most as similar as all the template's words in its text would be alone.
+    present = np.zeros((len(out), len(index.vocabulary) + 1), np.float32)
+    present[owner, seen] = 1
+    reach = present[:, :-1] @ (index.rows**2).T.astype(np.float32) >= least**2 - 1e-4
+    reach[:, [n == RESERVED for n in index.names]] = False
+    for text in np.flatnonzero(reach.any(axis=1)):
+        a, b = w.offsets[text], w.offsets[text + 1]
+        old = out[text] if out[text] and out[text][0] != RESERVED else None
+        if old and old[1] >= 1:
+            continue
+        found = [(best, index.names[t]) for t in np.flatnonzero(reach[text]) if (best := _best_window(w.hashes[a:b], seen[a:b], index, t, least))]
+        if found:
+            (cosine, size, first), name = max(found)
+            if old is None or cosine > old[1] and name != old[0]:
+                out[text] = entry(name, cosine, a - first, a - first + size)
+    for text, (named, size, first, name) in _titles(w, owner, index).items():
+        if out[text] is None or named and out[text][0] == RESERVED:
+            out[text] = entry(name, 1.0, -first, -first + size)
+
+
 def best_passages(part: V.Slice, index: Index, least: float = LEAST) -> list[tuple | None]:
     """For each text the ``(licence, cosine, first line, last line, share of the text's words)`` of its best passage."""
     w = V.words(part)
@@ -125,12 +250,15 @@ def best_passages(part: V.Slice, index: Index, least: float = LEAST) -> list[tup
     seen = np.minimum(np.searchsorted(vocabulary, w.hashes), len(vocabulary) - 1)
     seen = np.where(vocabulary[seen] == w.hashes, seen, len(vocabulary))
     owner = V.owners(w.offsets)
-    line = np.searchsorted(np.flatnonzero(part.data == 10), w.starts) + owner  # every text begins a line
+    breaks = np.flatnonzero(part.data == 10)
+    line = np.searchsorted(breaks, w.starts) + owner  # every text begins a line
     heads = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     ends = np.append(heads[1:], n)
     # Each word counted apart gives too small a norm, so this cosine is an upper bound.
     known = np.flatnonzero(seen < len(vocabulary))
+    first_line = np.searchsorted(breaks, part.offsets[:-1]) + np.arange(texts)
     if not len(known):
+        _embedded(w, seen, owner, line, first_line, index, least, out)
         return out
     scale = np.vstack([(index.rows * index.idf[:-1]).T, np.zeros(len(index.names))])
     at = np.searchsorted(heads, known, "right") - 1
@@ -138,7 +266,6 @@ def best_passages(part: V.Slice, index: Index, least: float = LEAST) -> list[tup
     dots = np.add.reduceat(scale[seen[known]], first, axis=0).max(axis=1)
     norms = np.sqrt(np.add.reduceat(index.idf[seen] ** 2, heads))
     lines = at[first]
-    number = {}
     for i in lines[dots / norms[lines] >= SCREEN]:
         text = int(owner[heads[i]])
         for span in SPANS:
@@ -151,13 +278,12 @@ def best_passages(part: V.Slice, index: Index, least: float = LEAST) -> list[tup
             found = cosines(w.hashes[a:b], index, seen[a:b])
             k = max(range(len(found)), key=lambda t: (found[t], index.names[t]))
             if found[k] >= least:
-                if text not in number:
-                    number[text] = int(np.searchsorted(np.flatnonzero(part.data == 10), part.offsets[text])) + text
-                top, last = int(line[heads[i]]) - number[text], int(line[heads[j]]) - number[text]
+                top, last = int(line[heads[i]] - first_line[text]), int(line[heads[j]] - first_line[text])
                 entry = (index.names[k], round(float(found[k]), 12), top + 1, last + 1, float(b - a) / float(w.offsets[text + 1] - w.offsets[text]))
                 old = out[text]
                 if old is None or (entry[1], entry[3] - entry[2], -entry[2], entry[0]) > (old[1], old[3] - old[2], -old[2], old[0]):
                     out[text] = entry
+    _embedded(w, seen, owner, line, first_line, index, least, out)
     return out
 
 

@@ -84,3 +84,30 @@ def test_whole_table_finds_every_licence_line(spark):
     assert set(got) == set(docs)
     for i, text in docs.items():
         assert (got[i].license is not None) == bool(re.search("(?i)licensed under|released under the|all rights reserved", text or ""))
+
+
+def test_notices_inside_longer_lines(spark):
+    wrapped = L.TEMPLATES[7][1].split()
+    want = {
+        "Copyright (c) 2020 Foo Corporation. All rights reserved.": "proprietary",
+        "The MIT License (MIT)": "MIT",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": "GPL-3.0",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3": "LGPL",
+        "// SPDX-License-Identifier: Apache-2.0 " + prose(1, 30): "Apache-2.0",
+        "spdx-license-identifier: CC0-1.0": "CC0-1.0",
+        prose(2, 12) + " Released under the MIT License. " + prose(3, 9): "MIT",
+        "This project is licensed under the MIT License - see the LICENSE.md file for details": "MIT",
+        "Copyright (c) 2020 Foo. All rights reserved. Use under the Apache License, v2.0.": "Apache-2.0",
+        prose(4, 90) + " " + MIT.replace("sublicense", "w7") + " " + prose(5, 200): "MIT",
+        prose(6, 40) + " " + " ".join(MIT.split()[:60]) + " " + prose(7, 40): "MIT",
+        prose(8, 20) + " " + " ".join(wrapped[:6]) + "\n" + " ".join(wrapped[6:]) + " " + prose(9, 20): "GPL-3.0",
+        "the license of the software and all the rights to it are under a license": None,
+        "Copyright (c) 2020 Foo": None,
+        "some rights reserved": None,
+        "## License": None,
+        "research at MIT under the terms": None,
+    }
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate([*want, *(prose(100 + i, 50) for i in range(60))])]
+    got = {r.id: r for r in L.scan(frame(spark, rows), F.lit("x/y")).collect()}
+    assert {t: got[i].license for i, t in enumerate(want)} == want
+    assert (got[11].first_line, got[11].last_line) == (1, 2)
