@@ -212,10 +212,16 @@ def near_classes(
         )
     )
     held = members.select("cls", "bucket").join(joined, "bucket").groupBy("cls").agg(F.collect_list(F.struct("bucket", "blocks")).alias("held"))
-    wanted = freeze(held.join(classes.select("cls", "_as", "copies"), "cls").select("cls", "copies", "held", F.col("_as.doc_id").alias("_id"), F.col("_as.text_key").alias("_text")))
+    repeats = signed.filter("grams > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).count().filter("count > 1")
+    wanted = held.join(classes.select("cls", "_as", "copies"), "cls").select("cls", "copies", "held", F.col("_as.doc_id").alias("_id"), F.col("_as.text_key").alias("_text"))
+    again = wanted["_id"].eqNullSafe(repeats["_id"]) & (wanted["_text"] == repeats["_text"])
+    wanted = freeze(wanted.join(repeats, again, "left").select(*[wanted[c] for c in wanted.columns], F.col("count").isNotNull().alias("_again")))
     found = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("_doc"), text_key(F.col(text_col).cast("string")).alias("_key")).join(
         wanted, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text"))
     )
+    # Rows that repeat an id and text hold the same set; one of them goes to the cells.
+    if not wanted.filter("_again").isEmpty():
+        found = found.filter("NOT _again").unionByName(found.filter("_again").dropDuplicates(["cls"]))
     sets = found.select("text", "cls", "copies", "held").mapInArrow(_gram_sets(size), "grams binary, cls binary, copies long, held array<struct<bucket:long,blocks:int>>")
     cells = (
         sets.withColumn("buckets", F.col("held.bucket")).withColumn("_h", F.explode("held"))

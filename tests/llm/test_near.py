@@ -93,3 +93,28 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(300, 301), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), salts=4).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 300: 300, 301: 300}
+
+
+def test_repeated_rows_send_one_set_to_a_cell(spark, monkeypatch):
+    verify = near._verify
+
+    def strict(threshold):
+        inner = verify(threshold)
+
+        def run(batches):
+            seen = set()
+
+            def checked():
+                for batch in batches:
+                    for key in zip(*(batch.column(n).to_pylist() for n in ("bucket", "low", "high", "cls"))):
+                        assert key not in seen
+                        seen.add(key)
+                    yield batch
+
+            yield from inner(checked())
+
+        return run
+
+    monkeypatch.setattr(near, "_verify", strict)
+    rows = cluster(6) + cluster(6)[:1] * 50 + [(None, r[1], "en", "a", 1) for r in cluster(4, 100)] * 20 + cluster(5, 200)
+    assert found(near.near_classes(frame(spark, rows))) == expected(rows)
