@@ -186,7 +186,8 @@ def near_classes(
     block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest id of its class), n_links (other rows at or above
-    the threshold, copies included), n_texts (other n-gram sets linked), copies, keep_id (largest id of the class), text_key."""
+    the threshold, copies included), n_texts (other n-gram sets linked), copies, keep_id (largest id of the class), text_key,
+    keep_key (text_key of the row that stays, the largest of those with the largest id)."""
     bands, rows = bands_and_rows(threshold, recall)
     text = F.lower(F.col(text_col).cast("string"))
     signed = freeze(
@@ -196,7 +197,8 @@ def near_classes(
     )
     classes = freeze(
         signed.filter("grams > 0").groupBy("cls").agg(
-            F.min(F.struct("doc_id", "text_key")).alias("_as"), F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"),
+            F.min(F.struct("doc_id", "text_key")).alias("_as"), F.min("doc_id").alias("least_id"),
+            F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text_key")).alias("most"),
             F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"),
         )
     )
@@ -234,20 +236,30 @@ def near_classes(
     links = freeze(cells.mapInArrow(_verify(threshold), "cls binary, texts long, rows long, root binary"))
     parts = components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")).filter("a <> b").distinct())
     counts = links.groupBy("cls").agg(F.sum("texts").alias("texts"), F.sum("rows").alias("rows"))
-    named = classes.select("cls", "copies", "least_id", "most_id").join(counts, "cls", "left").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
+    named = classes.select("cls", "copies", "least_id", "most").join(counts, "cls", "left").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
     named = with_group_stats(
         named.withColumn("component", F.coalesce("component", "cls")), ["component"],
-        {"class_id": ("min", F.col("least_id")), "keep_id": ("max", F.col("most_id"))}, ["cls"],
+        {"class_id": ("min", F.col("least_id")), "keep": ("max", F.col("most"))}, ["cls"],
     )
-    named = freeze(named.select("cls", "copies", "texts", "rows", "class_id", "keep_id"))
+    named = freeze(named.select("cls", "copies", "texts", "rows", "class_id", F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_key").alias("keep_key")))
     return signed.select("doc_id", "text_key", "cls").join(named, "cls", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
         (F.coalesce("rows", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.coalesce("keep_id", "doc_id").alias("keep_id"), "text_key",
+        F.coalesce("keep_key", "text_key").alias("keep_key"),
     )
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class, that with the largest id; rows without id and rows that repeat a kept id and text stay together."""
-    gone = freeze(near_classes(docs, id_col, text_col, **options).filter("doc_id <> keep_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).distinct())
-    return docs.join(gone, (docs[id_col].cast("long") == gone["_id"]) & (text_key(docs[text_col].cast("string")) == gone["_text"]), "left_anti")
+    """``docs`` with one row of each class: that with the largest id, then ``text_key``; rows without id only where no row of the class has one."""
+    found = near_classes(docs, id_col, text_col, **options).withColumn("_stays", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key")))
+    # Texts without words are classes of their own, of one row, however often they occur.
+    found = found.groupBy("doc_id", "text_key").agg(F.max("_stays").alias("_stays"), ((F.count("*") > 1) & (F.max("copies") > 1)).alias("_repeated"))
+    found = freeze(found.filter("NOT _stays OR _repeated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "_stays"))
+    same = lambda k: docs[id_col].cast("long").eqNullSafe(k["_id"]) & (text_key(docs[text_col].cast("string")) == k["_text"])
+    gone, repeated = found.filter("NOT _stays"), found.filter("_stays")
+    stay = docs.join(gone, same(gone), "left_anti")
+    if repeated.isEmpty():
+        return stay
+    once = stay.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, text_col])
+    return stay.join(repeated, same(repeated), "left_anti").unionByName(once)

@@ -118,3 +118,18 @@ def test_repeated_rows_send_one_set_to_a_cell(spark, monkeypatch):
     monkeypatch.setattr(near, "_verify", strict)
     rows = cluster(6) + cluster(6)[:1] * 50 + [(None, r[1], "en", "a", 1) for r in cluster(4, 100)] * 20 + cluster(5, 200)
     assert found(near.near_classes(frame(spark, rows))) == expected(rows)
+
+
+def test_drop_near_keeps_one_row_where_ids_are_null_or_repeated(spark):
+    row = lambda i, text: (i, text, "en", "a", 1)
+    nulls = [row(None, r[1]) for r in cluster(8)]
+    same_id = [row(300, r[1]) for r in cluster(8, 300)]
+    some = [row(None if k % 2 else 400 + k, r[1]) for k, r in enumerate(cluster(9, 400))]
+    copies = cluster(5, 500) + cluster(5, 500)[-1:] * 3
+    single = [row(None, prose(950, 60)), row(600, "..."), row(600, "..."), row(601, None), row(None, None), row(None, None)]
+    out = near.drop_near(frame(spark, nulls + same_id + some + copies + single, wide=True)).collect()
+    texts = {r[1] for r in nulls}
+    assert sum(r.text in texts for r in out) == 1
+    left = Counter((r.doc_id, r.text) for r in out if r.text not in texts)
+    assert [n for (i, _), n in left.items() if i == 300] == [1]
+    assert left - Counter({k: n for k, n in left.items() if k[0] == 300}) == Counter([some[8][:2], copies[-1][:2], *(r[:2] for r in single)])
