@@ -3,7 +3,7 @@
 The base kinds are matched by pattern, leftmost and non-overlapping within a kind. Beyond them, any
 value in a credential context (``passphrase: ...``, ``client_secret => ...``) is priced by the
 cheapest way to guess it: a dynamic programme over all segmentations into dictionary words, dates,
-repeats, keyboard or alphabet runs and brute force. Values that cost at least ``10**MIN_COST`` guesses
+repeats of up to 8 characters, keyboard or alphabet runs (both of any length) and brute force. Values that cost at least ``10**MIN_COST`` guesses
 become ``cred`` spans unless a base ``assign`` span holds them; cheap ones (placeholders) do not. Base
 spans always stay; how many of them hold a cheap value is reported beside them.
 
@@ -52,8 +52,8 @@ _LONGEST = max(map(len, WORDS))
 _NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:])}
 _NEXT |= {(b, a) for a, b in _NEXT}
 _DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d)")
-_REPEAT = re.compile(r"(.{1,8}?)\1+", re.S)
-_REACH = 64
+_UNIT = 8
+_LOOK = 64
 _SEGMENT = math.log10(2)
 _LOG = {n: math.log10(n) for n in range(1, 4096)}
 
@@ -78,8 +78,8 @@ def word_cost(piece: str) -> float | None:
     return math.log10(_RANK[plain]) + case + sum(_LOG[2] for a, b in zip(low, plain) if a != b)
 
 
-def segments(value: str, at: int) -> Iterator[tuple[int, float]]:
-    """``(end, log guesses)`` of every known piece that starts at ``at``, brute force of one character apart."""
+def pieces(value: str, at: int) -> Iterator[tuple[int, float]]:
+    """``(end, log guesses)`` of every word and date that starts at ``at``."""
     for size in range(3, min(_LONGEST, len(value) - at) + 1):
         cost = word_cost(value[at : at + size])
         if cost is not None:
@@ -90,43 +90,92 @@ def segments(value: str, at: int) -> Iterator[tuple[int, float]]:
             yield date.end(), _LOG[150] + (_LOG[365] + _LOG[4] if date.end() - at > 4 else 0.0)
             if date.end() - at > 4 and _DATE.fullmatch(value, at, at + 4):
                 yield at + 4, _LOG[150]
-    again = _REPEAT.match(value, at, at + _REACH)
-    if again:
-        unit = again[1]
-        once = min(sum(map(char_cost, unit)), word_cost(unit) if len(unit) > 2 and word_cost(unit) is not None else math.inf)
-        for times in range(2, (again.end() - at) // len(unit) + 1):
-            if times * len(unit) > 2:
-                yield at + times * len(unit), once + math.log10(times)
-    end = at + 1
-    turns, before = 0, None
-    low = value[at : at + _REACH].lower()
-    while end - at < len(low) and (low[end - at - 1], low[end - at]) in _NEXT:
-        way = ord(low[end - at]) > ord(low[end - at - 1])
-        turns += before is not None and way != before and not low[end - at].isalpha()
-        before = way
+
+
+def _unit_cost(unit: str) -> float:
+    word = word_cost(unit) if len(unit) > 2 else None
+    return min(sum(map(char_cost, unit)), math.inf if word is None else word)
+
+
+def _repeat_edge(value: str, at: int, unit: int) -> int:
+    """The first place from ``at`` whose character does not come again ``unit`` later."""
+    while at + unit < len(value) and value[at] == value[at + unit]:
+        at += 1
+    return at
+
+
+def _walk(low: list[str], at: int) -> tuple[int, list[int]]:
+    """The end of the keyboard or alphabet run from ``at``, and the turns up to each of its characters."""
+    turns, end = [0], at + 1
+    while end < len(low) and (low[end - 1], low[end]) in _NEXT:
+        turn = end - at > 1 and (low[end] > low[end - 1]) != (low[end - 1] > low[end - 2]) and not low[end].isalpha()
+        turns.append(turns[-1] + turn)
         end += 1
-        if end - at >= 3:
-            yield end, _LOG[47] + math.log10(end - at) + turns * _LOG[5]
+    return end, turns
+
+
+def segments(value: str, at: int) -> Iterator[tuple[int, float]]:
+    """``(end, log guesses)`` of every known piece that starts at ``at``, brute force of one character apart."""
+    yield from pieces(value, at)
+    for unit in range(1, _UNIT + 1):
+        for times in range(3 if unit == 1 else 2, (_repeat_edge(value, at, unit) - at) // unit + 2):
+            yield at + times * unit, _unit_cost(value[at : at + unit]) + math.log10(times)
+    end, turns = _walk([c.lower() for c in value], at)
+    for size in range(3, end - at + 1):
+        yield at + size, _LOG[47] + math.log10(size) + turns[size - 1] * _LOG[5]
 
 
 def guess_cost(value: str, enough: float = math.inf) -> float:
-    """Log10 of the fewest guesses that any segmentation of ``value`` needs.
+    """Log10 of the fewest guesses that any segmentation of ``value`` into ``segments`` needs.
 
-    Adjacent brute-force characters are one segment. Stops early with a lower bound of at least
-    ``enough`` once no segmentation can come out cheaper.
+    Adjacent brute-force characters are one segment. A repeat or keyboard run of any length is laid out once from its
+    first place, and again from a later one only where that can come out cheaper. Stops early with a lower bound of at
+    least ``enough`` once no segmentation can come out cheaper.
     """
     n = len(value)
     known, brute = [math.inf] * (n + 1), [math.inf] * (n + 1)
     known[0] = 0.0
+    low = [c.lower() for c in value]
+    edges, origins = [-1] * (_UNIT + 1), [{} for _ in range(_UNIT + 1)]
+    walk, walk_from, turns, walk_origin = 0, 0, [0], None
+    furthest, check = 0, _LOOK
     for i in range(n):
         start = min(known[i], brute[i])
+        begun = start + (_SEGMENT if i else 0.0)
         brute[i + 1] = min(brute[i], known[i] + (_SEGMENT if i else 0.0)) + char_cost(value[i])
-        for end, cost in segments(value, i):
-            known[end] = min(known[end], start + cost + (_SEGMENT if i else 0.0))
-        if i >= _REACH and i % 16 == 0:
-            least = min(min(known[i + 1 : i + _REACH + 2]), brute[i + 1])
+        for end, cost in pieces(value, i):
+            known[end] = min(known[end], begun + cost)
+            furthest = max(furthest, end)
+        for unit in range(1, _UNIT + 1):
+            if edges[unit] < i:
+                edges[unit], origins[unit] = _repeat_edge(value, i, unit), {}
+            times, least = (edges[unit] - i) // unit + 1, 3 if unit == 1 else 2
+            if times < least:
+                continue
+            # From an earlier place of the same run k more times cost log((k + m) / k) more at most.
+            before = origins[unit].get(i % unit)
+            if before and begun - before[1] >= math.log10(1 + (i - before[0]) / unit / least):
+                continue
+            origins[unit][i % unit] = i, begun
+            once = begun + _unit_cost(value[i : i + unit])
+            for k in range(least, times + 1):
+                known[i + k * unit] = min(known[i + k * unit], once + math.log10(k))
+            furthest = max(furthest, i + times * unit)
+        if i >= walk:
+            walk_from, walk_origin = i, None
+            walk, turns = _walk(low, i)
+        if walk - i >= 3:
+            passed = turns[i + 1 - walk_from]
+            if walk_origin is None or begun - walk_origin[1] < math.log10(1 + (i - walk_origin[0]) / 3) + (passed - walk_origin[2]) * _LOG[5]:
+                walk_origin = i, begun, passed
+                for end in range(i + 3, walk + 1):
+                    known[end] = min(known[end], begun + _LOG[47] + math.log10(end - i) + (turns[end - 1 - walk_from] - passed) * _LOG[5])
+                furthest = max(furthest, walk)
+        if i >= check:
+            least = min(min(known[i + 1 : max(furthest, i + 1) + 1]), brute[i + 1])
             if least >= enough:
                 return least
+            check = i + max(16, (furthest - i) // 4)
     return min(known[n], brute[n])
 
 

@@ -85,3 +85,32 @@ def test_credential_contexts_add_spans():
     assert got["n_assign"] == 1 and "assign" in got["spans"]
     assert S.scan("client_secret => tR7!uW3?zB")["n_cred"] == 1
     assert S.scan("password = passwordpassword")["n_cheap"] == 1
+
+
+def test_long_runs_are_one_piece():
+    assert S.guess_cost("*" * 200) == pytest.approx(math.log10(33) + math.log10(200))
+    assert S.guess_cost("*" * 200, S.MIN_COST) < S.MIN_COST
+    assert S.scan("passphrase: " + "*" * 129)["n_cred"] == 0
+    assert S.scan("password=" + "x" * 500)["n_cheap"] == 1
+    assert S.guess_cost("qw" * 150) == pytest.approx(math.log10(47) + math.log10(300))
+    assert S.guess_cost("*" * 100_000) == pytest.approx(math.log10(33) + 5)
+
+
+def table_cost(value):
+    """The cheapest of all segmentations, prefix by prefix."""
+    price = [sum(map(S.char_cost, value[:i])) for i in range(len(value) + 1)]
+    best = [0.0] + [math.inf] * len(value)
+    for i in range(len(value)):
+        gap = math.log10(2) if i else 0.0
+        for end, cost in [*((e, price[e] - price[i]) for e in range(i + 1, len(value) + 1)), *S.segments(value, i)]:
+            best[end] = min(best[end], best[i] + gap + cost)
+    return best[-1]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_runs_cost_the_cheapest_segmentation(seed):
+    rng = random.Random(seed)
+    part = lambda: rng.choice(["a", "ab", "123", "121", "pass", "x7Q", "*", "qwe", "2020", "aab", "ss", "543"]) * rng.choice([1, 2, 3, 30])
+    value = "".join(part() for _ in range(4))
+    assert S.guess_cost(value) == pytest.approx(table_cost(value))
+    assert S.guess_cost(value, 8) >= 8 or table_cost(value) < 8
