@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from cairn.llm.common import freeze, with_group_stats
 from cairn.plans.lineage import ensure_checkpoint_dir
 from cairn.plans.ordered import number_rows
-from cairn.plans.skew import salted_join
 
 FANOUT = 16
 SALTS = 256
@@ -136,13 +135,22 @@ def _segment(children: Column, digit: Column) -> Column:
     return F.struct(F.array_join(F.slice(children, F.lit(1), digit), "").alias("before"), F.array_join(F.slice(children, digit + 2, F.lit(FANOUT)), "").alias("after"))
 
 
+def _look_up(nodes: DataFrame, records: DataFrame, spread: list[str]) -> DataFrame:
+    """``nodes`` with the children that the store has under their digest.
+
+    Equal nodes recur only where rows are alike in every field; a digest is then asked for by parts.
+    """
+    dealt = nodes.withColumn("_part", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+    asked = dealt.select("digest", "_part").distinct().join(records, "digest")
+    return dealt.join(asked, ["digest", "_part"]).drop("_part")
+
+
 def _step(state: DataFrame, manifest: Manifest, height: int, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """From the nodes of ``height`` to those of their children that ``wanted(keys, at)`` has."""
     digit = (F.col("at") % FANOUT).cast("int")
     next_ = wanted.withColumn("_up", F.floor(F.col("at") / F.lit(FANOUT))).join(state.withColumnRenamed("at", "_up"), [*keys, "_up"])
-    # Equal nodes recur only where rows are alike in every field; such a digest is split.
-    found = salted_join(next_, manifest.records(height), ["digest"], [*keys, "at"])
-    return found.select(*keys, "at", F.element_at("children", digit + 1).alias("digest"), F.concat("path", F.array(_segment(F.col("children"), digit))).alias("path"))
+    found = _look_up(next_, manifest.records(height), [*keys, "at"])
+    return freeze(found.select(*keys, "at", F.element_at("children", digit + 1).alias("digest"), F.concat("path", F.array(_segment(F.col("children"), digit))).alias("path")))
 
 
 def _prefixes(places: DataFrame, keys: list[str], height: int) -> DataFrame:
@@ -169,7 +177,7 @@ def prove(manifest: Manifest, runs: DataFrame | None = None) -> DataFrame:
     # A lone leaf is its source's subroot: it has no run to pick from.
     last = at_source.filter("height = 0").select("first", "at", "path", F.lit(None).cast("array<string>").alias("children"))
     if manifest.heights:
-        last = last.unionByName(salted_join(state, manifest.records(1), ["digest"], ["first", "at"]).select("first", "at", "path", "children"))
+        last = last.unionByName(_look_up(state, manifest.records(1), ["first", "at"]).select("first", "at", "path", "children"))
     each = runs.join(last, ["first", "at"]).select("first", "source", "path", "children", F.explode("members").alias("member"))
     digit = (F.col("member")["rank"] % FANOUT).cast("int")
     own = F.when(F.col("children").isNull(), F.expr(empty)).otherwise(F.array(_segment(F.col("children"), digit)))
