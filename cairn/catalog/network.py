@@ -14,6 +14,7 @@ from cairn.functions.ellipsoid import GRS80
 from cairn.operators import adjust as A
 from cairn.operators import covariance as CV
 from cairn.operators import deform as DF
+from cairn.operators import normal as N
 from cairn.operators import observe as O
 from cairn.operators import residuals as RS
 from cairn.operators import solve as V
@@ -234,3 +235,48 @@ def _(t):
     return out.select("code", F.round("adj_e", 6).alias("adj_e"), F.round("errhor", 7).alias("errhor"), "calc_order")
 
 
+def level_line(t):
+    """One line of height differences through all stations by number, from a bench mark: bordered cells, by SQL's own means."""
+    n = F.substring("code", 2, 20).cast("long")
+    s = t.stations.select("code", n.alias("n"), F.when(n == 1, 1.0e-4).otherwise(((n * 37) % 11 + 1) * 1.0e-6).alias("v"), (((n * 613) % 401 - 200) * 1.0e-4).alias("d"))
+    before = s.select((F.col("n") + 1).alias("n"), F.col("code").alias("before"))
+    ends = s.join(before, "n", "left")
+    term = lambda c, k: F.struct(F.concat(c, F.lit("|u")).alias("param"), F.lit(k).alias("coef"))
+    design = F.when(F.col("before").isNull(), F.array(term(F.col("code"), 1.0))).otherwise(F.array(term(F.col("code"), 1.0), term(F.col("before"), -1.0)))
+    return N.split_cells(A.cut(N.normal_cells(ends.select(F.col("d").alias("misclosure"), (1.0 / F.col("v")).alias("weight"), design.alias("design")))))
+
+
+LINE = """, s AS (SELECT CAST(substr(code, 2) AS BIGINT) AS n FROM fx_stations),
+l AS (SELECT n, sum(CASE WHEN n = 1 THEN 1.0E-4 ELSE ((n * 37) % 11 + 1) * 1.0E-6 END) OVER w AS v, sum(((n * 613) % 401 - 200) * 1.0E-4) OVER w AS x FROM s WINDOW w AS (ORDER BY n))
+"""
+
+
+@query("long_line_heights", with_views("stations") + LINE + "SELECT concat('C', n, '|u') AS param, round(x, 7) AS x, false AS singular FROM l")
+def _(t):
+    """Heights along a line of all stations, solved over separators; the sums of the differences along the line."""
+    matrix, rhs, _ = level_line(t)
+    return V.solve(matrix, rhs, limit=100, stored=True).select("param", F.round("x", 7).alias("x"), "singular")
+
+
+@query(
+    "long_line_covariances",
+    with_views("stations") + LINE + """, p AS (SELECT a.n AS a, b.n AS b, a.v FROM l a JOIN l b ON b.n - a.n IN (0, 1, 10))
+SELECT greatest(concat('C', a, '|u'), concat('C', b, '|u')) AS row, least(concat('C', a, '|u'), concat('C', b, '|u')) AS col, round(v * 1.0E6, 4) AS mm2 FROM p""",
+)
+def _(t):
+    """Variances, covariances of neighbours and of marks ten apart along a line of all stations, from one selected inversion."""
+    matrix, _, _ = level_line(t)
+    n = F.substring("code", 2, 20).cast("long")
+    far = t.stations.select(F.concat("code", F.lit("|u")).alias("row"), F.concat(F.lit("C"), n + 10, F.lit("|u")).alias("col"))
+    return V.inverse_cells(matrix, far, limit=100).select("row", "col", F.round(F.col("value") * 1e6, 4).alias("mm2"))
+
+
+@query("station_blocks_by_dissection", with_views("stations") + "SELECT code, 6 AS cells, true AS same FROM fx_stations WHERE CAST(substr(code, 2) AS BIGINT) % 10 <> 0")
+def _(t):
+    """Every station's own block of the inverse of the three-dimensional network: over separators and by one dense inverse."""
+    matrix = adjusted(t, mode="preanalysis").matrix
+    code = lambda c: F.split(c, r"\|")[0]
+    own = lambda df, name: df.filter(code("row") == code("col")).select("row", "col", F.col("value").alias(name))
+    both = own(V.inverse_cells(matrix), "dense").join(own(V.inverse_cells(matrix, limit=10), "split"), ["row", "col"], "full")
+    near = F.abs(F.col("dense") - F.col("split")) < 1.0e-9 * (F.abs("dense") + 1.0e-6)
+    return both.groupBy(code("row").alias("code")).agg(F.count("*").cast("int").alias("cells"), F.bool_and(F.coalesce(near, F.lit(False))).alias("same"))

@@ -1,4 +1,4 @@
-"""Solving normal equations: one task per small component, conjugate gradients across tasks for large ones."""
+"""Solving normal equations: one task per small component; large ones by dissection if sparse, else by conjugate gradients."""
 
 from __future__ import annotations
 
@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.dissect import dissect
 from cairn.operators.graph import connected_components
 from cairn.plans.lineage import cut
 
 DENSE_LIMIT = 1500
 PACK_ROWS = 200_000
 NULL_PIVOT = 1.0e-10
+SPARSE_CELLS = 24  # stored cells a parameter up to which separators are expected to be small
 
 
 def components_of(matrix: DataFrame) -> DataFrame:
@@ -177,13 +179,14 @@ def conjugate_gradients(
 
 def solve(
     matrix: DataFrame, rhs: DataFrame, limit: int = DENSE_LIMIT, tolerance: float = 1.0e-12,
-    comps: DataFrame | None = None, stored: bool = False,
+    comps: DataFrame | None = None, stored: bool = False, direct: bool = True,
 ) -> DataFrame:
     """``(param, x, singular)`` of the normal equations, component by component.
 
-    ``singular`` is null in components above ``limit``, where solving does not tell; :func:`singular_parameters` does.
-    ``stored`` says that the cells already lie in the checkpoint folder; ``comps`` hands in the components of an
-    earlier solution over the same graph.
+    Components above ``limit`` are solved by :func:`~cairn.operators.dissect.dissect` if they are sparse and their fronts
+    are small, which suits long thin networks; else (or with ``direct`` off) by conjugate gradients, where ``singular`` is
+    null as solving does not tell; :func:`singular_parameters` does. ``stored`` says that the cells already lie in the
+    checkpoint folder; ``comps`` hands in the components of an earlier solution over the same graph.
     """
     if not stored:
         matrix, rhs = cut(matrix), cut(rhs)
@@ -194,8 +197,11 @@ def solve(
     large = comps.filter(F.col("size") > limit).select("param")
     if large.limit(1).count():
         part = matrix.join(large.withColumnRenamed("param", "row"), "row")
-        b = rhs.join(large, "param").withColumn("rhs_id", F.lit(0).cast("long"))
-        cg = conjugate_gradients(part, b, tolerance)
+        b = rhs.join(large, "param")
+        split = dissect(part, b) if direct and part.count() <= SPARSE_CELLS * large.count() else None
+        if split is not None:
+            return out.unionByName(split.solution)
+        cg = conjugate_gradients(part, b.withColumn("rhs_id", F.lit(0).cast("long")), tolerance)
         out = out.unionByName(cg.select("param", "x", F.lit(None).cast("boolean").alias("singular")))
     return out
 
@@ -228,12 +234,13 @@ def singular_parameters(matrix: DataFrame, limit: int = DENSE_LIMIT, seen: float
 
 
 def inverse_cells(
-    matrix: DataFrame, wanted: DataFrame | None = None, limit: int = DENSE_LIMIT, batch: int = 96
+    matrix: DataFrame, wanted: DataFrame | None = None, limit: int = DENSE_LIMIT, batch: int = 96, direct: bool = True
 ) -> DataFrame:
     """Cells ``(row, col, value)`` of the inverse.
 
     Small components give their stored cells, and any ``wanted(row, col)`` pair, from one dense inverse.
-    Large ones solve for unit vectors of the wanted columns, ``batch`` at a time. Wanted pairs with ends in
+    Large ones give theirs by selected inversion over their separators. Only where those are too large (or with ``direct``
+    off) are unit vectors of the wanted columns solved for, ``batch`` at a time. Wanted pairs with ends in
     different components are zero; those that name no parameter of the matrix are left out.
     """
     matrix = cut(matrix)
@@ -256,9 +263,13 @@ def inverse_cells(
     out = dense.select(F.greatest("row", "col").alias("row"), F.least("row", "col").alias("col"), "value")
     large = comps.filter(F.col("size") > limit).select("param")
     if large.limit(1).count():
+        part = cut(matrix.join(large.withColumnRenamed("param", "row"), "row"))
+        split = dissect(part, wanted=wanted) if direct else None
+        if split is not None:
+            out = out.unionByName(split.cells.select(F.greatest("row", "col").alias("row"), F.least("row", "col").alias("col"), "value"))
+            return (out if apart is None else out.unionByName(apart)).dropDuplicates(["row", "col"])
         from cairn.plans.ordered import number_rows
 
-        part = cut(matrix.join(large.withColumnRenamed("param", "row"), "row"))
         need = pairs.join(large.withColumnRenamed("param", "row"), "row").select(
             F.greatest("row", "col").alias("row"), F.least("row", "col").alias("col")
         ).distinct()
