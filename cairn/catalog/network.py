@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.catalog import query
 from cairn.fixtures import with_views
-from cairn.functions.ellipsoid import GRS80
+from cairn.functions.ellipsoid import GRS80, geocentric
 from cairn.operators import adjust as A
 from cairn.operators import covariance as CV
 from cairn.operators import deform as DF
@@ -280,3 +280,53 @@ def _(t):
     both = own(V.inverse_cells(matrix), "dense").join(own(V.inverse_cells(matrix, limit=10), "split"), ["row", "col"], "full")
     near = F.abs(F.col("dense") - F.col("split")) < 1.0e-9 * (F.abs("dense") + 1.0e-6)
     return both.groupBy(code("row").alias("code")).agg(F.count("*").cast("int").alias("cells"), F.bool_and(F.coalesce(near, F.lit(False))).alias("same"))
+
+
+def point_sessions(t, frame: bool = False):
+    """The network with points of every station in sessions of a block, each session off by a translation of its own (or by a frame's drift)."""
+    s = truth(t)
+    x, y, z = geocentric(F.col("lon"), F.col("lat"), F.col("ohgt") + F.col("und"), GRS80)
+    b, year = F.col("block"), F.pmod(F.col("n"), F.lit(5)).cast("double")
+    if frame:
+        off = [0.25 + 0.01 * year, -0.125 + 0.02 * year, 0.5 - 0.005 * year]
+    else:
+        off = [F.pmod(b * k, F.lit(19)) * 0.01 - 0.05 for k in (3, 5, 7)]
+    e2 = 4.0e-6
+    points = s.select(
+        F.concat(F.lit("P"), "code").alias("obs_key"), F.concat(F.lit("B"), b).alias("set_id"), F.lit("GX").alias("obs_type"), F.col("code").alias("from_code"),
+        F.lit(None).cast("string").alias("to_code"), F.lit(0.0).alias("value"), F.lit(2.0e-3).alias("error"), F.array(*[c + o for c, o in zip((x, y, z), off)]).alias("vec"),
+        F.array(*[F.lit(v) for v in (e2, e2 / 4, e2, 0.0, 0.0, e2 * 2)]).alias("cov"), F.lit(False).alias("rejected"),
+    )
+    if frame:
+        points = points.withColumns({"frame": F.lit("drift"), "frame_years": F.pmod(F.substring("from_code", 2, 20).cast("long"), F.lit(5)).cast("double")})
+    return points
+
+
+@query(
+    "session_translations",
+    with_views("stations") + """, b AS (SELECT DISTINCT CAST(substr(code, 2) AS BIGINT) // 20 AS b FROM fx_stations),
+k AS (SELECT * FROM (VALUES ('tx', 3), ('ty', 5), ('tz', 7)) v(name, k))
+SELECT concat('B', b) AS set_id, name, round((b * k) % 19 * 1.0E-2 - 5.0E-2, 6) + 0.0 AS value FROM b, k""",
+)
+def _(t):
+    """Three translations of every session of points, eliminated in the adjustment and found again from its solution."""
+    odd = F.pmod("n", F.lit(2)) == 1
+    off = F.when(odd, (F.pmod(F.col("n") * 37, F.lit(11)) - 5) * 1.5e-9).otherwise(0.0)
+    mode = F.when(odd, "free").otherwise("fix")
+    stations = truth(t).select("code", (F.col("lon") + off).alias("lon"), (F.col("lat") - off).alias("lat"), "ohgt", "und", mode.alias("mode_h"), mode.alias("mode_v"))
+    run = A.adjust(point_sessions(t), stations, A.Options(max_iterations=3, translated_sets=True))
+    return run.set_values.select("set_id", "name", (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query(
+    "frame_translations_and_rates",
+    """SELECT * FROM (VALUES ('tx', 2.5E-1), ('ty', -1.25E-1), ('tz', 5.0E-1), ('tx_rate', 1.0E-2), ('ty_rate', 2.0E-2), ('tz_rate', -5.0E-3)) v(name, value)
+WHERE (SELECT count(*) FROM customer) > 0""",
+)
+def _(t):
+    """A frame whose points drift: its translations and their rates, from points on marks held at their true positions; rotations and scale come out as zero."""
+    held = truth(t).select("code", "lon", "lat", "ohgt", "und").withColumns({"mode_h": F.lit("fix"), "mode_v": F.lit("fix")})
+    run = A.adjust(point_sessions(t, True), held, A.Options(max_iterations=1, frame_rates=True))
+    parts = F.split("param", r"\|")
+    found = run.solution.select(F.element_at(parts, 3).alias("name"), (F.round("x", 5) + 0.0).alias("value"))
+    return found.filter(F.col("name").startswith("t"))

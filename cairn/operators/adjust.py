@@ -24,6 +24,8 @@ class Options:
     dense_limit: int = solve.DENSE_LIMIT
     ellipsoid: Ellipsoid = field(default_factory=lambda: GRS80)
     projection: object = None  # the projection in which PB rows are bearings
+    translated_sets: bool = False  # point sets have three translations each; rows name theirs in set_id
+    frame_rates: bool = False  # frames (the observations' column frame) have rates over the column frame_years
 
 
 @dataclass
@@ -35,6 +37,7 @@ class Adjustment:
     params: DataFrame
     stats: dict
     iterations: list[dict]
+    set_values: DataFrame | None = None
 
     @property
     def converged(self) -> bool:
@@ -164,14 +167,16 @@ def equations_for(
     parts = [observe.design_rows(lines, ell, options.dimension).withColumn("set_coef", set_coef).select(*columns)]
     if "vec" in observations.columns:
         vectors = resolved.filter(F.col("obs_type").isin(*observe.VECTORS)).drop("component")
-        parts.append(
-            observe.vector_rows(vectors, ell).withColumn("set_coef", F.lit(None).cast("double")).select(*columns)
+        rows = observe.vector_rows(
+            vectors, ell, F.col("frame") if "frame" in observations.columns else None, F.col("frame_years") if options.frame_rates else None,
+            F.col("set_id").isNotNull() if options.translated_sets else None,
         )
+        parts.append(rows.withColumn("set_coef", F.lit(None).cast("double")).select(*columns, *(["set_design"] if options.translated_sets else [])))
     points = resolved.filter(F.col("obs_type").isin("OH", "EH", "LT", "LN"))
     parts.append(observe.point_rows(points, ell).withColumn("set_coef", F.lit(None).cast("double")).select(*columns))
     out = parts[0]
     for part in parts[1:]:
-        out = out.unionByName(part)
+        out = out.unionByName(part, allowMissingColumns=True)
     if "float_h" in stations.columns:
         tied = float_equations(stations, initial, ell)
         out = out.unionByName(
@@ -182,7 +187,8 @@ def equations_for(
                     "set_coef": F.lit(None).cast("double"),
                     "used": F.lit(True),
                 }
-            ).select(*columns)
+            ).select(*columns),
+            allowMissingColumns=True,
         )
     return out
 
@@ -203,11 +209,18 @@ def summed_cells(equations: DataFrame, preanalysis: bool = False) -> tuple[DataF
     ).first()
     if counts["lacking"] is not None:
         raise ValueError(f"used equations lack a misclosure or a weight, the first of them {counts['lacking']}")
-    plain = used.filter(F.col("set_coef").isNull()).select("misclosure", "weight", "design")
+    plain, blocks = used.filter(F.col("set_coef").isNull()), 0
+    if "set_design" in used.columns:
+        own = plain.filter(F.size("set_design") > 0)
+        blocks = own.select("set_id", F.explode("set_design.param")).distinct().count()
+        plain = plain.filter(F.coalesce(F.size("set_design") <= 0, F.lit(True))).select("misclosure", "weight", "design")
+        if blocks:
+            plain = plain.unionByName(normal.eliminate_set_blocks(own).select("misclosure", "weight", "design"))
+    plain = plain.select("misclosure", "weight", "design")
     if counts["sets"]:
         reduced = normal.eliminate_set_unknowns(used.filter(F.col("set_coef").isNotNull()))
         plain = plain.unionByName(reduced.select("misclosure", "weight", "design"))
-    return cut(normal.normal_cells(plain)), counts["n"], counts["sets"]
+    return cut(normal.normal_cells(plain)), counts["n"], counts["sets"] + blocks
 
 
 def statistics(nobs: int, nprm: int, implicit: int, vwv: float, b_dot_x: float) -> dict:
@@ -257,7 +270,10 @@ def adjust(observations: DataFrame, stations: DataFrame, options: Options | None
         if worst < options.tolerance:
             break
     params = solution.select("param", "x", "singular")
-    return Adjustment(now, equations, solution, matrix, params, stats, history)
+    values = None
+    if "set_design" in equations.columns:
+        values = normal.set_block_values(equations.filter("used"), solution)
+    return Adjustment(now, equations, solution, matrix, params, stats, history, values)
 
 
 def max_adjustment(stations: DataFrame, tolerance: float) -> DataFrame:

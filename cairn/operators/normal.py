@@ -8,6 +8,7 @@ an unknown every observation shares is summed on the map side first.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,6 +112,94 @@ def set_unknown_values(
     )
 
 
+_TERMS = "array<struct<param:string,coef:double>>"
+
+
+def _set_sums(equations: DataFrame, set_id: str) -> tuple[DataFrame, DataFrame]:
+    """Per set the normal equations of its own unknowns ``(names, n, b)``, and their cells with other parameters."""
+    rows = equations.filter(F.col(set_id).isNotNull() & (F.size("set_design") > 0))
+    pairs = rows.select(set_id, "weight", "misclosure", "set_design", F.explode("set_design").alias("a"))
+    weighted = F.col("weight") * F.col("a.coef")
+    right = pairs.groupBy(set_id, F.col("a.param").alias("name")).agg(F.sum(weighted * F.col("misclosure")).alias("b"))
+    own = pairs.select(set_id, F.col("a.param").alias("name"), weighted.alias("w"), F.explode("set_design").alias("c")).groupBy(
+        set_id, "name", F.col("c.param").alias("other")
+    ).agg(F.sum(F.col("w") * F.col("c.coef")).alias("n"))
+    line = own.groupBy(set_id, "name").agg(F.collect_list(F.struct("other", "n")).alias("line"))
+    square = line.join(right, [set_id, "name"]).groupBy(set_id).agg(F.array_sort(F.collect_list(F.struct("name", "b", "line"))).alias("own"))
+    cross = rows.select(set_id, "weight", "set_design", F.explode("design").alias("t")).select(
+        set_id, "t", F.explode("set_design").alias("a"), "weight"
+    ).groupBy(set_id, F.col("t.param").alias("param"), F.col("a.param").alias("name")).agg(F.sum(F.col("weight") * F.col("a.coef") * F.col("t.coef")).alias("n"))
+    return square, cross
+
+
+def _square(own) -> tuple[list[str], np.ndarray, np.ndarray]:
+    names = [r["name"] for r in own]
+    at = {name: k for k, name in enumerate(names)}
+    n = np.zeros((len(names), len(names)))
+    for k, r in enumerate(own):
+        for cell in r["line"]:
+            n[k, at[cell["other"]]] = cell["n"]
+    return names, (n + n.T) / 2.0, np.array([r["b"] for r in own])
+
+
+def _root(n: np.ndarray) -> np.ndarray:
+    """R with R'R the inverse of ``n``; directions that the set does not see are left out."""
+    scale = 1.0 / np.sqrt(np.maximum(np.diag(n), 1e-300))
+    values, vectors = np.linalg.eigh(n * scale[:, None] * scale[None, :])
+    seen = values > 1.0e-12
+    return (vectors[:, seen] / np.sqrt(values[seen])).T * scale[None, :]
+
+
+def eliminate_set_blocks(equations: DataFrame, set_id: str = "set_id", limit: int = 400) -> DataFrame:
+    """Remove several unknowns per set, those in ``set_design array<struct<param, coef>>``, from its equations.
+
+    With N their own normal equations in the set and R'R = 1 / N, the rows of R times their cells with the other parameters, taken
+    with weight -1, downdate the normal equations. Sets with more than ``limit`` other parameters keep
+    their unknowns as parameters ``set|<set>|<name>`` of their own, with the same solution. Rows without a set have no such unknowns.
+    """
+    square, cross = _set_sums(equations, set_id)
+    cross = cut(cross)
+    sizes = cross.groupBy(set_id).agg(F.count_distinct("param").alias("_n"))
+    big = sizes.filter(F.col("_n") > limit).select(set_id, F.lit(True).alias("_big"))
+    terms = cross.groupBy(set_id, "param").agg(F.collect_list(F.struct("name", "n")).alias("c")).groupBy(set_id).agg(F.collect_list(F.struct("param", "c")).alias("terms"))
+    small = square.join(big, set_id, "left_anti").join(terms.join(big, set_id, "left_anti"), set_id, "left")
+
+    def downdate(own, found):
+        names, n, b = _square(own)
+        at, root = {name: k for k, name in enumerate(names)}, _root(n)
+        found = found if found is not None else []
+        cells = np.zeros((len(names), len(found)))
+        for j, f in enumerate(found):
+            for c in f["c"]:
+                cells[at[c["name"]], j] = c["n"]
+        left, right = root @ cells, root @ b
+        return [{"misclosure": float(v), "design": [{"param": f["param"], "coef": float(x)} for f, x in zip(found, line)]} for v, line in zip(right, left)]
+
+    made = F.udf(downdate, f"array<struct<misclosure:double,design:{_TERMS}>>", useArrow=True)
+    less = small.select(set_id, F.explode(made("own", "terms")).alias("r")).select(set_id, "r.misclosure", F.lit(-1.0).alias("weight"), F.col("r.design").cast(_TERMS).alias("design"))
+    named = F.transform("set_design", lambda t: F.struct(F.concat(F.lit("set|"), F.col(set_id), F.lit("|"), t["param"]).alias("param"), t["coef"].cast("double").alias("coef")))
+    kept = equations.join(big, set_id, "left").withColumn("design", F.when(F.col("_big") & (F.size("set_design") > 0), F.concat(F.col("design").cast(_TERMS), named)).otherwise(F.col("design").cast(_TERMS)))
+    return kept.select(set_id, "misclosure", "weight", "design").unionByName(less)
+
+
+def set_block_values(equations: DataFrame, solution: DataFrame, set_id: str = "set_id") -> DataFrame:
+    """``(set_id, name, value, variance)`` of the unknowns of each set, from the solution for the others; variances a priori."""
+    square, cross = _set_sums(equations, set_id)
+    moved = cross.join(solution.select("param", "x"), "param").groupBy(set_id, "name").agg(F.sum(F.col("n") * F.col("x")).alias("m"))
+    taken = moved.groupBy(set_id).agg(F.collect_list(F.struct("name", "m")).alias("taken"))
+
+    def values(own, taken):
+        names, n, b = _square(own)
+        at, root = {name: k for k, name in enumerate(names)}, _root(n)
+        for t in taken if taken is not None else []:
+            b[at[t["name"]]] -= t["m"]
+        inverse = root.T @ root
+        return [{"name": name, "value": float(v), "variance": float(s)} for name, v, s in zip(names, inverse @ b, np.diag(inverse))]
+
+    solved = F.udf(values, "array<struct<name:string,value:double,variance:double>>", useArrow=True)
+    return square.join(taken, set_id, "left").select(set_id, F.explode(solved("own", "taken")).alias("r")).select(set_id, "r.*")
+
+
 def normal_cells(equations: DataFrame) -> DataFrame:
     """Lower triangle of the normal matrix bordered by its right-hand side: ``(row, col, value)``.
 

@@ -293,13 +293,16 @@ def point_rows(df: DataFrame, ell: Ellipsoid = GRS80) -> DataFrame:
     )
 
 
-def vector_rows(df: DataFrame, ell: Ellipsoid = GRS80, frame: str | None = None) -> DataFrame:
+def vector_rows(
+    df: DataFrame, ell: Ellipsoid = GRS80, frame: str | Column | None = None, years: Column | None = None, translated: Column | None = None
+) -> DataFrame:
     """Baselines and points as three whitened equations each.
 
     ``vec`` holds the observed X, Y, Z and ``cov`` the six-element lower triangle. The rows are
     multiplied by the inverse Cholesky factor of ``cov``, so each is an equation of unit weight and the
-    correlated and the plain case sum alike. ``frame`` adds scale (ppm), rotation (arc-seconds) and, for
-    points, translation unknowns of that frame.
+    correlated and the plain case sum alike. ``frame`` (a name, or a column that is null where there is none) adds scale
+    (ppm), rotation (arc-seconds) and, for points, translation unknowns of that frame; with ``years`` since its epoch
+    also their rates a year. Points of sets where ``translated`` holds get ``set_design``: three translations of their set.
     """
     point = F.col("obs_type").isin("GX", "EP")
     fx = geocentric(
@@ -344,11 +347,22 @@ def vector_rows(df: DataFrame, ell: Ellipsoid = GRS80, frame: str | None = None)
         }
         one = F.when(point, 1.0).otherwise(0.0)
         unknowns |= {"tx": [one, zero, zero], "ty": [zero, one, zero], "tz": [zero, zero, one]}
+        if years is not None:
+            unknowns |= {f"{name}_rate": [g * years for g in grad] for name, grad in unknowns.items()}
+        label = F.lit(frame) if isinstance(frame, str) else frame
         for name, grad in unknowns.items():
             white = whiten(grad)
             for k in range(3):
-                term = F.struct(F.lit(f"frame|{frame}|{name}").alias("param"), white[k].alias("coef"))
-                per_row[k].append(F.when(white[k] != 0.0, term))
+                term = F.struct(F.concat(F.lit("frame|"), label, F.lit(f"|{name}")).alias("param"), white[k].alias("coef"))
+                per_row[k].append(F.when(label.isNotNull() & (white[k] != 0.0), term))
+    own: list[list[Column]] = [[], [], []]
+    if translated is not None:
+        for a, name in enumerate(("tx", "ty", "tz")):
+            white = whiten([F.lit(1.0 if k == a else 0.0) for k in range(3)])
+            for k in range(3):
+                term = F.struct(F.lit(name).alias("param"), white[k].alias("coef"))
+                own[k].append(F.when(point & translated & (white[k] != 0.0), term))
+    set_terms = lambda k: [F.array_compact(F.array(*own[k])).alias("set_design")] if translated is not None else []
     equations = F.array(
         *[
             F.struct(
@@ -356,6 +370,7 @@ def vector_rows(df: DataFrame, ell: Ellipsoid = GRS80, frame: str | None = None)
                 white_obs[k].alias("misclosure"),
                 F.array_compact(F.array(*per_row[k])).alias("design"),
                 F.lit(1.0).alias("weight"),
+                *set_terms(k),
             )
             for k in range(3)
         ]
