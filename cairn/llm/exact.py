@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import freeze, text_key, with_group_stats
+from cairn.llm.common import free_name, freeze, text_key, with_group_stats
 
 FIRST_DIGIT = 64
 GROWTH = 8
@@ -80,5 +80,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = docs.join(gone, same(gone), "left_anti")
     if repeated.isEmpty():
         return stay
-    once = stay.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, text_col])
+    # By the text's hash, which takes null and empty texts for the same.
+    key = free_name(stay, "_text_key")
+    once = stay.join(repeated, same(repeated), "left_semi").withColumn(key, text_key(F.col(text_col).cast("string"))).dropDuplicates([id_col, key]).drop(key)
     return stay.join(repeated, same(repeated), "left_anti").unionByName(once)

@@ -55,3 +55,8 @@ def test_one_group_of_a_third(spark):
     rows = [(i, "copy of one text " * 30 if i % 3 == 0 else prose(i, 20), "en", "hot", 1) for i in range(900)]
     out = exact.exact_groups(frame(spark, rows))
     assert found(out) == expected(rows)
+
+
+def test_null_and_empty_texts_of_one_id_are_one_row(spark):
+    out = exact.drop_copies(frame(spark, [(1, None, "en", "a", 0), (1, "", "en", "a", 0), (2, "x", "en", "a", 1)])).collect()
+    assert sorted(r.doc_id for r in out) == [1, 2]
