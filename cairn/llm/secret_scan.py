@@ -45,7 +45,7 @@ mustang ginger pepper cookie cheese orange apple banana purple silver golden dia
 freedom whatever matrix hunter ranger soccer hockey jordan michael jennifer thomas daniel andrew joshua charlie george robert
 passw pass word dev prod stage demo temp new old""".split()
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz")
-SWAPS = str.maketrans("@4831!05$7", "aaeeiloost"[:10])
+SWAPS = str.maketrans("@4831!05$7", "aabeiiosst")
 
 _RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
 _LONGEST = max(map(len, WORDS))

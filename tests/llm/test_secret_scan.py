@@ -114,3 +114,10 @@ def test_runs_cost_the_cheapest_segmentation(seed):
     value = "".join(part() for _ in range(4))
     assert S.guess_cost(value) == pytest.approx(table_cost(value))
     assert S.guess_cost(value, 8) >= 8 or table_cost(value) < 8
+
+
+def test_letters_written_as_signs():
+    plain = S.word_cost("password")
+    for written, swapped in (("pa55word", 2), ("p@$$word", 3), ("passw0rd", 1)):
+        assert abs(S.word_cost(written) - plain - swapped * S.word_cost("PASSWORD") + swapped * plain) < 1e-9
+        assert S.guess_cost(written) < 2.0
