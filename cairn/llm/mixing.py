@@ -4,15 +4,17 @@ A document belongs to one or more sources; documents with the same set of source
 pattern. Patterns are sized by one aggregation. A flow network routes their words to the quotas
 of their sources: the first copy of a pattern costs nothing a word, each further copy more
 than the one before, so words repeat only where quotas cannot be met otherwise. The network has a node
-for each pattern and source and no documents; it is solved on the driver, which refuses
-more than ``MAX_PATTERNS`` patterns rather than leave any out. A pattern's flow is then
+for each pattern and source and no documents. It falls into parts that share no source: a pattern
+that has its one source to itself is routed in closed form, and each connected part of the others by one task,
+which holds that part's patterns and sources. Sources are numbered, weighed and levelled by Spark; there
+is no limit on their number. A pattern's flow is then
 ``repeats`` whole passes and a part; the part takes the documents with the smallest seeded hashes up to
 a cut found from 4,096 hash ranges and, in the one range where it lies, the documents. No window
 or group holds a whole source.
 
 Sizes are runs of characters other than ASCII white space. A null text has size 0 and takes 0. A null
 source is a source of its own, last in order. Documents without an id are hashed by their text; equal
-hashes go together. Without rows the result is empty. Reruns agree.
+hashes go together. Very long texts are counted whole. Without rows the result is empty. Reruns agree.
 """
 
 from __future__ import annotations
@@ -20,18 +22,19 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cairn.llm.common import free_name, freeze
+from cairn.llm.common import SALTS, components, free_name, freeze
+from cairn.plans.skew import BROADCAST_ROWS, bounded_broadcast
 
 SEED = "mix0"
 SHARE = 1.5
 MAX_REPEAT = 2
 WEIGHTS = (3, 1, 2)
 RANGES = 4096
-MAX_PATTERNS = 20_000
 
 
 def size_of(text: Column) -> Column:
@@ -103,30 +106,77 @@ def flow(capacity: Sequence[float], members: Sequence[Sequence[int]], quota: Seq
     return [[capacity[p] - x for x in left[p]] for p in range(len(capacity))]
 
 
+def _numbered(df: DataFrame, order: Column, number: str) -> DataFrame:
+    """``df`` with the place of each row in ``order``, from a distributed sort and the sizes of its partitions."""
+    placed = freeze(df.orderBy(order).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    start, starts = 0, []
+    # One row for each partition of the sort.
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((r["part"], start))
+        start += r["count"]
+    table = df.sparkSession.createDataFrame(starts, "_part long, _start long")
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(F.broadcast(table), "_part").withColumn(number, F.col("_start") + inside).drop("_place", "_part", "_start")
+
+
+def quotas(sized: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """``targets`` in Spark: source, source_size, patterns (how many hold it), number (its order) and target, from ``(sources, size)`` of each pattern."""
+    each = sized.select(F.explode("sources").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("patterns"))
+    numbered = _numbered(each, F.col("source").asc_nulls_last(), "number")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
+    known = freeze(numbered.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))))
+    total = share * (known.agg(F.sum("source_size")).first()[0] or 0)
+    # The level rises from round to round, and who is above it stays above it.
+    level, held = 0.0, -1
+    while True:
+        above = F.col("weight") * F.lit(level) > F.col("cap")
+        sums = known.agg(F.count_if(above).alias("held"), F.sum(F.when(above, F.col("cap"))).alias("full"), F.sum(F.when(~above, F.col("weight"))).alias("open")).first()
+        if sums.held == held:
+            break
+        held = sums.held
+        if sums.open:
+            level = max(level, (total - (sums.full or 0.0)) / sums.open)
+    return known.withColumn("target", F.least("cap", F.col("weight") * F.lit(level))).drop("weight", "cap")
+
+
+def _route(most: int):
+    def route(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.assign(_order=[tuple(n) for n in part["numbers"]]).sort_values("_order")
+        numbers = sorted({int(n) for row in part["numbers"] for n in row})
+        place = {n: i for i, n in enumerate(numbers)}
+        target = {int(n): float(t) for row in part.itertuples() for n, t in zip(row.numbers, row.targets)}
+        sizes = [int(x) for x in part["size"]]
+        sent = flow(sizes, [[place[int(n)] for n in row] for row in part["numbers"]], [target[n] for n in numbers], most)
+        whole = [sum(1 for x in copies if size and x >= size) for size, copies in zip(sizes, sent)]
+        rest = [float(copies[w]) if size and w < most else 0.0 for size, copies, w in zip(sizes, sent, whole)]
+        return part[["sources", "source_sizes", "targets"]].assign(repeats=whole, part=rest)
+
+    return route
+
+
 def plan(rows: DataFrame, weights: Sequence[float], share: float, most: int) -> DataFrame:
-    """From ``(sources, size, u)`` of each document: sources, source_size, target, repeats, cut; one row per pattern."""
-    spark = rows.sparkSession
-    sized = rows.groupBy("sources").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(sized) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} sets of sources")
-    patterns = [(list(r.sources), int(r.size)) for r in sized]
-    names = sorted({s for p, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
-    place = {s: i for i, s in enumerate(names)}
-    sizes = [0] * len(names)
-    for p, size in patterns:
-        for s in p:
-            sizes[place[s]] += size
-    quota = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share, most)
-    routed = flow([size for _, size in patterns], [[place[s] for s in p] for p, _ in patterns], quota, most)
-    facts = []
-    for (p, size), copies in zip(patterns, routed):
-        whole = sum(1 for x in copies if size and x >= size)
-        facts.append((p, [sizes[place[s]] for s in p], [quota[place[s]] for s in p], whole, float(copies[whole]) if size and whole < most else 0.0))
-    table = spark.createDataFrame(facts, "sources array<string>, source_sizes array<long>, targets array<double>, repeats int, part double")
-    # The table has at most MAX_PATTERNS rows.
+    """From ``(sources, size, u)`` of each document: sources, source_sizes, targets, repeats, cut; one row per pattern."""
+    sized = freeze(rows.groupBy("sources").agg(F.sum("size").alias("size")))
+    quota = freeze(quotas(sized, weights, share, most))
+    at = sized.select("sources", "size", F.posexplode("sources").alias("at", "_source"))
+    met = at.join(bounded_broadcast(quota), F.col("_source").eqNullSafe(F.col("source")))
+    facts = met.groupBy("sources", "size").agg(F.sort_array(F.collect_list(F.struct("at", "source_size", "target", "number", "patterns"))).alias("f"))
+    facts = freeze(facts.select("sources", "size", F.col("f.source_size").alias("source_sizes"), F.col("f.target").alias("targets"), F.col("f.number").alias("numbers"), ((F.size("f") == 1) & (F.col("f")[0]["patterns"] == 1)).alias("alone")))
+    target = F.col("targets")[0]
+    whole = sum((F.when((F.col("size") > 0) & (target >= F.col("size") * k), 1).otherwise(0) for k in range(1, most + 1)), F.lit(0))
+    rest = F.when((F.col("size") > 0) & (whole < most), target - whole * F.col("size")).otherwise(0.0)
+    table = facts.filter("alone").select("sources", "source_sizes", "targets", whole.cast("int").alias("repeats"), rest.alias("part"))
+    shared = facts.filter("NOT alone")
+    if not shared.isEmpty():
+        edges = shared.select(F.col("numbers")[0].alias("a"), F.explode("numbers").alias("b")).filter("a <> b")
+        named = components(edges).withColumnRenamed("node", "_first")
+        parts = shared.withColumn("_first", F.col("numbers")[0]).join(named, "_first")
+        table = table.unionByName(parts.groupBy("component").applyInPandas(_route(most), "sources array<string>, source_sizes array<long>, targets array<double>, repeats int, part double"))
+    table = freeze(table)
     ranged = rows.groupBy("sources", F.shiftright("u", 40).alias("range")).agg(F.sum("size").alias("_size"))
     running = Window.partitionBy("sources").orderBy("range")
-    here = ranged.withColumn("_upto", F.sum("_size").over(running)).join(F.broadcast(table.select("sources", "part")), "sources")
+    here = ranged.withColumn("_upto", F.sum("_size").over(running)).join(bounded_broadcast(table.select("sources", "part")), "sources")
     here = here.filter((F.col("_upto") >= F.col("part")) & (F.col("_upto") - F.col("_size") < F.col("part")) & (F.col("_size") > 0))
     inside = rows.withColumn("range", F.shiftright("u", 40)).join(here.select("sources", "range", "part", (F.col("_upto") - F.col("_size")).alias("_below")), ["sources", "range"])
     by_hash = inside.groupBy("sources", "range", "u").agg(F.sum("size").alias("_size"), F.first("part").alias("part"), F.first("_below").alias("_below"))
@@ -141,27 +191,33 @@ def plan(rows: DataFrame, weights: Sequence[float], share: float, most: int) ->
 
 def mix(
     docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MAX_REPEAT, seed: str = SEED,
-    carry: bool = False,
+    carry: bool = False, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Each row of ``docs`` with size, source_sizes, targets (by its sources in order), repeats and taken.
 
     ``sources`` is an array of source names; null names are allowed. With ``carry`` the rows keep all their columns
     and sizes are counted again beside them (new names get underscores where taken); otherwise only the id is kept.
+    The patterns' cuts are broadcast up to ``broadcast_rows`` patterns.
     """
     text = F.col(text_col).cast("string")
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("t"), text), F.lit(""))
     hash_ = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), key).cast("binary")), 1, 13), 16, 10).cast("long")
     named = {"sources": F.array_sort(F.array_distinct(sources)), "size": size_of(text), "u": hash_}
     rows = freeze(docs.select(F.col(id_col).alias("doc_id"), *[c.alias(n) for n, c in named.items()]))
-    # At most MAX_PATTERNS rows.
-    cuts = F.broadcast(freeze(plan(rows, weights, share, most).select(F.col("sources").alias("_mix_sources"), F.struct("source_sizes", "targets", "repeats", "cut").alias("_mix_plan"))))
+    cuts = freeze(plan(rows, weights, share, most).select(F.col("sources").alias("_mix_sources"), F.struct("source_sizes", "targets", "repeats", "cut").alias("_mix_plan")))
     if carry:
         rows = docs.withColumns({f"_mix_{n}_": c for n, c in named.items()})
         at = {n: F.col(f"_mix_{n}_") for n in named}
     else:
         at = {n: F.col(n) for n in named}
     kept = docs.columns if carry else ["doc_id"]
-    out = rows.join(cuts, at["sources"].eqNullSafe(F.col("_mix_sources")), "left")
+    same = at["sources"].eqNullSafe(F.col("_mix_sources"))
+    if cuts.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        out = rows.join(F.broadcast(cuts), same, "left")
+    else:
+        # A pattern that holds a large share of the rows is met in parts.
+        dealt = cuts.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = rows.join(dealt, same & (F.pmod(at["u"], F.lit(SALTS)) == F.col("_mix_salt")), "left")
     times = F.coalesce("_mix_plan.repeats", F.lit(0)) + F.when(at["u"] <= F.col("_mix_plan.cut"), 1).otherwise(0)
     made = {
         "size": at["size"], "source_sizes": F.col("_mix_plan.source_sizes"), "targets": F.col("_mix_plan.targets"),

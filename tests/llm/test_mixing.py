@@ -91,3 +91,57 @@ def test_overlapping_sources_and_carried_columns(spark):
     total = out.agg(F.sum("taken")).first()[0]
     # Sources overlap, so all sizes count each document twice.
     assert abs(total - 1.5 * 2 * 300 * 10) <= 300 or total == 2 * 300 * 10
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [1000, 10, 20, 0, 500], [5], [0, 0], [7, 7000, 3, 50, 900, 12], list(range(1, 200))])
+def test_quotas_are_the_targets(spark, sizes):
+    sized = spark.createDataFrame([([f"s{i:04d}"], n) for i, n in enumerate(sizes)], "sources array<string>, size long")
+    got = [r.target for r in mixing.quotas(sized, mixing.WEIGHTS, 1.5, 2).orderBy("number").collect()]
+    assert got == pytest.approx(mixing.targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(sizes))]))
+
+
+def test_more_than_twenty_thousand_sources(spark):
+    """One source with a third of the rows beside 20,001 others: rows as by plain arithmetic over all of them, with and without a broadcast."""
+    docs = spark.range(30_003).selectExpr(
+        "id AS doc_id", "repeat('w ', CAST(1 + id % 7 AS INT)) AS text", "'en' AS lang", "CASE WHEN id < 10002 THEN 'hot' ELSE concat('s', id) END AS source", "id AS n_chars"
+    )
+    got = {r.doc_id: r for r in mixing.mix(docs, F.array("source")).collect()}
+    assert len(got) == 30_003
+    sizes = {}
+    for i in range(30_003):
+        name = "hot" if i < 10_002 else f"s{i}"
+        sizes[name] = sizes.get(name, 0) + 1 + i % 7
+    names = sorted(sizes)
+    want = dict(zip(names, mixing.targets([sizes[n] for n in names], [(3, 1, 2)[k % 3] for k in range(len(names))])))
+    taken = {}
+    for i, r in got.items():
+        name = "hot" if i < 10_002 else f"s{i}"
+        assert r.source_sizes == [sizes[name]] and r.targets == pytest.approx([want[name]])
+        taken[name] = taken.get(name, 0) + r.taken
+    assert all(abs(taken[n] - want[n]) <= 3.5 + 1e-6 for n in names)
+    assert sorted(mixing.mix(docs, F.array("source"), broadcast_rows=5).collect()) == sorted(got.values())
+
+
+def test_overlapping_parts_are_routed_apart(spark):
+    """Parts that share no source get what one flow over all patterns gives them in sum, and single sources their closed form."""
+    spec = [(["a"], 30), (["a", "b"], 50), (["b"], 10), (["c"], 40), (["d", "e"], 25), (["e", "f"], 35), (["f"], 5), ([None], 20)]
+    rows, i = [], 0
+    for sources, n in spec:
+        for _ in range(n):
+            rows.append((i, "one two three", sources))
+            i += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, names array<string>")
+    got = mixing.mix(docs, F.col("names")).collect()
+    assert sorted(got) == sorted(mixing.mix(docs, F.col("names")).collect())
+    names = ["a", "b", "c", "d", "e", "f", None]
+    members = [[names.index(s) for s in p] for p, _ in spec]
+    sizes = [sum(3 * n for p, n in spec if s in p) for s in names]
+    quota = mixing.targets(sizes, [(3, 1, 2)[k % 3] for k in range(len(names))])
+    whole = mixing.flow([3 * n for _, n in spec], members, quota)
+    by = {}
+    for r in got:
+        by[tuple(rows[r.doc_id][2])] = by.get(tuple(rows[r.doc_id][2]), 0) + r.taken
+    for part in (["a", "b"], ["c"], ["d", "e", "f"], [None]):
+        mine = sum(by[tuple(p)] for p, _ in spec if p[0] in part)
+        want = sum(sum(c) for (p, _), c in zip(spec, whole) if p[0] in part)
+        assert abs(mine - want) <= 1.5 * 4
