@@ -19,6 +19,7 @@ vocabulary; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import freeze
+
 # The base patterns and the shortest match of each.
 BASE = (
     ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -276,7 +279,14 @@ def vocabulary(docs: DataFrame, text_col: str = "text", most: int = VOCABULARY,
     """The ``most`` words in the most texts of ``docs``, commonest first; words in fewer than ``least`` texts are left out."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(TABLE_WORD), F.lit(0)))
     counted = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("texts")).filter(F.col("texts") >= least)
-    return [r.word for r in counted.orderBy(F.col("texts").desc(), "word").limit(most).collect()]
+    counted = freeze(counted.withColumn("step", F.floor(F.log2("texts") * 8)))
+    # One row for each step of an eighth of a doubling: at most some hundreds.
+    steps = sorted(counted.groupBy("step").count().collect(), reverse=True)
+    upto = itertools.accumulate(r["count"] for r in steps)
+    low = next((r["step"] for r, n in zip(steps, upto) if n >= most), 0)
+    # Frozen before it is collected, so the driver gets the words and not the commonest of each partition.
+    top = freeze(counted.filter(F.col("step") >= low).orderBy(F.col("texts").desc(), "word").limit(most))
+    return [r.word for r in sorted(top.collect(), key=lambda r: (-r.texts, r.word))]
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cost: float = MIN_COST, words: Sequence[str] | None = None) -> DataFrame:
