@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,9 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.ellipsoid import LOWER, enu_axes, rotate_covariance
+from cairn.plans.lineage import cut, ensure_checkpoint_dir
 from cairn.plans.skew import salted_join
 
 SET_LIMIT = 400
+TILE = 64
+CHUNK = 128
+SALTS = 16
 
 
 def _six(cov: Column) -> list[Column]:
@@ -93,19 +98,28 @@ def default_point_blocks(
     return both.select(set_id, F.col("j").alias("i"), F.col("i").alias("j"), F.when(F.col("i") == F.col("j"), own).otherwise(off).alias("cov"))
 
 
-def whiten_sets(rows: DataFrame, blocks: DataFrame, set_id: str = "set_id", limit: int = SET_LIMIT) -> DataFrame:
+def whiten_sets(rows: DataFrame, blocks: DataFrame, set_id: str = "set_id", limit: int = SET_LIMIT, tile: int = TILE) -> DataFrame:
     """Equations of sets with a full covariance multiplied by its inverse Cholesky factor: unit weight, uncorrelated.
 
-    ``rows(set_id, i, component, misclosure, design)`` and ``blocks(set_id, i, j, cov)`` with ``i <= j``. A set is one
-    dense matrix that was read as one record, so it is handled in one task; a set above ``limit`` members is refused.
+    ``rows(set_id, i, component, misclosure, design)`` and ``blocks(set_id, i, j, cov)`` with ``i <= j``. A set of up to
+    ``limit`` members is one matrix in one task; a larger one is factored in tiles of ``tile`` members (``whiten_tiled``),
+    with the same equations. Without rows the result is empty.
     """
-    widest = rows.groupBy(set_id).agg(F.max("i").alias("m"), F.min("i").alias("n")).agg(F.max(F.col("m") - F.col("n") + 1)).first()[0]
-    if widest is not None and widest > limit:
-        raise ValueError(f"a set holds {widest} correlated vectors; raise limit above {limit} if one task can hold its matrix")
-    term = "array<struct<param:string,coef:double>>"
-    r = rows.select(F.col(set_id).alias("_set"), "i", F.col("component").cast("int").alias("component"), "misclosure", F.col("design").cast(term).alias("design"))
+    r = rows.select(F.col(set_id).alias("_set"), "i", F.col("component").cast("int").alias("component"), "misclosure", F.col("design").cast(TERMS).alias("design"))
     b = blocks.select(F.col(set_id).alias("_key"), "i", "j", "cov")
+    members = r.groupBy("_set").agg(F.count_distinct("i").alias("_n"))
+    large = cut(members.filter(F.col("_n") > limit).select(F.col("_set").alias("_large")))
+    if large.isEmpty():
+        return _whiten_dense(r, b, set_id)
+    in_r, in_b = F.col("_set").eqNullSafe(F.col("_large")), F.col("_key").eqNullSafe(F.col("_large"))
+    small = _whiten_dense(r.join(large, in_r, "left_anti"), b.join(large, in_b, "left_anti"), set_id)
+    return small.unionByName(whiten_tiled(r.join(large, in_r, "left_semi"), b.join(large, in_b, "left_semi"), set_id, tile))
 
+
+TERMS = "array<struct<param:string,coef:double>>"
+
+
+def _whiten_dense(r: DataFrame, b: DataFrame, set_id: str) -> DataFrame:
     def whiten(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         members = np.unique(left["i"].to_numpy())
         at = pd.Index(members)
@@ -132,8 +146,144 @@ def whiten_sets(rows: DataFrame, blocks: DataFrame, set_id: str = "set_id", limi
             out.append((key[0], int(members[k // 3]), k % 3, float(white[k, -1]), design))
         return pd.DataFrame(out, columns=[set_id, "i", "component", "misclosure", "design"])
 
-    kind = dict(rows.dtypes)[set_id]
+    kind = dict(r.dtypes)["_set"]
     out = r.groupBy("_set").cogroup(b.groupBy("_key")).applyInPandas(
-        whiten, f"{set_id} {kind}, i long, component int, misclosure double, design {term}"
+        whiten, f"{set_id} {kind}, i long, component int, misclosure double, design {TERMS}"
     )
     return out.withColumn("weight", F.lit(1.0))
+
+
+def _square(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.float64).reshape(width, -1)
+
+
+def _tile_of(rank: int):
+    """The matrix of one tile, from its 3 by 3 blocks; places without a member are those of a unit matrix."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((3 * rank, 3 * rank))
+        first = pdf.iloc[0]
+        if first["r"] == first["c"]:
+            np.fill_diagonal(out, 1.0)
+        for p, q, cov in zip(pdf["p"], pdf["q"], pdf["cov"]):
+            if cov is None:
+                continue
+            p, q = int(p), int(q)
+            for value, (a, c) in zip(cov, LOWER):
+                out[3 * p + a, 3 * q + c] = out[3 * p + c, 3 * q + a] = value
+                if first["r"] == first["c"]:
+                    out[3 * q + c, 3 * p + a] = out[3 * q + a, 3 * p + c] = value
+        return pd.DataFrame({"k": [first["k"]], "r": [first["r"]], "c": [first["c"]], "m": [out.tobytes()]})
+
+    return build
+
+
+def _side_of(rank: int):
+    """The right-hand side of one block of members and one chunk of names."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        at = {name: n for n, name in enumerate(first["names"])}
+        out = np.zeros((3 * rank, len(at)))
+        for p, comp, name, coef in zip(pdf["p"], pdf["component"], pdf["name"], pdf["coef"]):
+            if not np.isnan(p):
+                out[3 * int(p) + int(comp), at[name]] += coef
+        return pd.DataFrame({"k": [first["k"]], "r": [first["r"]], "c": [first["c"]], "m": [out.tobytes()]})
+
+    return build
+
+
+def whiten_tiled(r: DataFrame, b: DataFrame, set_id: str, tile: int = TILE, chunk: int = CHUNK) -> DataFrame:
+    """``whiten_sets`` for sets whose matrix no task holds: a right-looking Cholesky in tiles, the right-hand sides as further columns.
+
+    ``r(_set, i, component, misclosure, design)`` and ``b(_key, i, j, cov)``. Tiles are keyed by set, row block and column
+    block. Round ``n`` factors the diagonal tile ``n`` of every set, solves the tiles below and beside it, and takes their
+    products off the tiles that remain; a task holds three tiles. Rounds are as many as the largest set has blocks of
+    ``tile`` members; what each leaves finished is appended to a folder beside the checkpoints. Members with
+    equations but no covariance, or the reverse, are refused.
+    """
+    spark, width = r.sparkSession, 3 * tile
+    # A key that is not null even where the set is.
+    of_set = lambda df, col: df.withColumn("k", F.to_json(F.struct(F.col(col).alias("set"))))
+    eq, cov = of_set(r, "_set"), of_set(b, "_key").drop("_key")
+    have = eq.select("k", "i").distinct().withColumn("eq", F.lit(True))
+    given = cov.filter("i = j").select("k", "i").distinct().withColumn("cov", F.lit(True))
+    odd = have.join(given, ["k", "i"], "full").filter("eq IS NULL OR cov IS NULL").limit(1).collect()
+    if odd:
+        raise ValueError(f"member {odd[0]['i']} of set {odd[0]['k']} has equations without covariance or the reverse")
+    block = lambda col: F.floor(F.col(col) / F.lit(tile)).cast("long")
+    inside = lambda col: F.pmod(F.col(col), F.lit(tile)).cast("int")
+    # Blocks are numbered from each set's first, so that all sets begin in the same round.
+    base = eq.groupBy("k").agg(F.min(block("i")).alias("base"), F.max(block("i")).alias("top"), F.first("_set").alias("_set"))
+    base = cut(base.select("k", "_set", "base", (F.col("top") - F.col("base")).alias("last")))
+    last = base.agg(F.max("last")).first()[0]
+    if last is None:
+        return _whiten_dense(r, b, set_id)
+    grid = base.select("k", "last", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("r"))
+    lower = grid.select("k", "r", F.explode(F.sequence(F.lit(0).cast("long"), "r")).alias("c"), *[F.lit(None).cast(t).alias(n) for n, t in (("p", "int"), ("q", "int"), ("cov", "array<double>"))])
+    # A block (i, j) with i <= j stands below the diagonal as (j, i); it is symmetric itself.
+    tiled = cov.join(base, "k").select("k", (block("j") - F.col("base")).alias("r"), (block("i") - F.col("base")).alias("c"), inside("j").alias("p"), inside("i").alias("q"), "cov")
+    schema = "k string, r long, c long, m binary"
+    matrix = lower.unionByName(tiled).groupBy("k", "r", "c").applyInPandas(_tile_of(tile), schema)
+    # Names of a set are dealt over chunks by hash; the misclosure is the column without a name, in chunk 0.
+    terms = eq.select("k", "i", "component", F.explode(F.concat("design", F.array(F.struct(F.lit(None).cast("string").alias("param"), F.col("misclosure").alias("coef"))))).alias("t"))
+    terms = terms.select("k", "i", "component", F.col("t.param").alias("name"), F.col("t.coef").alias("coef"))
+    names = terms.select("k", "name").distinct()
+    chunks = names.groupBy("k").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("long").alias("chunks"))
+    dealt = -1 - F.when(F.col("name").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("name"), F.col("chunks")))
+    listed = cut(names.join(chunks, "k").withColumn("c", dealt.cast("long")).groupBy("k", "c").agg(F.collect_list(F.struct("name")).alias("names")))
+    listed = listed.withColumn("names", F.transform(F.array_sort("names"), lambda n: n["name"]))
+    placed = terms.join(chunks, "k").withColumn("c", dealt.cast("long")).join(base, "k")
+    placed = placed.select("k", (block("i") - F.col("base")).alias("r"), "c", inside("i").alias("p"), "component", "name", "coef")
+    empty = grid.join(listed, "k").select("k", "r", "c", *[F.lit(None).cast(t).alias(n) for n, t in (("p", "int"), ("component", "int"), ("name", "string"), ("coef", "double"))])
+    sides = placed.unionByName(empty).join(listed, ["k", "c"]).groupBy("k", "r", "c").applyInPandas(_side_of(tile), schema)
+
+    # One call is one tile of about width squared numbers, so rows are passed singly and in small batches.
+    @F.udf("binary")
+    def factor(m):
+        return np.linalg.cholesky(_square(bytes(m), width)).tobytes()
+
+    @F.udf("binary")
+    def panel(m, low, below):
+        held, root = _square(bytes(m), width), _square(bytes(low), width)
+        # Below the diagonal tile: A / L', kept as its transpose; beside it: L \ B.
+        return np.ascontiguousarray(np.linalg.solve(root, held.T if below else held)).tobytes()
+
+    @F.udf("binary")
+    def update(m, left, right):
+        return (_square(bytes(m), width) - _square(bytes(left), width).T @ _square(bytes(right), width)).tobytes()
+
+    folder = f"{ensure_checkpoint_dir(spark)}/whiten-{uuid.uuid4().hex}"
+    work = cut(matrix.unionByName(sides))
+    for n in range(last + 1):
+        root = work.filter((F.col("r") == n) & (F.col("c") == n)).select("k", factor("m").alias("low"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        edge = work.filter(((F.col("r") > n) & (F.col("c") == n)) | ((F.col("r") == n) & (F.col("c") < 0)))
+        edge = edge.withColumn("_salt", F.pmod(F.xxhash64("r", "c"), F.lit(SALTS)).cast("int")).join(root, ["k", "_salt"])
+        below = F.col("c") == n
+        solved = cut(edge.select("k", F.when(below, F.col("r")).otherwise(F.col("c")).alias("at"), panel("m", "low", below).alias("side")))
+        solved.filter("at < 0").select("k", F.lit(n).cast("long").alias("r"), F.col("at").alias("c"), F.col("side").alias("m")).write.mode("append").parquet(folder)
+        if n < last:
+            rest = work.filter((F.col("r") > n) & ((F.col("c") > n) | (F.col("c") < 0)))
+            left = solved.select("k", F.col("at").alias("r"), F.col("side").alias("left"))
+            right = solved.select("k", F.col("at").alias("c"), F.col("side").alias("right"))
+            work = cut(rest.join(left, ["k", "r"]).join(right, ["k", "c"]).select("k", "r", "c", update("m", "left", "right").alias("m")))
+
+    @F.udf("array<struct<place:int,param:string,coef:double>>")
+    def cells(m, names):
+        held = _square(bytes(m), width)
+        return [(int(p), names[q], float(held[p, q])) for p, q in zip(*np.nonzero(held))]
+
+    done = spark.read.parquet(folder).join(listed, ["k", "c"]).select("k", "r", F.explode(cells("m", "names")).alias("e"))
+    term = F.struct(F.col("e.param").alias("param"), F.col("e.coef").alias("coef"))
+    whole = done.groupBy("k", "r", F.col("e.place").alias("place")).agg(
+        F.sort_array(F.collect_list(F.when(F.col("e.param").isNotNull(), term))).cast(TERMS).alias("design"),
+        F.coalesce(F.max(F.when(F.col("e.param").isNull(), F.col("e.coef"))), F.lit(0.0)).alias("misclosure"),
+    )
+    number = ((F.col("r") + F.col("base")) * tile + F.floor(F.col("place") / 3)).alias("i")
+    found = whole.join(base.select("k", "base"), "k").select("k", number, (F.col("place") % 3).cast("int").alias("component"), "misclosure", "design")
+    # A member has three equations after whitening, those without any term too.
+    every = have.select("k", "i", F.explode(F.array(*[F.lit(c) for c in range(3)])).alias("component"))
+    return every.join(found, ["k", "i", "component"], "left").join(base.select("k", "_set"), "k").select(
+        F.col("_set").alias(set_id), "i", "component", F.coalesce("misclosure", F.lit(0.0)).alias("misclosure"),
+        F.coalesce("design", F.array().cast(TERMS)).alias("design"), F.lit(1.0).alias("weight"),
+    )
