@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.ellipsoid import GRS80, Ellipsoid, meridian_radius, prime_vertical
-from cairn.operators import normal, observe, solve
+from cairn.operators import normal, observe, solve, unknowns
+from cairn.operators.unknowns import Model
 from cairn.plans.lineage import cut
 
 STATION_COLUMNS = ("lon", "lat", "ohgt", "und", "free")
@@ -38,6 +39,7 @@ class Adjustment:
     stats: dict
     iterations: list[dict]
     set_values: DataFrame | None = None
+    parameters: DataFrame | None = None  # named unknowns: (param, name, solve, value)
 
     @property
     def converged(self) -> bool:
@@ -152,44 +154,55 @@ def apply_shifts(stations: DataFrame, solution: DataFrame, ell: Ellipsoid = GRS8
 
 
 def equations_for(
-    observations: DataFrame, stations: DataFrame, options: Options, initial: DataFrame | None = None
+    observations: DataFrame, stations: DataFrame, options: Options, initial: DataFrame | None = None, model: Model | None = None
 ) -> DataFrame:
-    """All equations at the present positions: ``(obs_key, set_id, misclosure, weight, set_coef, used, design)``."""
-    ell = options.ellipsoid
+    """All equations at the present positions: ``(obs_key, set_id, misclosure, weight, set_coef, used, design)``.
+
+    Observations may name unknowns in ``distsf``, ``refcoef``, ``brngref`` and ``systematic`` (:mod:`cairn.operators.unknowns`).
+    """
+    ell, model = options.ellipsoid, model or Model()
     resolved = observe.resolve_ends(observations, stations, STATION_COLUMNS)
+    if model.displacements is not None:
+        resolved = unknowns.displaced(resolved, model.displacements, ell)
     columns = ["obs_key", "set_id", "component", "misclosure", "weight", "set_coef", "used", "design"]
+    none = F.lit(None).cast("double")
     used = ~F.coalesce(F.col("rejected"), F.lit(False)) if "rejected" in observations.columns else F.lit(True)
     resolved = resolved.withColumn("used", used).withColumn("component", F.lit(0))
     lines, _ = observe.reject_collocated(
         observe.calculate(resolved.filter(~F.col("obs_type").isin(*observe.POINTS, "GB")), ell, options.projection)
     )
     set_coef = F.when(F.col("obs_type") == "HA", 1.0).when(F.col("obs_type") == "DR", F.col("_chord") * 1.0e-6)
-    parts = [observe.design_rows(lines, ell, options.dimension).withColumn("set_coef", set_coef).select(*columns)]
+    rows = observe.design_rows(lines, ell, options.dimension, unknowns.line_terms(observations.columns))
+    parts = [unknowns.with_systematic(rows).withColumn("set_coef", set_coef).select(*columns)]
     if "vec" in observations.columns:
         vectors = resolved.filter(F.col("obs_type").isin(*observe.VECTORS)).drop("component")
-        rows = observe.vector_rows(
-            vectors, ell, F.col("frame") if "frame" in observations.columns else None, F.col("frame_years") if options.frame_rates else None,
-            F.col("set_id").isNotNull() if options.translated_sets else None,
-        )
-        parts.append(rows.withColumn("set_coef", F.lit(None).cast("double")).select(*columns, *(["set_design"] if options.translated_sets else [])))
+        of_set = {
+            "ell": ell,
+            "frame": F.col("frame") if "frame" in observations.columns else None,
+            "years": F.col("frame_years") if options.frame_rates else None,
+            "translated": F.col("set_id").isNotNull() if options.translated_sets else None,
+        }
+        if model.blocks is not None:
+            together = F.col("i").isNotNull() & F.col("set_id").isNotNull()
+            rows = unknowns.correlated_rows(vectors.filter(together), model.blocks, **of_set)
+            parts.append(rows.withColumn("set_coef", none).select(*columns))
+            vectors = vectors.filter(~together)
+        rows = observe.vector_rows(vectors, **of_set)
+        parts.append(rows.withColumn("set_coef", none).select(*columns, *(["set_design"] if options.translated_sets else [])))
     points = resolved.filter(F.col("obs_type").isin("OH", "EH", "LT", "LN"))
-    parts.append(observe.point_rows(points, ell).withColumn("set_coef", F.lit(None).cast("double")).select(*columns))
+    parts.append(unknowns.with_systematic(observe.point_rows(points, ell)).withColumn("set_coef", none).select(*columns))
+    held = []
+    if "float_h" in stations.columns:
+        held.append(float_equations(stations, initial, ell))
+    if model.colocated is not None:
+        # Between two marks that are both fixed there is nothing to hold together.
+        held.append(colocation_equations(model.colocated, stations, ell).filter(F.size("design") > 0))
+    for tied in held:
+        alone = {"set_id": F.lit(None).cast("string"), "component": F.lit(0), "set_coef": none, "used": F.lit(True)}
+        parts.append(tied.withColumns(alone).select(*columns))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
-    if "float_h" in stations.columns:
-        tied = float_equations(stations, initial, ell)
-        out = out.unionByName(
-            tied.withColumns(
-                {
-                    "set_id": F.lit(None).cast("string"),
-                    "component": F.lit(0),
-                    "set_coef": F.lit(None).cast("double"),
-                    "used": F.lit(True),
-                }
-            ).select(*columns),
-            allowMissingColumns=True,
-        )
     return out
 
 
@@ -231,21 +244,27 @@ def statistics(nobs: int, nprm: int, implicit: int, vwv: float, b_dot_x: float)
     return {"nobs": nobs, "nprm": nprm, "nset": implicit, "dof": dof, "ssr": ssr, "seu": seu}
 
 
-def adjust(observations: DataFrame, stations: DataFrame, options: Options | None = None) -> Adjustment:
+def adjust(
+    observations: DataFrame, stations: DataFrame, options: Options | None = None, model: Model | None = None
+) -> Adjustment:
     """Least-squares positions from observations.
 
     ``stations`` has ``code, lon, lat`` (radians), ``ohgt, und, mode_h, mode_v`` and may have
-    ``float_h, float_v``; ``observations`` as in :mod:`cairn.operators.observe`.
+    ``float_h, float_v``; ``observations`` as in :mod:`cairn.operators.observe`. ``model`` adds values and ties of named
+    unknowns, paired marks, displacements and covariances within sets.
     """
-    options = options or Options()
+    options, model = options or Options(), model or Model()
     now = cut(stations.withColumn("free", free_axes(F.col("mode_h"), F.col("mode_v"), options)))
     initial = now.select("code", "lon", "lat", "ohgt")
     observations = cut(observations)
     history: list[dict] = []
-    solution = matrix = equations = comps = None
+    solution = matrix = equations = comps = names = None
     stats: dict = {}
     for number in range(1, options.max_iterations + 1):
-        equations = cut(equations_for(observations, now, options, initial))
+        equations = cut(equations_for(observations, now, options, initial, model))
+        # The observations name the same unknowns in every iteration.
+        names = names if names is not None else unknowns.resolved_names(equations, model)
+        equations = cut(unknowns.with_names(equations, names)) if names is not None else equations
         cells, nobs, nset = summed_cells(equations, options.mode == "preanalysis")
         matrix, rhs, vwv = normal.split_cells(cells)
         explicit_sets = matrix.filter((F.col("row") == F.col("col")) & F.col("row").startswith("set|")).count()
@@ -273,7 +292,8 @@ def adjust(observations: DataFrame, stations: DataFrame, options: Options | None
     values = None
     if "set_design" in equations.columns:
         values = normal.set_block_values(equations.filter("used"), solution)
-    return Adjustment(now, equations, solution, matrix, params, stats, history, values)
+    named = unknowns.parameter_values(solution, names)
+    return Adjustment(now, equations, solution, matrix, params, stats, history, values, named)
 
 
 def max_adjustment(stations: DataFrame, tolerance: float) -> DataFrame:
