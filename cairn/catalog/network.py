@@ -18,6 +18,7 @@ from cairn.operators import normal as N
 from cairn.operators import observe as O
 from cairn.operators import residuals as RS
 from cairn.operators import solve as V
+from cairn.operators import unknowns as U
 from cairn.sinks import tables as K
 
 BLOCK = 20
@@ -330,3 +331,97 @@ def _(t):
     parts = F.split("param", r"\|")
     found = run.solution.select(F.element_at(parts, 3).alias("name"), (F.round("x", 5) + 0.0).alias("value"))
     return found.filter(F.col("name").startswith("t"))
+
+
+def exact_lines(t, kinds=("GB", "SD"), moves=None):
+    """Error-free lines to the next three members of the block, in years of their own; with ``moves`` between marks as they stand in that year."""
+    cols = ["lon", "lat", "ohgt", "und"]
+    s = truth(t)
+    ends = s.select(F.col("code").alias("from_code"), "n", "block").withColumn("step", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    to = s.select(F.col("code").alias("to_code"), F.col("n").alias("_m"), F.col("block").alias("_b"))
+    rows = ends.join(to, (F.col("n") + F.col("step") == F.col("_m")) & (F.col("block") == F.col("_b"))).drop("_m", "_b")
+    rows = rows.withColumn("obs_type", F.explode(F.array(*[F.lit(k) for k in kinds])))
+    rows = rows.withColumns({"obs_key": F.concat_ws("-", "from_code", "to_code", "obs_type"), "year": 2000.0 + F.pmod("n", F.lit(4))})
+    there = O.resolve_ends(rows, s, cols)
+    there = U.displaced(there, moves) if moves is not None else there
+    calc = O.calculate(there)
+    e2 = 4.0e-6
+    return calc.select(
+        "obs_key", F.concat(F.lit("R"), "from_code").alias("set_id"), "obs_type", "from_code", "to_code", "year", "block", "step",
+        F.coalesce("calc", F.lit(0.0)).alias("value"), (F.col("_chord") * 1.0e-6).alias("ppm"), F.lit(2.0e-3).alias("error"),
+        F.when(F.col("obs_type") == "GB", F.array("dx", "dy", "dz")).alias("vec"), F.array(*[F.lit(v) for v in (e2, e2 / 4, e2, 0.0, 0.0, e2 * 2)]).alias("cov"),
+    )
+
+
+TRUE_PLACES = with_views("stations") + """, s AS (SELECT code, CAST(substr(code, 2) AS BIGINT) AS n FROM fx_stations), p AS (SELECT code, n, n % 20 AS k, n // 20 AS b FROM s)
+SELECT code, round(1.68E2 + (b * 7) % 40 * 2.0E-1 + (k * 7) % 20 * 4.0E-3, 8) AS lon, round(-4.5E1 + (b * 3) % 50 * 2.0E-1 + (k * 3) % 20 * 3.0E-3, 8) AS lat, round((n * 613) % 300 * 1.0E0, 4) AS ohgt FROM p"""
+
+
+def places(run):
+    return run.stations.select("code", F.round(F.degrees("lon"), 8).alias("lon"), F.round(F.degrees("lat"), 8).alias("lat"), (F.round("ohgt", 4) + 0.0).alias("ohgt"))
+
+
+def with_scales(t, instruments):
+    """Distances by instruments of the blocks, each off by its own scale, which repeats every seven."""
+    number = F.pmod("block", F.lit(instruments))
+    off = F.when(F.col("obs_type") == "SD", F.col("ppm") * (F.pmod("block", F.lit(7)) * 0.5 - 1.0)).otherwise(0.0)
+    return exact_lines(t).withColumns({"value": F.col("value") + off, "distsf": F.when(F.col("obs_type") == "SD", F.concat(F.lit("I"), number))})
+
+
+SCALES = with_views("stations") + ", b AS (SELECT DISTINCT CAST(substr(code, 2) AS BIGINT) // 20 AS b FROM fx_stations)\n"
+
+
+@query("distance_scales_by_instrument", SCALES + "SELECT DISTINCT concat('distsf|I', b % 7) AS param, round(b % 7 * 5.0E-1 - 1.0E0, 3) + 0.0 AS value FROM b")
+def _(t):
+    """The scale of every distance instrument, solved for together with the positions."""
+    run = A.adjust(with_scales(t, 7), start(t), A.Options(max_iterations=3))
+    return run.parameters.select("param", (F.round("value", 3) + 0.0).alias("value"))
+
+
+@query(
+    "tied_and_known_scales",
+    SCALES + """SELECT DISTINCT concat('distsf|I', b % 14) AS param, least(concat('distsf|I', b % 7), concat('distsf|I', b % 7 + 7)) AS name, b % 7 <> 3 AS solve, round(b % 7 * 5.0E-1 - 1.0E0, 3) + 0.0 AS value FROM b""",
+)
+def _(t):
+    """Instruments tied two by two; one pair's scale is known, a pattern gives the others a value to start from."""
+    spark = t.stations.sparkSession
+    ties = spark.range(7).select(F.concat(F.lit("distsf|I"), F.col("id") + 7).alias("param"), F.concat(F.lit("distsf|I"), "id").alias("same_as"))
+    given = spark.createDataFrame([("distsf|*", 1.0, True), ("distsf|I3", 0.5, False), ("distsf|I10", 0.5, False)], "name string, value double, solve boolean")
+    run = A.adjust(with_scales(t, 14), start(t), A.Options(max_iterations=3), U.Model(parameters=given, ties=ties))
+    return run.parameters.select("param", "name", "solve", (F.round("value", 3) + 0.0).alias("value"))
+
+
+@query("positions_of_moving_marks", TRUE_PLACES)
+def _(t):
+    """Positions of all marks at the model's epoch from lines between marks that move, the fixed ones too."""
+    rate = [F.pmod(F.col("n") * k, F.lit(13)) * 0.01 - 0.06 for k in (3, 5, 7)]
+    y = F.col("y")
+    moves = truth(t).withColumn("y", F.explode(F.array(*[F.lit(float(v)) for v in range(4)]))).select(
+        "code", (2000.0 + y).alias("year"), *[(r * y).alias(c) for r, c in zip(rate, ("de", "dn", "du"))]
+    )
+    return places(A.adjust(exact_lines(t, moves=moves), start(t), A.Options(max_iterations=4), U.Model(displacements=moves)))
+
+
+@query("positions_from_correlated_sets", TRUE_PLACES)
+def _(t):
+    """Positions of all marks from baselines observed together at a mark, with the default covariances between them."""
+    obs = exact_lines(t, ("GB",)).withColumn("i", F.col("step").cast("long"))
+    ends = O.resolve_ends(obs, truth(t), ["lon", "lat"])
+    mid = {"lon": (F.col("f_lon") + F.col("t_lon")) / 2, "lat": (F.col("f_lat") + F.col("t_lat")) / 2}
+    blocks = CV.default_set_blocks(ends.withColumns(mid).select("set_id", "i", "vec", "lon", "lat"), (3.0, 3.0, 5.0), (1.0, 1.0, 1.0))
+    return places(A.adjust(obs, start(t), A.Options(max_iterations=4), U.Model(blocks=blocks)))
+
+
+@query("positions_of_paired_marks", TRUE_PLACES)
+def _(t):
+    """Positions of all marks where every third has no line of its own and is held to a witness mark that has them."""
+    # Numbers are read with try_cast, as the planner may test witnesses too.
+    bare = lambda c: F.coalesce(F.pmod(F.substring(c, 2, 20).try_cast("long"), F.lit(3)) == 1, F.lit(False))
+    witness = lambda c: F.concat(F.lit("W"), F.col(c))
+    s = start(t)
+    own = s.filter(bare("code"))
+    marks = s.unionByName(own.withColumns({"code": witness("code"), "mode_h": F.lit("free"), "mode_v": F.lit("free")}))
+    pairs = own.select(F.col("code").alias("a"), witness("code").alias("b"), F.lit(1.0e-3).alias("h_error"), F.lit(2.0e-3).alias("v_error"))
+    obs = exact_lines(t).withColumns({c: F.when(bare(c), witness(c)).otherwise(F.col(c)) for c in ("from_code", "to_code")})
+    run = A.adjust(obs, marks, A.Options(max_iterations=4), U.Model(colocated=pairs))
+    return places(run).filter(~F.col("code").startswith("W"))
