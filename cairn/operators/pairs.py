@@ -15,9 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.plans.lineage import cut
-from cairn.plans.skew import HOT_ROWS, salted_join
-
-CROWD = 200
+from cairn.plans.skew import HOT_ROWS, bounded_broadcast, salted_join
 
 
 def _cell(names: Sequence[str], size: float) -> list[Column]:
@@ -98,18 +96,21 @@ def _start_size(targets: DataFrame, names: Sequence[str], widest: float, crowd:
 def nearest(
     queries: DataFrame, targets: DataFrame, query_key: str, target_key: str, k: int = 1,
     names: Sequence[str] = ("x", "y", "z"), max_distance: float | None = None, min_distance: float = 0.0,
-    exclude_same: bool = False, taxicab: bool = False, crowd: int = CROWD,
+    exclude_same: bool = False, taxicab: bool = False, crowd: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest targets of every query: ``(query, target, dist, place)``; ties go to the lower target key.
 
-    Exact for any layout. Targets on one spot beyond ``k + 1`` can never be among the ``k`` nearest and are set
-    aside first. A query is settled once ``k`` targets lie within the present cell size; the others go on with
-    cells twice as wide, until ``max_distance`` or the extent of the data.
+    Exact for any layout. Targets on one spot beyond ``k`` (one more where one may be the query itself) can never be
+    among the ``k`` nearest and are set aside first. The first cells hold at most ``crowd`` spots, by default a few for each
+    neighbour sought, so that a query meets about as many targets as it needs. A query is settled once ``k`` targets lie
+    within the present cell size; the others go on with cells twice as wide, until ``max_distance`` or the extent of the data.
     """
     dims = len(names)
+    crowd = 4 * (k + 1) if crowd is None else crowd
     spot = Window.partitionBy(*names).orderBy(target_key)
-    some = targets.select(target_key, *names).withColumn("_n", F.row_number().over(spot)).filter(F.col("_n") <= k + 1)
-    some = cut(some.select(F.col(target_key).alias("target"), *[F.col(n).alias(f"t_{n}") for n in names]))
+    most = k + 1 if exclude_same else k
+    some = targets.select(target_key, *names).withColumn("_n", F.row_number().over(spot)).filter(F.col("_n") <= most)
+    some = cut(some.select(F.col(target_key).alias("target"), *[F.col(n).alias(f"t_{n}") for n in names], "_n"))
     extent = some.agg(
         *[F.min(f"t_{n}").alias(f"lo{i}") for i, n in enumerate(names)], *[F.max(f"t_{n}").alias(f"hi{i}") for i, n in enumerate(names)]
     ).first()
@@ -125,12 +126,17 @@ def nearest(
     reach = (sum(span) if taxicab else sum(s * s for s in span) ** 0.5) + 1.0
     if max_distance is not None:
         reach = min(reach, max_distance)
-    size = min(reach, _start_size(some.select(*[F.col(f"t_{n}").alias(n) for n in names]).distinct(), names, reach, crowd))
+    size = min(reach, _start_size(some.filter("_n = 1").select(*[F.col(f"t_{n}").alias(n) for n in names]), names, reach, crowd))
+    some = some.drop("_n")
     left = queries.select(F.col(query_key).alias("query"), *names)
     found = None
     while True:
         at = left.select("query", *[F.col(n).alias(f"q_{n}") for n in names], *_cell(names, size))
         around = _spread(some.select("*", *_cell([f"t_{n}" for n in names], size)), dims, False).drop("_same")
+        if found is not None:
+            # Few queries are left: only the targets around them go on.
+            cells = [f"_c{i}" for i in range(dims)]
+            around = around.join(bounded_broadcast(at.select(*cells).distinct()), cells, "left_semi")
         met = salted_join(at, around, [f"_c{i}" for i in range(dims)], ["query"])
         if taxicab:
             dist = F.lit(0.0)

@@ -5,6 +5,7 @@ import random
 from contextlib import contextmanager
 
 from cairn.operators import pairs as P
+from cairn.plans.skew import salted_join
 
 XYZ = "code string, x double, y double, z double"
 
@@ -45,3 +46,21 @@ def test_list_pairs_meet_in_the_cells_of_their_list(spark):
     assert len(got) == len(set(got)) and set(got) == want and want
     # One shuffled join, that of the cells: the pairs it finds are not joined with anything.
     assert text.count("SortMergeJoin") + text.count("ShuffledHashJoin") == 1
+
+
+def test_nearest_forms_few_candidates_for_a_query(spark, monkeypatch):
+    rnd = random.Random(3)
+    pts = [(f"p{i:04d}", rnd.random() * 100, rnd.random() * 100, 0.0) for i in range(1500)]
+    met = []
+
+    def counted(*args, **kwargs):
+        out = salted_join(*args, **kwargs)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(P, "salted_join", counted)
+    df = spark.createDataFrame(pts, XYZ)
+    got = {r.query: r.target for r in P.nearest(df, df, "code", "code", 1, exclude_same=True).collect()}
+    for p in pts[::50]:
+        assert got[p[0]] == min((dist(p, q), q[0]) for q in pts if q[0] != p[0])[1]
+    assert len(got) == len(pts) and sum(met) < 60 * len(pts)
