@@ -5,6 +5,7 @@ import random
 from contextlib import contextmanager
 
 from cairn.operators import pairs as P
+from cairn.operators import spec as S
 from cairn.plans.skew import salted_join
 
 XYZ = "code string, x double, y double, z double"
@@ -48,6 +49,45 @@ def test_list_pairs_meet_in_the_cells_of_their_list(spark):
     assert text.count("SortMergeJoin") + text.count("ShuffledHashJoin") == 1
 
 
+ORDER = S.OrderTest("A", 12.0, False, 1, True, 0.0, 0.0, 0.0, 0.0, 0.05, 0.01)
+
+
+def order_marks(spark):
+    rnd = random.Random(7)
+    rows = [(*m, rnd.choice(["unknown", "pass", "passed", "fail", "fail"]), "tested", rnd.random() * 5e-3, 1e-4) for m in marks(60)]
+    return rows, spark.createDataFrame(rows, XYZ + ", status string, role string, error2 double, verror2 double")
+
+
+def relative(rows):
+    return [(a[0], b[0], (a[6] + b[6]) * 0.6, 1e-4) for a in rows for b in rows if a[0] < b[0]]
+
+
+def test_covariances_are_cut_down_to_the_tested_pairs_before_they_are_joined(spark):
+    rows, df = order_marks(spark)
+    live = ("unknown", "pass", "passed")
+    tested = {
+        (a[0], b[0]) for a in rows for b in rows
+        if a[0] < b[0] and dist(a, b) < 12.0 and a[4] in live and b[4] in live and "unknown" in (a[4], b[4])
+    }
+    table = spark.createDataFrame(relative(rows), "a string, b string, error2 double, verror2 double")
+    handed = []
+
+    def on_request(asked):
+        handed.extend((r.a, r.b) for r in asked.collect())
+        return table.join(asked, ["a", "b"], "left_semi")
+
+    with no_small_tables(spark):
+        whole = S.pair_status(df, ORDER, table)
+        text = plan(whole)
+        by_table = sorted(map(tuple, whole.select("a", "b", "status", "why").collect()))
+        by_request = sorted(map(tuple, S.pair_status(df, ORDER, on_request).select("a", "b", "status", "why").collect()))
+    assert {r[:2] for r in by_table} == tested and len(by_table) == len(tested)
+    assert {r[2] for r in by_table} == {"pass", "fail"} and "covariance" in {r[3] for r in by_table}
+    assert by_request == by_table and sorted(handed) == sorted(tested)
+    # The table meets the tested pairs where it lies: a broadcast semi join below the exchange.
+    assert any("BroadcastHashJoin" in line and "LeftSemi" in line for line in text.splitlines())
+
+
 def test_nearest_forms_few_candidates_for_a_query(spark, monkeypatch):
     rnd = random.Random(3)
     pts = [(f"p{i:04d}", rnd.random() * 100, rnd.random() * 100, 0.0) for i in range(1500)]
