@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from cairn.plans.lineage import cut
 from cairn.plans.skew import HOT_ROWS, bounded_broadcast, salted_join
 
+NARROWEST = 2.0**-12
+
 
 def _cell(names: Sequence[str], size: float) -> list[Column]:
     return [F.floor(F.col(n) / size).cast("long").alias(f"_c{i}") for i, n in enumerate(names)]
@@ -163,18 +165,12 @@ def nearest(
         size = min(size * 2.0, reach)
 
 
-def nearest_segment(
-    queries: DataFrame, segments: DataFrame, query_key: str, segment_key: str, tolerance: float, names=("x", "y")
-) -> DataFrame:
-    """Nearest line ``(query, segment, dist)`` within ``tolerance`` of each query point; ties go to the lower key.
-
-    A segment is laid into the tiles its course crosses, column by column, not its whole box.
-    """
-    x, y = names
+def _tiled(segments: DataFrame, size: float) -> DataFrame:
+    """Segments in the tiles ``(_tx, _ty)`` that their course crosses, and those beside them, column by column."""
     lo_x, hi_x = F.least("x1", "x2"), F.greatest("x1", "x2")
     columns = segments.withColumn(
         "_tx",
-        F.explode(F.sequence(F.floor(lo_x / tolerance).cast("long") - 1, F.floor(hi_x / tolerance).cast("long") + 1)),
+        F.explode(F.sequence(F.floor(lo_x / size).cast("long") - 1, F.floor(hi_x / size).cast("long") + 1)),
     )
     slope = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
 
@@ -182,29 +178,58 @@ def nearest_segment(
         inside = F.greatest(lo_x, F.least(hi_x, at))
         return F.when(F.col("x2") == F.col("x1"), F.col("y1")).otherwise(F.col("y1") + slope * (inside - F.col("x1")))
 
-    y_a, y_b = height((F.col("_tx") - 1) * tolerance), height((F.col("_tx") + 2) * tolerance)
+    y_a, y_b = height((F.col("_tx") - 1) * size), height((F.col("_tx") + 2) * size)
     vertical = F.col("x1") == F.col("x2")
     low = F.when(vertical, F.least("y1", "y2")).otherwise(F.least(y_a, y_b))
     high = F.when(vertical, F.greatest("y1", "y2")).otherwise(F.greatest(y_a, y_b))
-    tiled = columns.withColumn(
-        "_ty", F.explode(F.sequence(F.floor(low / tolerance).cast("long") - 1, F.floor(high / tolerance).cast("long") + 1))
-    )
-    at = queries.select(
-        F.col(query_key).alias("query"), F.col(x).alias("_x"), F.col(y).alias("_y"),
-        F.floor(F.col(x) / tolerance).cast("long").alias("_tx"), F.floor(F.col(y) / tolerance).cast("long").alias("_ty"),
-    )
-    met = salted_join(at, tiled, ["_tx", "_ty"], ["query"])
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    size = dx * dx + dy * dy
-    along = F.when(size > 0, ((F.col("_x") - F.col("x1")) * dx + (F.col("_y") - F.col("y1")) * dy) / size).otherwise(0.0)
-    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    dist = F.hypot(F.col("_x") - F.col("x1") - along * dx, F.col("_y") - F.col("y1") - along * dy)
-    near = met.withColumn("dist", dist).filter(F.col("dist") < tolerance)
-    return near.groupBy("query").agg(
-        F.min_by(segment_key, F.struct("dist", segment_key)).alias("segment"), F.min("dist").alias("dist")
+    return columns.withColumn(
+        "_ty", F.explode(F.sequence(F.floor(low / size).cast("long") - 1, F.floor(high / size).cast("long") + 1))
     )
 
 
+def nearest_segment(
+    queries: DataFrame, segments: DataFrame, query_key: str, segment_key: str, tolerance: float, names=("x", "y")
+) -> DataFrame:
+    """Nearest line ``(query, segment, dist)`` within ``tolerance`` of each query point; ties go to the lower key.
+
+    A segment is laid into the tiles its course crosses, column by column, not its whole box. Segments between the same
+    points count once, by their lowest key. Where tiles as wide as ``tolerance`` would hold many segments the search starts
+    with narrower ones: a query with a line closer than the present width is settled, the others go on with twice the width.
+    """
+    x, y = names
+    ends = ["x1", "y1", "x2", "y2"]
+    lines = segments.groupBy(*ends).agg(F.min(F.struct(F.col(segment_key).alias("k")))["k"].alias("segment"))
+    lines = cut(lines.select("segment", *ends))
+    left = cut(queries.select(F.col(query_key).alias("query"), F.col(x).alias("_x"), F.col(y).alias("_y")))
+    held = _tiled(lines, tolerance).groupBy("_tx", "_ty").agg(F.count("*").alias("n")).agg(
+        F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares")
+    ).first()
+    # Halving the width doubles the rows laid out and halves the lines a query meets: go on until they balance.
+    size, rows = tolerance, held["rows"] or 0
+    met_rows = left.count() * (held["squares"] / rows) if rows else 0
+    while rows and met_rows > rows and size > tolerance * NARROWEST:
+        size, rows, met_rows = size / 2.0, rows * 2, met_rows / 2.0
+    found = None
+    while True:
+        at = left.withColumns({"_tx": F.floor(F.col("_x") / size).cast("long"), "_ty": F.floor(F.col("_y") / size).cast("long")})
+        met = salted_join(at, _tiled(lines, size), ["_tx", "_ty"], ["query"])
+        dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+        length2 = dx * dx + dy * dy
+        along = F.when(length2 > 0, ((F.col("_x") - F.col("x1")) * dx + (F.col("_y") - F.col("y1")) * dy) / length2).otherwise(0.0)
+        along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+        dist = F.hypot(F.col("_x") - F.col("x1") - along * dx, F.col("_y") - F.col("y1") - along * dy)
+        near = met.withColumn("dist", dist).filter(F.col("dist") < size)
+        done = near.groupBy("query").agg(F.min_by("segment", F.struct("dist", "segment")).alias("segment"), F.min("dist").alias("dist"))
+        last = size >= tolerance
+        if not last:
+            done = cut(done)
+            left = cut(left.join(done.select(F.col("query").alias("_done")), F.col("query").eqNullSafe(F.col("_done")), "left_anti"))
+        found = done if found is None else found.unionByName(done)
+        if last or left.isEmpty():
+            return found
+        size *= 2.0
+
+
 def baselines_from_lists(lists: DataFrame, list_id: str, place: str, code: str) -> DataFrame:
     """Baselines from the first mark of every list to its other marks; repeats in a list count once."""
     marks = lists.groupBy(list_id, code).agg(F.min(place).alias("_p"))

@@ -104,3 +104,35 @@ def test_nearest_forms_few_candidates_for_a_query(spark, monkeypatch):
     for p in pts[::50]:
         assert got[p[0]] == min((dist(p, q), q[0]) for q in pts if q[0] != p[0])[1]
     assert len(got) == len(pts) and sum(met) < 60 * len(pts)
+
+
+def test_nearest_segment_forms_few_candidates_for_a_point(spark, monkeypatch):
+    rnd = random.Random(11)
+    segs = [(i, x, y, x + rnd.random() - 0.5, y + rnd.random() - 0.5) for i, (x, y) in enumerate((rnd.random() * 20, rnd.random() * 20) for _ in range(300))]
+    segs += [(1000 + i, *s) for i, *s in segs] + [(2000 + i, *s) for i, *s in segs[:100]]
+    pts = [(f"q{i}" if i else None, rnd.random() * 20, rnd.random() * 20) for i in range(400)]
+    met = []
+
+    def counted(*args, **kwargs):
+        out = salted_join(*args, **kwargs)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(P, "salted_join", counted)
+    rows = P.nearest_segment(
+        spark.createDataFrame(pts, "q string, x double, y double"), spark.createDataFrame(segs, "s long, x1 double, y1 double, x2 double, y2 double"), "q", "s", 6.0
+    ).collect()
+
+    def away(p, s):
+        _, x1, y1, x2, y2 = s
+        dx, dy = x2 - x1, y2 - y1
+        t = max(0.0, min(1.0, ((p[1] - x1) * dx + (p[2] - y1) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(p[1] - x1 - t * dx, p[2] - y1 - t * dy)
+
+    got = {r.query: (r.segment, r.dist) for r in rows}
+    assert len(rows) == len(got) == len(pts)
+    for p in pts:
+        best = min((away(p, s), s[0]) for s in segs)
+        assert got[p[0]][0] == best[1] and abs(got[p[0]][1] - best[0]) < 1e-9
+    # Far fewer than the hundreds of segments within the tolerance of a point.
+    assert sum(met) < 60 * len(pts)
