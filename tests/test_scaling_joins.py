@@ -136,3 +136,23 @@ def test_nearest_segment_forms_few_candidates_for_a_point(spark, monkeypatch):
         assert got[p[0]][0] == best[1] and abs(got[p[0]][1] - best[0]) < 1e-9
     # Far fewer than the hundreds of segments within the tolerance of a point.
     assert sum(met) < 60 * len(pts)
+
+
+def test_relative_test_forms_only_pairs_of_one_specification(spark):
+    rows, df = order_marks(spark)
+    under = [(r[0], "fine") for r in rows[::3]] + [(r[0], "coarse") for r in rows[::4]] + [(rows[0][0], "fine")]
+    assigned = spark.createDataFrame(under, "code string, name string")
+    specs = S.spec_table(spark, (S.AccuracySpec("fine", 0.0, 0.0, 0.05, 1.0, 0.02, 1.0), S.AccuracySpec("coarse", 0.0, 0.0, 0.08, 1.0)))
+    cov = lambda near, *keep: near.selectExpr(
+        *keep, "a", "b", "sqrt(dist2) AS length", "a_error2 + b_error2 AS vee", "0.0D AS ven", "a_error2 AS vnn", "b_error2 AS vuu"
+    )
+    want = S.relative_test(cov(P.pairs_within(df, "code", 12.0, carry=("error2",))), assigned, specs)
+    near = S.assigned_pairs(df, assigned, 12.0, carry=("error2",))
+    got = S.relative_test(cov(near, "name"), assigned, specs)
+    for one, other in zip(got, want):
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect())) and not one.isEmpty()
+    with no_small_tables(spark):
+        text = plan(S.relative_test(cov(S.assigned_pairs(df, assigned, 12.0, carry=("error2",)), "name"), assigned, specs)[1])
+    # The exchange of the summary is the only one above the join of the cells.
+    above = text[: text.index("SortMergeJoin")]
+    assert above.count("Exchange hashpartitioning") == 1
