@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairn.functions.ellipsoid import GRS80, Ellipsoid, meridian_radius, prime_vertical
 from cairn.operators import normal, observe, solve, unknowns
 from cairn.operators.unknowns import Model
-from cairn.plans.lineage import cut
+from cairn.plans.lineage import cut, store
 
 STATION_COLUMNS = ("lon", "lat", "ohgt", "und", "free")
 
@@ -269,8 +269,8 @@ def adjust(
         matrix, rhs, vwv = normal.split_cells(cells)
         explicit_sets = matrix.filter((F.col("row") == F.col("col")) & F.col("row").startswith("set|")).count()
         # The observations link the same stations in every iteration.
-        comps = comps if comps is not None else cut(solve.components_of(matrix))
-        solution = cut(solve.solve(matrix, rhs, options.dense_limit, comps=comps, stored=True))
+        comps = comps if comps is not None else store(solve.components_of(matrix))
+        solution = store(solve.solve(matrix, rhs, options.dense_limit, comps=comps, stored=True))
         totals = solution.join(rhs, "param").agg(
             F.sum(F.col("x") * F.col("b")).alias("bx"), F.count("*").alias("n")
         ).first()

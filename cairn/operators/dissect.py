@@ -23,12 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.plans.lineage import cut
+from cairn.plans.lineage import cut, store
 
 HUB_DEGREE = 256
 FRONT_LIMIT = 6000
 LEAF_ROUNDS = 2
 LAST_LINKS = 512
+PACK_CLUSTERS = 32  # clusters that share a call where there are very many
 NULL_PIVOT = 1.0e-10
 NULL_SHARE = 1.0e-4
 
@@ -47,9 +48,9 @@ def unit_of(param: Column) -> Column:
 def _heights(edges: DataFrame, units: DataFrame) -> tuple[DataFrame, int]:
     """``(unit, path)``: the clusters a unit lies in, from the leaves up; ``edges(a, b)`` hold both directions."""
     degree = edges.groupBy("a").agg(F.count("*").alias("n"))
-    hubs = cut(degree.filter(F.col("n") > HUB_DEGREE).select(F.col("a").alias("unit")))
+    hubs = store(degree.filter(F.col("n") > HUB_DEGREE).select(F.col("a").alias("unit")))
     plain = edges.join(hubs.withColumnRenamed("unit", "a"), "a", "left_anti").join(hubs.withColumnRenamed("unit", "b"), "b", "left_anti")
-    work = cut(plain.select("a", "b"))
+    work = store(plain.select("a", "b"))
     paths = units.join(hubs, "unit", "left_anti").select("unit", F.col("unit").alias("now"), F.array().cast("array<bigint>").alias("path"))
     rounds, links = 0, work.count()
     while links > LAST_LINKS:
@@ -57,10 +58,10 @@ def _heights(edges: DataFrame, units: DataFrame) -> tuple[DataFrame, int]:
         best = work.groupBy("a").agg(F.max(rank("b")).alias("m"))
         centres = best.filter(rank("a") > F.col("m")).select(F.col("a").alias("b"))
         # A centre has no centre beside it, so whoever finds one joins it.
-        moved = cut(work.join(centres, "b").groupBy("a").agg(F.max(rank("b")).alias("m")).select(F.col("a").alias("now"), F.col("m.id").alias("to")))
+        moved = store(work.join(centres, "b").groupBy("a").agg(F.max(rank("b")).alias("m")).select(F.col("a").alias("now"), F.col("m.id").alias("to")))
         paths = paths.join(moved, "now", "left").select("unit", F.coalesce("to", "now").alias("now"), "path")
         end = lambda c: moved.select(F.col("now").alias(c), F.col("to").alias(f"_{c}"))  # noqa: B023, E731
-        work = cut(
+        work = store(
             work.join(end("a"), "a", "left").join(end("b"), "b", "left")
             .select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).filter("a <> b").distinct()
         )
@@ -68,7 +69,7 @@ def _heights(edges: DataFrame, units: DataFrame) -> tuple[DataFrame, int]:
         if rounds >= LEAF_ROUNDS:
             paths = paths.withColumn("path", F.concat("path", F.array("now")))
         if rounds % 4 == 0:
-            paths = cut(paths)
+            paths = store(paths)
     if rounds < LEAF_ROUNDS:
         paths, rounds = paths.withColumn("path", F.array("now")), LEAF_ROUNDS
     height = rounds - LEAF_ROUNDS + 1
@@ -76,26 +77,43 @@ def _heights(edges: DataFrame, units: DataFrame) -> tuple[DataFrame, int]:
         # All clusters hang from one more, which holds the hubs and what separates the few clusters left.
         inner = paths.select("unit", F.concat("path", F.array(F.lit(-1).cast("bigint"))).alias("path"))
         outer = hubs.select("unit", F.concat(F.array_repeat(F.lit(None).cast("bigint"), height), F.array(F.lit(-1).cast("bigint"))).alias("path"))
-        return cut(inner.unionByName(outer)), height + 1
-    return cut(paths.select("unit", "path")), height
+        return store(inner.unionByName(outer)), height + 1
+    return store(paths.select("unit", "path")), height
 
 
 def _elimination_heights(edges: DataFrame, paths: DataFrame, height: int) -> DataFrame:
     """``(unit, path, at)``: the height at which a unit is eliminated, that of the highest edge it is to separate."""
     end = lambda c: paths.select(F.col("unit").alias(c), F.col("path").alias(f"_{c}"))
     met = F.array_position(F.zip_with("_a", "_b", lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))), 1) - 1
-    apart = cut(edges.join(end("a"), "a").join(end("b"), "b").select("a", "b", met.cast("int").alias("at"), F.element_at("_a", 1).isNull().alias("hub_a"), F.element_at("_b", 1).isNull().alias("hub_b")).filter("at > 0"))
+    apart = store(edges.join(end("a"), "a").join(end("b"), "b").select("a", "b", met.cast("int").alias("at"), F.element_at("_a", 1).isNull().alias("hub_a"), F.element_at("_b", 1).isNull().alias("hub_b")).filter("at > 0"))
     # The end with more edges to cover at this height; equal ends by hash. A hub always.
     load = apart.groupBy("a", "at").agg(F.count("*").alias("n"))
     weighed = apart.join(load, ["a", "at"]).join(load.select(F.col("a").alias("b"), "at", F.col("n").alias("m")), ["b", "at"])
     weight = lambda h, n, c: F.struct(F.col(h), F.col(n), F.xxhash64(c), F.col(c))
     top = weighed.filter(weight("hub_a", "n", "a") > weight("hub_b", "m", "b")).groupBy(F.col("a").alias("unit")).agg(F.max("at").alias("at"))
     hub = F.element_at("path", 1).isNull()
-    return cut(paths.join(top, "unit", "left").select("unit", "path", F.when(hub, height - 1).otherwise(F.coalesce("at", F.lit(0))).cast("int").alias("at")))
+    return store(paths.join(top, "unit", "left").select("unit", "path", F.when(hub, height - 1).otherwise(F.coalesce("at", F.lit(0))).cast("int").alias("at")))
+
+
+def _deal(df: DataFrame, clusters: int) -> DataFrame:
+    """``df`` by ``bucket`` of the cluster ``t``: many small clusters share a call, few large ones have one each."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(8 * parts, clusters // PACK_CLUSTERS)
+    bucket = F.col("t") if clusters <= 8 * parts else F.pmod(F.xxhash64("t"), F.lit(buckets))
+    # By number, as small rows make much work: the planner would put them into one task.
+    return df.withColumn("bucket", bucket).repartition(parts, "bucket")
+
+
+def _split(df: pd.DataFrame) -> dict:
+    return {t: part for t, part in df.groupby("t", sort=False)} if len(df) else {}
 
 
 def _eliminate(limit: int):
-    def run(key, cells: pd.DataFrame, kids: pd.DataFrame) -> pd.DataFrame:
+    def run(cells: pd.DataFrame, kids: pd.DataFrame) -> pd.DataFrame:
+        own, held = _split(cells), _split(kids)
+        return pd.DataFrame([one(t, own.get(t, cells[:0]), held.get(t, kids[:0])) for t in {**own, **held}], columns=_COLUMNS)
+
+    def one(t: int, cells: pd.DataFrame, kids: pd.DataFrame) -> tuple:
         i, j = cells["i"].to_numpy(np.int64), cells["j"].to_numpy(np.int64)
         value = cells["value"].to_numpy(float)
         rhs = j < 0
@@ -105,7 +123,7 @@ def _eliminate(limit: int):
         members = np.concatenate([pivots, outer])
         p, n = len(pivots), len(members)
         if n > limit:
-            return pd.DataFrame([(key[0], [], [], b"", b"", b"", b"", b"", b"", b"", b"", n)], columns=_COLUMNS)
+            return t, [], [], b"", b"", b"", b"", b"", b"", b"", b"", n
         order = np.argsort(members)
         place = lambda x: order[np.searchsorted(members, x, sorter=order)]
         a, b = np.zeros((n, n)), np.zeros(n)
@@ -132,8 +150,7 @@ def _eliminate(limit: int):
         w, y = inverse @ a[:p, p:], inverse @ b[:p]
         update, rest = a[p:, p:] - a[p:, :p] @ w, b[p:] - a[p:, :p] @ y
         need = np.unique(np.stack([np.maximum(r, c), np.minimum(r, c)], axis=1), axis=0).astype(np.int32) if len(r) else np.zeros((0, 2), np.int32)
-        row = (key[0], pivots, outer, w.tobytes(), inverse.tobytes(), y.tobytes(), scale.tobytes(), nulls.tobytes(), need.tobytes(), update.tobytes(), rest.tobytes(), n)
-        return pd.DataFrame([row], columns=_COLUMNS)
+        return t, pivots, outer, w.tobytes(), inverse.tobytes(), y.tobytes(), scale.tobytes(), nulls.tobytes(), need.tobytes(), update.tobytes(), rest.tobytes(), n
 
     return run
 
@@ -160,21 +177,24 @@ def _back(row, held: np.ndarray, z: np.ndarray, x: np.ndarray, nulls: np.ndarray
     need = np.frombuffer(row.need, np.int32).reshape(-1, 2)
     cells = [{"row": int(ids[i]), "col": int(ids[j]), "value": float(front[i, j])} for i, j in need]
     found = [{"id": int(i), "x": float(v), "singular": bool(s)} for i, v, s in zip(pivots, solved, loose)]
-    return row.t, ids, front.tobytes(), solved.tobytes(), free.tobytes(), cells, found
+    return row.own, ids, front.tobytes(), solved.tobytes(), free.tobytes(), cells, found
 
 
 _FRONT_COLUMNS = ["t", "ids", "z", "x", "nulls", "cells", "found"]
 
 
-def _down(key, above: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-    if len(above):
-        top = above.iloc[0]
-        held = np.asarray(top["ids"], np.int64)
-        n = len(held)
-        z, x, nulls = np.frombuffer(top["z"]).reshape(n, n), np.frombuffer(top["x"]), np.frombuffer(top["nulls"]).reshape(n, -1) if n else np.zeros((0, 0))
-    else:
-        held, z, x, nulls = np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0))
-    return pd.DataFrame([_back(r, held, z, x, nulls) for r in own.itertuples()], columns=_FRONT_COLUMNS)
+def _down(above: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    tops, out = {top.t: top for top in above.itertuples()}, []
+    for up, part in _split(own).items():
+        if up in tops:
+            top = tops[up]
+            held = np.asarray(top.ids, np.int64)
+            n = len(held)
+            z, x, nulls = np.frombuffer(top.z).reshape(n, n), np.frombuffer(top.x), np.frombuffer(top.nulls).reshape(n, -1) if n else np.zeros((0, 0))
+        else:
+            held, z, x, nulls = np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0))
+        out.extend(_back(r, held, z, x, nulls) for r in part.itertuples())
+    return pd.DataFrame(out, columns=_FRONT_COLUMNS)
 
 
 @dataclass
@@ -196,19 +216,19 @@ def dissect(matrix: DataFrame, rhs: DataFrame | None = None, wanted: DataFrame |
     """
     limit = FRONT_LIMIT if limit is None else limit
     summed = matrix.groupBy("row", "col").agg(F.sum("value").alias("value"))
-    names = cut(matrix.select(F.col("row").alias("param")).distinct().withColumn("id", F.monotonically_increasing_id()))
-    numbered = cut(names.withColumn("unit_name", unit_of(F.col("param"))))
+    names = store(matrix.select(F.col("row").alias("param")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    numbered = store(names.withColumn("unit_name", unit_of(F.col("param"))))
     units = numbered.groupBy("unit_name").agg(F.min("id").alias("unit"))
-    numbered = cut(numbered.join(units, "unit_name").select("param", "id", "unit"))
+    numbered = store(numbered.join(units, "unit_name").select("param", "id", "unit"))
     end = lambda c, i: numbered.select(F.col("param").alias(c), F.col("id").alias(i), F.col("unit").alias(f"u{i}"))
     cells = summed.join(end("row", "i"), "row").join(end("col", "j"), "col").filter("i >= j").select("i", "j", "ui", "uj", "value")
     if wanted is not None:
         both = wanted.select("row", "col").distinct().join(end("row", "i"), "row").join(end("col", "j"), "col")
         asked = both.select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), F.when(F.col("i") >= F.col("j"), F.col("ui")).otherwise(F.col("uj")).alias("ui"), F.when(F.col("i") >= F.col("j"), F.col("uj")).otherwise(F.col("ui")).alias("uj"), F.lit(0.0).alias("value"))
         cells = cells.unionByName(asked)
-    cells = cut(cells)
+    cells = store(cells)
     one_way = cells.filter("ui <> uj").select(F.col("ui").alias("a"), F.col("uj").alias("b"))
-    edges = cut(one_way.unionAll(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = store(one_way.unionAll(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     paths, height = _heights(edges, numbered.select("unit").distinct())
     plan = _elimination_heights(edges, paths, height)
 
@@ -222,12 +242,14 @@ def dissect(matrix: DataFrame, rhs: DataFrame | None = None, wanted: DataFrame |
     if rhs is not None:
         b = rhs.join(numbered, "param").withColumnRenamed("unit", "ui").join(spot("ui"), "ui")
         placed = placed.unionByName(b.select(F.col("aui").alias("at"), F.element_at("pui", F.col("aui") + 1).alias("t"), F.col("id").alias("i"), F.lit(-1).cast("bigint").alias("j"), F.col("b").alias("value")))
-    placed = cut(placed)
+    placed = store(placed)
+    clusters = list(plan.agg(*[F.count_distinct(F.element_at("path", k + 1)) for k in range(height)]).first())
     factors, kids, largest = [], None, 0
     nothing = matrix.sparkSession.createDataFrame([], "t long, outer array<long>, update binary, rest binary")
     for k in range(height):
-        own = placed.filter(F.col("at") == k).select("t", "i", "j", "value").groupBy("t")
-        done = cut(own.cogroup((nothing if kids is None else kids).groupBy("t")).applyInPandas(_eliminate(limit), _FACTOR))
+        own = _deal(placed.filter(F.col("at") == k).select("t", "i", "j", "value"), clusters[k])
+        below = _deal(nothing if kids is None else kids, clusters[k])
+        done = cut(own.groupBy("bucket").cogroup(below.groupBy("bucket")).applyInPandas(_eliminate(limit), _FACTOR))
         largest = max(largest, done.agg(F.max("size")).first()[0] or 0)
         if largest > limit:
             return None
@@ -239,9 +261,12 @@ def dissect(matrix: DataFrame, rhs: DataFrame | None = None, wanted: DataFrame |
             done = done.drop("update", "rest").withColumn("up", F.col("t"))
         factors.append(done)
     fronts, out = matrix.sparkSession.createDataFrame([], _FRONT), []
-    for done in reversed(factors):
-        keep = fronts.select("t", "ids", "z", "x", "nulls").withColumnRenamed("t", "up")
-        fronts = cut(keep.groupBy("up").cogroup(done.groupBy("up")).applyInPandas(_down, _FRONT))
+    for k, done in reversed(list(enumerate(factors))):
+        # Clusters meet the one above, whose inverse is as large as its front: few of those share a call.
+        above = clusters[min(k + 1, height - 1)]
+        keep = _deal(fronts.select("t", "ids", "z", "x", "nulls"), above)
+        own = _deal(done.withColumnsRenamed({"t": "own", "up": "t"}), above)
+        fronts = cut(keep.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInPandas(_down, _FRONT))
         out.append(fronts)
     gathered = out[0].select("cells", "found")
     for more in out[1:]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators.dissect import dissect
 from cairn.operators.graph import connected_components
-from cairn.plans.lineage import cut
+from cairn.plans.lineage import cut, store
 
 DENSE_LIMIT = 1500
 PACK_ROWS = 200_000
@@ -191,7 +191,7 @@ def solve(
     if not stored:
         matrix, rhs = cut(matrix), cut(rhs)
     if comps is None:
-        comps = cut(components_of(matrix))
+        comps = store(components_of(matrix))
     dense = solve_small(matrix, rhs, comps, False, limit)
     out = dense.select(F.col("row").alias("param"), F.col("value").alias("x"), "singular")
     large = comps.filter(F.col("size") > limit).select("param")
@@ -214,7 +214,7 @@ def singular_parameters(matrix: DataFrame, limit: int = DENSE_LIMIT, seen: float
     standard deviation is missing are the undetermined ones. Parameters with nothing on the diagonal are too.
     """
     matrix = cut(matrix.groupBy("row", "col").agg(F.sum("value").alias("value")))
-    comps = cut(components_of(matrix))
+    comps = store(components_of(matrix))
     diag = matrix.filter("row = col").select(F.col("row").alias("param"), F.col("value").alias("d"))
     zero = diag.select("param", F.lit(0.0).alias("b"))
     out = solve_small(matrix, zero, comps, False, limit).filter("singular").select(F.col("row").alias("param"))
@@ -244,7 +244,7 @@ def inverse_cells(
     different components are zero; those that name no parameter of the matrix are left out.
     """
     matrix = cut(matrix)
-    comps = cut(components_of(matrix))
+    comps = store(components_of(matrix))
     zero = matrix.filter("row = col").select(F.col("row").alias("param"), F.lit(0.0).alias("b"))
     pairs = matrix.select("row", "col")
     apart = None
