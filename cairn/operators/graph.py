@@ -49,7 +49,8 @@ def _union():
             for a, b in zip(batch["a"], batch["b"]):
                 low, high = sorted((root(a), root(b)))
                 parent[high] = low
-        yield pd.DataFrame({"a": list(parent), "to": [root(x) for x in parent]})
+        if parent:
+            yield pd.DataFrame({"a": list(parent), "to": [root(x) for x in parent]})
 
     return run
 
