@@ -11,12 +11,15 @@ import math
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import matches_wildcard, natural_key, natural_literal, path_matches_wildcard
+from cairn.plans.lineage import store
 from cairn.plans.skew import bounded_broadcast
 
+FAR = 1.0e7  # coordinates from here on are left to the plain count
+
 # ---------------------------------------------------------------- stations
 
 
@@ -84,16 +87,121 @@ def inside_polygons(
 ) -> DataFrame:
     """Stations inside any polygon of ``edges(poly_id, x1, y1, x2, y2)`` by the even-odd rule over all rings.
 
-    Edges are cut into horizontal bands; with ``wrap`` each also lies in the tiles of ``tile`` degrees from its
-    polygon's western limit to its own eastern end, where points can see it. Stations meet edges of their band
-    and tile only. ``outside`` keeps the rest.
+    A grid of cells of ``band`` degrees or less settles most stations without an edge: cells that lie wholly in some polygon are
+    found once (``_cells``). In the others a station meets the runs of edges through its own cell only. Stations whose
+    code is not unique or whose place is out of range, and polygons that are not closed or go round the globe, are
+    counted edge by edge (``_counted``) over bands and, with ``wrap``, tiles of ``tile`` degrees. ``outside`` keeps the rest.
+    """
+    number = lambda c: F.abs(F.col(c)) < FAR
+    ends = F.explode(F.array(F.struct(F.col("x1").alias("_px"), F.col("y1").alias("_py")), F.struct(F.col("x2").alias("_px"), F.col("y2").alias("_py"))))
+    corners = edges.filter(F.col(polygon).isNotNull()).select(polygon, ends.alias("_p")).select(polygon, "_p.*")
+    corners = corners.groupBy(polygon, "_px", "_py").agg((F.count("*") % 2 == 1).alias("_odd"))
+    odd = corners.groupBy(polygon).agg(
+        F.bool_or(F.col("_odd") | ~F.coalesce(number("_px") & number("_py"), F.lit(False))).alias("_open"),
+        (F.max("_px") - F.min("_px")).alias("_span"),
+    )
+    odd = store(odd.filter(F.col("_open") | (F.col("_span") > 360.0 - 3.0 * band) if wrap else F.col("_open")).select(polygon))
+    points = stations.select(key, x, y).filter(F.col(key).isNotNull())
+    there = F.coalesce(number(x) & number(y), F.lit(False))
+    loose = points.groupBy(key).agg(F.count("*").alias("_n"), F.bool_and(there).alias("_there")).filter((F.col("_n") > 1) | ~F.col("_there"))
+    loose = store(loose.select(key))
+    hits = _in_cells(points.filter(there), edges.filter(F.col(polygon).isNotNull()).join(odd, polygon, "left_anti"), key, x, y, band, wrap, polygon)
+    count = lambda p, e: _counted(p, e, key, x, y, band, wrap, polygon, tile)
+    if not loose.isEmpty():
+        hits = hits.join(loose, key, "left_anti").unionAll(count(points.join(loose, key, "left_semi"), edges))
+    if not odd.isEmpty():
+        hits = hits.unionAll(count(points.join(loose, key, "left_anti"), edges.join(odd, polygon, "left_semi")))
+    return stations.join(hits.distinct(), key, "left_anti" if outside else "left_semi")
+
+
+def _in_cells(points: DataFrame, edges: DataFrame, key: str, x: str, y: str, band: float, wrap: bool, polygon: str) -> DataFrame:
+    """Keys of ``points`` inside a polygon, all of them closed; keys may come several times."""
+    tall = edges.agg(F.avg(F.abs(F.col("y1") - F.col("y2")))).first()[0] or band
+    size = min(band, max(band / 32.0, tall / 16.0))
+    around = math.ceil(360.0 / size) if wrap else None
+    width = 360.0 / around if wrap else size
+    covered, runs = _cells(edges, size, width, around, polygon)
+    at = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(x) / width).cast("long").alias("_c"), F.floor(F.col(y) / size).cast("long").alias("_row"))
+    at = at.withColumn("_cell", F.pmod("_c", F.lit(around)) if wrap else F.col("_c"))
+    met = at.join(bounded_broadcast(runs), ["_row", "_cell"])
+    # Whole turns between the station's own longitude and that of the polygon.
+    px = F.col("_x") - 360.0 * F.round((F.col("_c") - F.col("_at")) / F.lit(around)) if wrap else F.col("_x")
+    met = met.withColumn("_px", px)
+
+    def crossed(e):
+        slope_x = e["x1"] + (F.col("_y") - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
+        return ((e["y1"] <= F.col("_y")) != (e["y2"] <= F.col("_y"))) & (F.col("_px") >= slope_x)
+
+    inside = met.filter((F.col("_left") + F.size(F.filter("_edges", crossed))) % 2 == 1)
+    return at.join(bounded_broadcast(covered), ["_row", "_cell"], "left_semi").select(key).unionAll(inside.select(key))
+
+
+def _cells(edges: DataFrame, size: float, width: float, around: int | None, polygon: str) -> tuple[DataFrame, DataFrame]:
+    """Cells ``(_row, _cell)`` wholly inside a polygon, and the runs of edges ``(_row, _cell, _at, _left, _edges)`` through other cells.
+
+    Of the edges of a polygon in one row of cells, those that touch the same or neighbouring cells form a run. Between two runs
+    no edge is met, so the number of edges to the left, counted at half height, says for the whole gap whether it is inside. A run
+    has its edges and the number of those left of it modulo two; runs of different polygons that say the same are one.
     """
-    bounds = edges.groupBy(polygon).agg(
-        F.min("x1").alias("_xmin"), F.max("x1").alias("_xmax"), F.min("y1").alias("_ymin"), F.max("y1").alias("_ymax")
+    hair = 1.0e-6 * size  # more than rounding can move a point or an edge
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    step = lambda v, unit: F.floor(v / unit).cast("long")
+    rows = edges.select(polygon, "x1", "y1", "x2", "y2", F.explode(F.sequence(step(low - hair, size), step(high + hair, size))).alias("_row"))
+    level = F.col("y1") == F.col("y2")
+    at = lambda v: F.col("x1") + (v - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.when(~level, F.col("y2") - F.col("y1"))
+    bottom, top = F.col("_row") * size, (F.col("_row") + 1) * size
+    a = F.when(level, F.col("x1")).otherwise(at(F.greatest(low, F.least(high, bottom - hair))))
+    b = F.when(level, F.col("x2")).otherwise(at(F.least(high, F.greatest(low, top + hair))))
+    half = (F.col("_row") + 0.5) * size
+    rows = rows.withColumns({
+        "_c0": step(F.least(a, b) - hair, width), "_c1": step(F.greatest(a, b) + hair, width),
+        "_cross": ((F.col("y1") <= half) != (F.col("y2") <= half)).cast("int"),
+    })
+    line = Window.partitionBy(polygon, "_row").orderBy("_c0", "_c1")
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_reach": F.max("_c1").over(before), "_left": F.coalesce(F.sum("_cross").over(before), F.lit(0)) % 2})
+    first = F.col("_reach").isNull() | (F.col("_c0") > F.col("_reach") + 1)
+    rows = rows.withColumn("_first", first)
+    spans = rows.filter((F.col("_left") == 1) & F.col("_first") & F.col("_reach").isNotNull()).select("_row", (F.col("_reach") + 1).alias("_from"), (F.col("_c0") - 1).alias("_to"))
+    if around is not None:
+        turn = F.floor(F.col("_from") / around) * around
+        spans = spans.select("_row", (F.col("_from") - turn).alias("_from"), (F.col("_to") - turn).alias("_to"))
+        parts = F.array(
+            F.struct(F.col("_from").alias("_from"), F.least("_to", F.lit(around - 1)).alias("_to")),
+            F.struct(F.lit(0).cast("long").alias("_from"), (F.col("_to") - around).alias("_to")),
+        )
+        spans = spans.select("_row", F.inline(parts)).filter("_from <= _to")
+    # Overlapping spans of different polygons become one before they are taken apart into cells.
+    across = Window.partitionBy("_row").orderBy("_from", "_to")
+    spans = spans.distinct().withColumn("_reach", F.max("_to").over(across.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("_part", F.sum((F.col("_reach").isNull() | (F.col("_from") > F.col("_reach") + 1)).cast("int")).over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("_row", "_part").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    covered = store(spans.select("_row", F.explode(F.sequence("_from", "_to")).alias("_cell")))
+    runs = rows.withColumn("_run", F.sum(F.col("_first").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    edge = F.when(~level, F.struct("x1", "y1", "x2", "y2"))
+    runs = runs.groupBy(polygon, "_row", "_run").agg(
+        F.min("_c0").alias("_from"), F.max("_c1").alias("_to"), F.max(F.when(F.col("_first"), F.col("_left"))).alias("_left"),
+        F.sort_array(F.collect_list(edge)).alias("_edges"),
     )
+    runs = runs.select("_row", "_from", "_to", "_left", "_edges").distinct()
+    runs = runs.select("_row", F.explode(F.sequence("_from", "_to")).alias("_at"), "_left", "_edges")
+    runs = runs.withColumn("_cell", F.pmod("_at", F.lit(around)) if around is not None else F.col("_at"))
+    return covered, store(runs.join(bounded_broadcast(covered), ["_row", "_cell"], "left_anti"))
+
+
+def _counted(
+    points: DataFrame, edges: DataFrame, key: str, x: str, y: str, band: float, wrap: bool, polygon: str, tile: float
+) -> DataFrame:
+    """Keys with an odd number of edges of a polygon to the right, over all rows of the key.
+
+    Edges are cut into horizontal bands; with ``wrap`` each also lies in the tiles of ``tile`` degrees from its
+    polygon's western limit to its own eastern end, where points can see it. Points meet edges of their band
+    and tile only.
+    """
+    bounds = edges.groupBy(polygon).agg(F.min("x1").alias("_xmin"), F.max("x1").alias("_xmax"))
     steps = lambda low, high, size: F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
     banded = edges.filter(F.col("y1") != F.col("y2")).join(bounds, polygon)
-    points = stations.select(key, x, y).withColumn("_band", F.floor(F.col(y) / band).cast("long"))
+    points = points.withColumn("_band", F.floor(F.col(y) / band).cast("long"))
     on = ["_band"]
     px = F.col(x)
     if wrap:
@@ -108,7 +216,7 @@ def inside_polygons(
     banded = banded.withColumn("_band", F.explode(steps(F.least("y1", "y2"), F.greatest("y1", "y2"), band)))
     slope_x = F.col("x1") + (F.col(y) - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
     crossing = ((F.col("y1") <= F.col(y)) != (F.col("y2") <= F.col(y))) & (F.col("_px") < slope_x)
-    hits = (
+    return (
         points.join(bounded_broadcast(banded), on)
         .withColumn("_px", px)
         .filter(F.col("_px").between(F.col("_xmin"), F.col("_xmax")) & crossing)
@@ -116,9 +224,7 @@ def inside_polygons(
         .agg(F.count("*").alias("_n"))
         .filter(F.col("_n") % 2 == 1)
         .select(key)
-        .distinct()
     )
-    return stations.join(hits, key, "left_anti" if outside else "left_semi")
 
 
 # ------------------------------------------------------------ observations

@@ -129,3 +129,49 @@ def test_points_in_polygons_at_any_tile_width(spark):
     for tile in (0.7, 5.0, 360.0):
         assert {r.code for r in criteria.inside_polygons(stations, table, tile=tile).collect()} == expected
     assert {r.code for r in criteria.inside_polygons(stations, table, outside=True).collect()} == {c for c, _, _ in points} - expected
+
+
+def test_polygons_are_settled_by_cells(spark, monkeypatch):
+    import math
+    import random
+
+    from cairn.operators import criteria
+
+    rnd = random.Random(11)
+    rings = []
+    for n in range(60):
+        cx, cy, r = rnd.uniform(174, 186), rnd.uniform(-44, -36), rnd.uniform(0.2, 3.0)
+        turn = sorted(rnd.uniform(0, 6.283) for _ in range(rnd.randint(3, 9)))
+        rings.append((n % 40, [(cx + r * math.cos(a), cy + r * math.sin(a)) for a in turn]))
+    rings += [(50, [(176.0, -40.0), (178.0, -40.0), (178.0, -38.0), (176.0, -38.0)]), (51, [(176.0, -40.0), (178.0, -40.0), (178.0, -38.0), (176.0, -38.0)])]
+    edges = [(n, *p, *q) for n, ring in rings for p, q in zip(ring, ring[1:] + ring[:1])]
+    edges += [(60, 183.0, -45.0, 187.0, -35.0), (60, 187.0, -35.0, 180.0, -38.0), (61, None, -45.0, 187.0, -35.0), (61, 187.0, -35.0, 180.0, -38.0)]  # open
+    edges += [(62, -190.0, -46.0, 190.0, -46.0), (62, 190.0, -46.0, 0.0, -44.0), (62, 0.0, -44.0, -190.0, -46.0)]  # round the globe
+    points = [(f"p{i}", rnd.choice([rnd.uniform(173, 180), rnd.uniform(-180, -173), 176.0, 178.0, rnd.uniform(533, 545)]), rnd.choice([rnd.uniform(-47, -35), -40.0, -38.0])) for i in range(1500)]
+    points += [(f"p{i}", x + 1e-3, y) for i, (_, x, y) in enumerate(points[:40])]  # codes that come twice
+    points += [("null", None, -40.0), ("nan", math.nan, -40.0), ("inf", 177.0, math.inf), (None, 177.0, -39.0)]
+
+    odd = {}
+    for c, x, y in points:
+        if c is None or x is None or not (math.isfinite(x) and math.isfinite(y)):
+            continue
+        for n in {e[0] for e in edges}:
+            own = [e[1:] for e in edges if e[0] == n]
+            west, east = min(e[0] for e in own if e[0] is not None), max(e[0] for e in own if e[0] is not None)
+            px = x - 360 * math.floor((x - west) / 360)
+            crossed = sum(x1 is not None and ((y1 <= y) != (y2 <= y)) and px < x1 + (y - y1) * (x2 - x1) / (y2 - y1) for x1, y1, x2, y2 in own)
+            odd[c, n] = odd.get((c, n), 0) + (crossed if west <= px <= east else 0)
+    expected = {c for (c, _), k in odd.items() if k % 2}
+    stations = spark.createDataFrame(points, "code string, lon_deg double, lat_deg double")
+    table = spark.createDataFrame(edges, "poly_id int, x1 double, y1 double, x2 double, y2 double")
+    counted, met = criteria._counted, []
+
+    def plain(p, e, *rest):
+        met.append((p.count(), e.select("poly_id").distinct().count()))
+        return counted(p, e, *rest)
+
+    monkeypatch.setattr(criteria, "_counted", plain)
+    assert {r.code for r in criteria.inside_polygons(stations, table).collect()} == expected
+    assert len(expected) > 300
+    # Only repeated codes and places out of range meet all edges, and the others only those of the polygons without a grid.
+    assert met == [(83, 45), (1460, 3)]
