@@ -39,10 +39,11 @@ def resolve_ends(observations: DataFrame, stations: DataFrame, columns: Sequence
         F.col("code").alias(code), *[F.col(c).alias(f"{end}_{c}") for c in columns]
     )
     if hot_rows is None:
-        out = observations.join(side("f", "from_code"), "from_code")
-        return out.join(side("t", "to_code"), "to_code", "left").filter(
+        # The far end first: observations just joined to their far ends stay where they are.
+        out = observations.join(side("t", "to_code"), "to_code", "left").filter(
             F.col("to_code").isNull() | F.col(f"t_{columns[0]}").isNotNull()
         )
+        return out.join(side("f", "from_code"), "from_code")
     out = salted_join(observations, side("f", "from_code"), ["from_code"], ["obs_key"], hot_rows=hot_rows)
     out = salted_join(out, side("t", "to_code"), ["to_code"], ["obs_key"], how="left", hot_rows=hot_rows)
     return out.filter(F.col("to_code").isNull() | F.col(f"t_{columns[0]}").isNotNull())
