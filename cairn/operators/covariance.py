@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.ellipsoid import LOWER, enu_axes, rotate_covariance
-from cairn.plans.lineage import cut, ensure_checkpoint_dir
+from cairn.plans.lineage import cut, ensure_checkpoint_dir, store
+from cairn.plans.settle import settle
 from cairn.plans.skew import salted_join
 
 SET_LIMIT = 400
@@ -73,16 +74,19 @@ def default_set_blocks(
     Off-diagonal blocks are ``(C_i + C_j - C_ij) / 2``. ``vectors(set_id, i, vec, lon, lat)`` take their axes from the mean
     of the positions involved. The blocks are the set's covariance matrix, and their join is salted by set.
     """
+    # Written once, as both sides of the join and the count of its hot sets read them.
+    vectors = store(vectors.select(set_id, member, "vec", "lon", "lat"))
     own = vectors.withColumn("_c", default_covariance(_length(F.col("vec")), F.col("lon"), F.col("lat"), mm, ppm))
     left = own.select(set_id, F.col(member).alias("i"), F.col("vec").alias("_vi"), F.col("_c").alias("_ci"), F.col("lon").alias("_loi"), F.col("lat").alias("_lai"))
     right = own.select(set_id, F.col(member).alias("j"), F.col("vec").alias("_vj"), F.col("_c").alias("_cj"), F.col("lon").alias("_loj"), F.col("lat").alias("_laj"))
     both = salted_join(left, right, [set_id], ["i"]).filter("i <= j")
     mid_lon, mid_lat = (F.col("_loi") + F.col("_loj")) / 2.0, (F.col("_lai") + F.col("_laj")) / 2.0
-    between = default_covariance(_length(F.col("_vi"), F.col("_vj")), mid_lon, mid_lat, mm, ppm)
-    mixed = F.zip_with(
-        F.zip_with("_ci", "_cj", lambda a, b: a + b), between, lambda s, d: (s - d) / 2.0
-    )
-    return both.select(set_id, "i", "j", F.when(F.col("i") == F.col("j"), F.col("_ci")).otherwise(mixed).alias("cov"))
+    # The length and the axes are met dozens of times in a block, the block itself by whoever takes it apart.
+    both = settle(both.withColumns({"_length": _length(F.col("_vi"), F.col("_vj")), "_lon": mid_lon, "_lat": mid_lat}), ["_length", "_lon", "_lat"])
+    between = default_covariance(F.col("_length"), F.col("_lon"), F.col("_lat"), mm, ppm)
+    both = settle(both.withColumn("_between", between).select(set_id, "i", "j", "_ci", "_cj", "_between"), ["_between"])
+    mixed = F.array(*[(a + b - d) / 2.0 for a, b, d in zip(_six(F.col("_ci")), _six(F.col("_cj")), _six(F.col("_between")))])
+    return settle(both.select(set_id, "i", "j", F.when(F.col("i") == F.col("j"), F.col("_ci")).otherwise(mixed).alias("cov")), ["cov"])
 
 
 def default_point_blocks(

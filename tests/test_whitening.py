@@ -79,3 +79,35 @@ def test_members_without_covariance_are_refused(spark):
         CV.whiten_sets(spark.createDataFrame(rows, ROWS), spark.createDataFrame(b, BLOCKS), limit=4, tile=4)
     nothing = CV.whiten_sets(spark.createDataFrame([], ROWS), spark.createDataFrame([], BLOCKS), limit=4)
     assert nothing.collect() == []
+
+
+def test_default_blocks_read_their_vectors_once(spark):
+    from cairn.functions.ellipsoid import enu_axes, rotate_covariance
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(i):
+        seen.add(1)
+        return [float(i * 100), float(i * i), 7.0]
+
+    vectors = spark.range(1, 5).select(
+        F.lit("S").alias("set_id"), F.col("id").alias("i"), F.udf(mark, "array<double>")("id").alias("vec"), (0.1 * F.col("id")).alias("lon"), F.lit(-0.7).alias("lat")
+    )
+    blocks = CV.default_set_blocks(vectors, (3.0, 3.0, 5.0), (1.0, 1.0, 2.0))
+    found = {(r.i, r.j): r.cov for r in blocks.collect()}
+    assert seen.value == 4
+    assert "zip_with" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+    at = {i: [i * 100.0, i * i * 1.0, 7.0] for i in range(1, 5)}
+
+    def own(v, lon):
+        length = sum(c * c for c in v) ** 0.5
+        var = [m * m * 1e-6 + length * length * p * p * 1e-12 for m, p in ((3.0, 1.0), (3.0, 1.0), (5.0, 2.0))]
+        axes = [[spark.range(1).select(c).first()[0] for c in row] for row in enu_axes(F.lit(lon), F.lit(-0.7))]
+        return rotate_covariance([var[0], 0.0, var[1], 0.0, 0.0, var[2]], [[F.lit(c) for c in row] for row in axes], transpose=True)
+
+    assert sorted(found) == [(i, j) for i in range(1, 5) for j in range(i, 5)]
+    for i, j in ((1, 1), (1, 3), (2, 4)):
+        a, b = own(at[i], 0.1 * i), own(at[j], 0.1 * j)
+        d = own([p - q for p, q in zip(at[i], at[j])], (0.1 * i + 0.1 * j) / 2)
+        wanted = a if i == j else [(p + q - r) / 2.0 for p, q, r in zip(a, b, d)]
+        assert np.allclose(found[i, j], list(spark.range(1).select(*wanted).first()), rtol=1e-9, atol=1e-18)
