@@ -161,19 +161,11 @@ def test_relative_test_forms_only_pairs_of_one_specification(spark):
 def test_observations_at_their_far_ends_are_not_shuffled_for_them_again(spark):
     from cairn.operators import observe
 
-    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
-    before = {n: spark.conf.get(n) for n in names}
-    try:
-        spark.conf.set(names[0], "-1")
-        spark.conf.set(names[1], "false")
-        marks = spark.range(50).selectExpr("concat('C', id) AS code", "double(id) AS lon", "double(id) AS lat")
-        obs = spark.range(300).selectExpr("id AS obs_key", "concat('C', id % 53) AS from_code", "CASE WHEN id % 9 > 0 THEN concat('C', id * 7 % 51) END AS to_code")
-        known = obs.join(marks.selectExpr("code AS to_code", "lat AS there"), "to_code")
-        ends = observe.resolve_ends(known, marks, ["lon", "lat"])
+    mark = spark.range(50).selectExpr("concat('C', id) AS code", "double(id) AS lon", "double(id) AS lat")
+    obs = spark.range(300).selectExpr("id AS obs_key", "concat('C', id % 53) AS from_code", "CASE WHEN id % 9 > 0 THEN concat('C', id * 7 % 51) END AS to_code")
+    with no_small_tables(spark):
+        ends = observe.resolve_ends(obs.join(mark.selectExpr("code AS to_code", "lat AS there"), "to_code"), mark, ["lon", "lat"])
         # Far ends, near ends and the marks for each of the three joins.
-        assert ends._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 5
+        assert plan(ends).count("Exchange hashpartitioning") == 5
         found = {(r.obs_key, r.f_lon, r.t_lat, r.there) for r in ends.collect()}
-    finally:
-        for n, v in before.items():
-            spark.conf.set(n, v)
     assert found == {(i, float(i % 53), float(i * 7 % 51), float(i * 7 % 51)) for i in range(300) if i % 53 < 50 and i % 9 and i * 7 % 51 < 50}
