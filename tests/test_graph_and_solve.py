@@ -108,3 +108,38 @@ def test_set_unknowns_give_one_solution_eliminated_or_kept(spark):
         matrix, rhs, _ = N.split_cells(N.normal_cells(reduced))
         got = {r.param: r.x for r in V.solve(matrix, rhs).collect()}
         assert np.allclose([got[p] for p in names], x, atol=1e-6)
+
+
+def test_network_of_linked_axes_is_dissected(spark):
+    """Stations with few neighbours are sparse although their axes fill many cells; steps of a vector would not tell what is singular."""
+    axes, n = "enu", 60
+    rows = []
+    for i in range(n):
+        rows += [(f"S{i}|{a}", f"S{i}|{b}", 40.0 if a == b else 0.1) for a in axes for b in axes]
+        for j in range(max(0, i - 5), min(n, i + 6)):
+            if i != j:
+                rows += [(f"S{i}|{a}", f"S{j}|{b}", -1.0 if a == b else 0.01) for a in axes for b in axes]
+    matrix = spark.createDataFrame(rows, "row string, col string, value double")
+    rhs = spark.createDataFrame([(f"S{i}|{a}", float(i % 7) - 3.0) for i in range(n) for a in axes], "param string, b double")
+    assert len(rows) > V.SPARSE_CELLS * 3 * n
+    found = {r["param"]: r for r in V.solve(matrix, rhs, limit=10).collect()}
+    names = sorted(found)
+    at = {name: k for k, name in enumerate(names)}
+    a, b = np.zeros((len(names), len(names))), np.zeros(len(names))
+    for row, col, value in rows:
+        a[at[row], at[col]] = value
+    for r in rhs.collect():
+        b[at[r["param"]]] = r["b"]
+    assert np.allclose([found[k]["x"] for k in names], np.linalg.solve(a, b))
+    assert {r["singular"] for r in found.values()} == {False}
+
+
+def test_equations_of_one_split_are_dealt(spark, tables):
+    """A network read as one split does not leave all equations to one task."""
+    from cairn.catalog import network
+    from cairn.operators import adjust as A
+
+    obs = network.observations(tables).coalesce(1)
+    run = A.adjust(obs, network.start(tables).coalesce(1), A.Options(mode="datacheck", max_iterations=1))
+    parts = run.equations.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts >= 4

@@ -60,3 +60,13 @@ def test_values_come_back_from_the_solution(spark):
         own = [i for i, name in enumerate(names) if name.startswith(f"set|{s}|")]
         assert abs(r.value - x[names[k]]) < 1e-9
         assert abs(r.variance - np.linalg.pinv(n[np.ix_(own, own)])[own.index(k), own.index(k)]) < 1e-9
+
+
+def test_sets_reach_python_a_few_at_a_time():
+    """A batch of sets is not taken into Python objects as a whole."""
+    import pyarrow as pa
+
+    seen = []
+    batch = pa.RecordBatch.from_pydict({"set_id": list(range(10 * normal.SET_SLICE + 3))})
+    parts = list(normal._by_slices(lambda b: seen.append(b.num_rows) or b)([batch]))
+    assert max(seen) <= normal.SET_SLICE and sum(p.num_rows for p in parts) == batch.num_rows
