@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ SET_LIMIT = 400
 TILE = 64
 CHUNK = 128
 SALTS = 16
+CALL_BLOCKS = 20_000  # covariance blocks of the sets that share a call
+STACK_CELLS = 2_000_000  # numbers in the matrices that are factored together
 
 
 def _six(cov: Column) -> list[Column]:
@@ -111,48 +115,131 @@ def whiten_sets(rows: DataFrame, blocks: DataFrame, set_id: str = "set_id", limi
     """
     r = rows.select(F.col(set_id).alias("_set"), "i", F.col("component").cast("int").alias("component"), "misclosure", F.col("design").cast(TERMS).alias("design"))
     b = blocks.select(F.col(set_id).alias("_key"), "i", "j", "cov")
-    members = r.groupBy("_set").agg(F.count_distinct("i").alias("_n"))
-    large = cut(members.filter(F.col("_n") > limit).select(F.col("_set").alias("_large")))
+    members = store(r.groupBy("_set").agg(F.count_distinct("i").alias("_n")))
+    n = F.col("_n")
+    blocks = members.agg(F.sum(F.when(n <= limit, n * (n + 1) / 2)).cast("long")).first()[0] or 0
+    large = cut(members.filter(n > limit).select(F.col("_set").alias("_large")))
     if large.isEmpty():
-        return _whiten_dense(r, b, set_id)
+        return _whiten_dense(r, b, set_id, blocks)
     in_r, in_b = F.col("_set").eqNullSafe(F.col("_large")), F.col("_key").eqNullSafe(F.col("_large"))
-    small = _whiten_dense(r.join(large, in_r, "left_anti"), b.join(large, in_b, "left_anti"), set_id)
+    small = _whiten_dense(r.join(large, in_r, "left_anti"), b.join(large, in_b, "left_anti"), set_id, blocks)
     return small.unionByName(whiten_tiled(r.join(large, in_r, "left_semi"), b.join(large, in_b, "left_semi"), set_id, tile))
 
 
 TERMS = "array<struct<param:string,coef:double>>"
 
 
-def _whiten_dense(r: DataFrame, b: DataFrame, set_id: str) -> DataFrame:
-    def whiten(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        members = np.unique(left["i"].to_numpy())
-        at = pd.Index(members)
-        n = 3 * len(members)
-        full = np.zeros((n, n))
-        for i, j, cov in zip(right["i"], right["j"], right["cov"]):
-            p, q = 3 * at.get_loc(i), 3 * at.get_loc(j)
-            for value, (a, c) in zip(cov, LOWER):
-                full[p + a, q + c] = full[p + c, q + a] = value
-                full[q + c, p + a] = full[q + a, p + c] = value
-        lower = np.linalg.cholesky(full)
-        names = sorted({t["param"] for d in left["design"] for t in d})
-        col = {name: k for k, name in enumerate(names)}
-        raw = np.zeros((n, len(names) + 1))
-        for i, comp, mis, design in zip(left["i"], left["component"], left["misclosure"], left["design"]):
-            row = 3 * at.get_loc(i) + comp
-            raw[row, -1] = mis
-            for t in design:
-                raw[row, col[t["param"]]] += t["coef"]
-        white = np.linalg.solve(lower, raw)
-        out = []
-        for k in range(n):
-            design = [{"param": nm, "coef": float(white[k, c])} for nm, c in col.items() if white[k, c] != 0.0]
-            out.append((key[0], int(members[k // 3]), k % 3, float(white[k, -1]), design))
-        return pd.DataFrame(out, columns=[set_id, "i", "component", "misclosure", "design"])
-
+def _codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Both columns as numbers of one dictionary, in which a missing value has a number too."""
+    coded = pa.concat_arrays([c for side in (left, right.cast(left.type)) for c in side.chunks] or [pa.array([], left.type)]).dictionary_encode("encode")
+    numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return numbers[: len(left)], numbers[len(left) :], coded.dictionary
+
+
+def _known(keys: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Places of ``keys`` among the sorted ``seen``, all of which have to be there."""
+    at = np.minimum(np.searchsorted(seen, keys), max(len(seen) - 1, 0))
+    if len(keys) and (not len(seen) or (seen[at] != keys).any()):
+        raise KeyError("a set has covariances of members without equations")
+    return at
+
+
+def _whitener(set_id: str):
+    """The sets of a bucket: those with equally many members are factored together, as one stack of matrices."""
+
+    def whiten(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left["i"].null_count or left["component"].null_count or left["design"].null_count:
+            raise ValueError("equations of a set lack member, component or design")
+        of_row, of_block, sets = _codes(left["_set"], right["_key"])
+        numbers, rank = np.unique(left["i"].to_numpy(), return_inverse=True)
+        width = max(len(numbers), 1)
+        members = np.unique(of_row * width + rank)
+        owner = members // width
+        size = np.bincount(owner, minlength=len(sets))
+        place = np.arange(len(members)) - np.searchsorted(owner, owner)
+        row = 3 * place[np.searchsorted(members, of_row * width + rank)] + left["component"].to_numpy()
+        ends = [place[_known(of_block * width + _known(right[c].to_numpy(), numbers), members)] for c in ("i", "j")]
+        cov = right["cov"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(of_block), len(LOWER))
+
+        design = left["design"].combine_chunks()
+        term_row = np.repeat(np.arange(len(of_row)), pc.list_value_length(design).to_numpy(zero_copy_only=False))
+        param, coef = design.flatten().flatten()
+        if param.null_count:
+            raise ValueError("equations of a set have terms without a name")
+        coded = param.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        by_name = np.empty(len(order), np.int64)
+        by_name[order] = np.arange(len(order))
+        names, wide = coded.dictionary.take(pa.array(order)), max(len(order), 1)
+        of_term = of_row[term_row]
+        key = of_term * wide + by_name[coded.indices.to_numpy()]
+        columns = np.unique(key)
+        column_owner = columns // wide
+        column_at = np.arange(len(columns)) - np.searchsorted(column_owner, column_owner)
+        column = column_at[np.searchsorted(columns, key)]
+        breadth = np.bincount(column_owner, minlength=len(sets))
+
+        # Stacks of sets with as many members, each of a bounded size.
+        stack, slot, shapes, fill = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64), [], STACK_CELLS
+        for one in np.lexsort((breadth, size)):
+            n, m = 3 * int(size[one]), int(breadth[one])
+            if not shapes or shapes[-1][0] != n or (fill + 1) * n * (n + m + 1) > STACK_CELLS:
+                shapes.append([n, m, []])
+                fill = 0
+            shapes[-1][1] = m
+            shapes[-1][2].append(one)
+            stack[one], slot[one], fill = len(shapes) - 1, fill, fill + 1
+
+        def dealt(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            by = np.argsort(stack[of], kind="stable")
+            return by, np.searchsorted(stack[of][by], np.arange(len(shapes) + 1))
+
+        misclosure, value = left["misclosure"].to_numpy(), coef.to_numpy(zero_copy_only=False)
+        rows, blocks, terms, heads = dealt(of_row), dealt(of_block), dealt(of_term), dealt(column_owner)
+        part = lambda pair, k: pair[0][pair[1][k] : pair[1][k + 1]]
+        out: dict[str, list] = {"set": [], "i": [], "component": [], "misclosure": [], "length": [], "param": [], "coef": []}
+        for k, (n, m, ones) in enumerate(shapes):
+            full, raw = np.zeros((len(ones), n, n)), np.zeros((len(ones), n, m + 1))
+            at = part(blocks, k)
+            s, p, q = slot[of_block[at]], 3 * ends[0][at], 3 * ends[1][at]
+            for v, (a, c) in zip(cov[at].T, LOWER):
+                full[s, p + a, q + c] = full[s, p + c, q + a] = v
+                full[s, q + c, p + a] = full[s, q + a, p + c] = v
+            at = part(rows, k)
+            raw[slot[of_row[at]], row[at], m] = misclosure[at]
+            at = part(terms, k)
+            np.add.at(raw, (slot[of_term[at]], row[term_row[at]], column[at]), value[at])
+            white = np.linalg.solve(np.linalg.cholesky(full), raw)
+            at, named = part(heads, k), np.zeros((len(ones), m), np.int64)
+            named[slot[column_owner[at]], column_at[at]] = columns[at] % wide
+            s, r, c = np.nonzero(white[:, :, :m])
+            out["param"].append(named[s, c])
+            out["coef"].append(white[s, r, c])
+            out["length"].append(np.bincount(s * n + r, minlength=len(ones) * n))
+            first = np.searchsorted(owner, ones)
+            out["set"].append(np.repeat(ones, n))
+            out["i"].append(numbers[members[first[:, None] + np.arange(n)[None, :] // 3].ravel() % width] if n else np.zeros(0, np.int64))
+            out["component"].append(np.tile(np.arange(n) % 3, len(ones)))
+            out["misclosure"].append(white[:, :, m].ravel())
+        flat = {c: np.concatenate(v) if v else np.zeros(0) for c, v in out.items()}
+        whole = lambda c: pa.array(flat[c].astype(np.int64))
+        held = pa.StructArray.from_arrays([names.take(whole("param")), pa.array(flat["coef"], pa.float64(), from_pandas=True)], names=["param", "coef"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(flat["length"])]).astype(np.int32)), held)
+        found = [sets.take(whole("set")), whole("i"), whole("component").cast(pa.int32()), pa.array(flat["misclosure"], pa.float64(), from_pandas=True), lists]
+        return pa.Table.from_arrays(found, names=[set_id, "i", "component", "misclosure", "design"])
+
+    return whiten
+
+
+def _whiten_dense(r: DataFrame, b: DataFrame, set_id: str, blocks: int = 0) -> DataFrame:
+    """One matrix per set, many sets to a call; ``blocks`` says how many blocks all sets have."""
+    parts = int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, blocks // CALL_BLOCKS)
+    # By number, as small rows make much work: the planner would put them into one task.
+    deal = lambda df, key: df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).repartition(parts, "_bucket").groupBy("_bucket")
     kind = dict(r.dtypes)["_set"]
-    out = r.groupBy("_set").cogroup(b.groupBy("_key")).applyInPandas(
-        whiten, f"{set_id} {kind}, i long, component int, misclosure double, design {TERMS}"
+    out = deal(r, "_set").cogroup(deal(b, "_key")).applyInArrow(
+        _whitener(set_id), f"`{set_id}` {kind}, i long, component int, misclosure double, design {TERMS}"
     )
     return out.withColumn("weight", F.lit(1.0))
 

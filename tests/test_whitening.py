@@ -111,3 +111,49 @@ def test_default_blocks_read_their_vectors_once(spark):
         d = own([p - q for p, q in zip(at[i], at[j])], (0.1 * i + 0.1 * j) / 2)
         wanted = a if i == j else [(p + q - r) / 2.0 for p, q, r in zip(a, b, d)]
         assert np.allclose(found[i, j], list(spark.range(1).select(*wanted).first()), rtol=1e-9, atol=1e-18)
+
+
+def test_many_sets_share_a_call(spark, monkeypatch):
+    """Hundreds of sets of several sizes, one of them without a name, in as many calls as partitions; each equals its own matrix."""
+    sizes = [(None if s == 7 else f"s{s}", list(range(s % 3, s % 3 + 1 + s % 4))) for s in range(300)]
+    rows, blocks = planted(sizes)
+    calls, made = spark.sparkContext.accumulator(0), CV._whitener
+
+    def counted(set_id):
+        whiten = made(set_id)
+
+        def run(left, right):
+            calls.add(1)
+            return whiten(left, right)
+
+        return run
+
+    monkeypatch.setattr(CV, "_whitener", counted)
+    got = table(CV.whiten_sets(spark.createDataFrame(rows, ROWS), spark.createDataFrame(blocks, BLOCKS)))
+    assert 0 < calls.value <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = {}
+    for name, members in sizes:
+        n = 3 * len(members)
+        full, own = np.zeros((n, n)), [r for r in rows if r[0] == name]
+        for _, i, j, cov in (b for b in blocks if b[0] == name):
+            p, q = 3 * members.index(i), 3 * members.index(j)
+            for v, (a, c) in zip(cov, LOWER):
+                full[p + a, q + c] = full[p + c, q + a] = full[q + c, p + a] = full[q + a, p + c] = v
+        named = sorted({t[0] for r in own for t in r[4]})
+        raw = np.zeros((n, len(named) + 1))
+        for _, i, comp, mis, design in own:
+            at = 3 * members.index(i) + comp
+            raw[at, -1] = mis
+            for param, coef in design:
+                raw[at, named.index(param)] += coef
+        white = np.linalg.solve(np.linalg.cholesky(full), raw)
+        for k in range(n):
+            want[name, members[k // 3], k % 3] = white[k, -1], {p: c for p, c in zip(named, white[k]) if abs(c) > 1e-11}
+    same(got, want)
+
+
+def test_members_without_equations_are_refused(spark):
+    rows, blocks = planted([("a", [1, 2, 3]), ("b", [1, 2])])
+    some = [r for r in rows if r[:2] != ("b", 2)]
+    with pytest.raises(Exception, match="members without equations"):
+        CV.whiten_sets(spark.createDataFrame(some, ROWS), spark.createDataFrame(blocks, BLOCKS)).collect()
