@@ -262,6 +262,7 @@ def adjust(
     history: list[dict] = []
     solution = matrix = equations = comps = names = None
     stats: dict = {}
+    kept: dict = {}
     for number in range(1, options.max_iterations + 1):
         equations = cut(equations_for(observations, now, options, initial, model))
         # The observations name the same unknowns in every iteration.
@@ -272,7 +273,7 @@ def adjust(
         explicit_sets = matrix.filter((F.col("row") == F.col("col")) & F.col("row").startswith("set|")).count()
         # The observations link the same stations in every iteration.
         comps = comps if comps is not None else store(solve.components_of(matrix))
-        solution = store(solve.solve(matrix, rhs, options.dense_limit, comps=comps, stored=True))
+        solution = store(solve.solve(matrix, rhs, options.dense_limit, comps=comps, stored=True, kept=kept))
         totals = solution.join(rhs, "param").agg(
             F.sum(F.col("x") * F.col("b")).alias("bx"), F.count("*").alias("n")
         ).first()

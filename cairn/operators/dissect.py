@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.plans.lineage import cut, store
@@ -30,6 +30,7 @@ FRONT_LIMIT = 6000
 LEAF_ROUNDS = 2
 LAST_LINKS = 512
 PACK_CLUSTERS = 32  # clusters that share a call where there are very many
+SALTED_BYTES = 1 << 29  # of fronts that are repeated for the parts of their clusters
 NULL_PIVOT = 1.0e-10
 NULL_SHARE = 1.0e-4
 
@@ -95,20 +96,28 @@ def _elimination_heights(edges: DataFrame, paths: DataFrame, height: int) -> Dat
     return store(paths.join(top, "unit", "left").select("unit", "path", F.when(hub, height - 1).otherwise(F.coalesce("at", F.lit(0))).cast("int").alias("at")))
 
 
-def _deal(df: DataFrame, clusters: int) -> DataFrame:
-    """``df`` by ``bucket`` of the cluster ``t``: many small clusters share a call, few large ones have one each."""
+def _salts(clusters: int, above: int, front: int, spark: SparkSession) -> int:
+    """Parts into which the clusters below one are dealt, as one that holds hubs has nearly all below it; each part gets its front."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(parts // max(above, 1), clusters // (max(above, 1) * 8 * PACK_CLUSTERS), SALTED_BYTES // max(8 * front * front * above, 1)))
+
+
+def _deal(df: DataFrame, clusters: int, salt: str | None = None) -> DataFrame:
+    """``df`` by ``bucket`` of the cluster ``t``: many small clusters share a call, few large ones have one each, or one a ``salt``."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(8 * parts, clusters // PACK_CLUSTERS)
     bucket = F.col("t") if clusters <= 8 * parts else F.pmod(F.xxhash64("t"), F.lit(buckets))
     # By number, as small rows make much work: the planner would put them into one task.
-    return df.withColumn("bucket", bucket).repartition(parts, "bucket")
+    if salt is None:
+        return df.withColumn("bucket", bucket).repartition(parts, "bucket")
+    return df.withColumn("bucket", F.struct(bucket.alias("of"), F.col(salt).alias("salt"))).drop(salt).repartition(parts, "bucket")
 
 
 def _split(df: pd.DataFrame) -> dict:
     return {t: part for t, part in df.groupby("t", sort=False)} if len(df) else {}
 
 
-def _eliminate(limit: int):
+def _eliminate(limit: int, with_inverse: bool = True):
     def run(cells: pd.DataFrame, kids: pd.DataFrame) -> pd.DataFrame:
         own, held = _split(cells), _split(kids)
         return pd.DataFrame([one(t, own.get(t, cells[:0]), held.get(t, kids[:0])) for t in {**own, **held}], columns=_COLUMNS)
@@ -149,8 +158,9 @@ def _eliminate(limit: int):
         inverse = inverse * scale[:, None] * scale[None, :]
         w, y = inverse @ a[:p, p:], inverse @ b[:p]
         update, rest = a[p:, p:] - a[p:, :p] @ w, b[p:] - a[p:, :p] @ y
-        need = np.unique(np.stack([np.maximum(r, c), np.minimum(r, c)], axis=1), axis=0).astype(np.int32) if len(r) else np.zeros((0, 2), np.int32)
-        return t, pivots, outer, w.tobytes(), inverse.tobytes(), y.tobytes(), scale.tobytes(), nulls.tobytes(), need.tobytes(), update.tobytes(), rest.tobytes(), n
+        pair = np.unique(np.maximum(r, c) * n + np.minimum(r, c)) if with_inverse else np.zeros(0, np.int64)
+        need = np.stack([pair // n, pair % n], axis=1).astype(np.int32)
+        return t, pivots, outer, w.tobytes(), inverse.tobytes() if with_inverse else b"", y.tobytes(), scale.tobytes(), nulls.tobytes(), need.tobytes(), update.tobytes(), rest.tobytes(), n
 
     return run
 
@@ -166,7 +176,7 @@ def _back(row, held: np.ndarray, z: np.ndarray | None, x: np.ndarray, nulls: np.
     at = order[np.searchsorted(held, outer, sorter=order)] if q else np.zeros(0, np.int64)
     xb, nb = x[at], nulls[at]
     nb = nb[:, np.abs(nb).max(axis=0) > 0] if q and nb.shape[1] else np.zeros((q, 0))
-    w, inverse = np.frombuffer(row.w).reshape(p, q), np.frombuffer(row.inv).reshape(p, p)
+    w = np.frombuffer(row.w).reshape(p, q)
     scale, own = np.frombuffer(row.scale), np.frombuffer(row.nulls).reshape(p, -1) if p else np.zeros((0, 0))
     solved = np.concatenate([np.frombuffer(row.y) - w @ xb, xb])
     free = np.block([[own, -w @ nb], [np.zeros((q, own.shape[1])), nb]])
@@ -176,7 +186,7 @@ def _back(row, held: np.ndarray, z: np.ndarray | None, x: np.ndarray, nulls: np.
         none = np.zeros(0)
         return row.own, ids, b"", solved.tobytes(), free.tobytes(), none.astype(np.int64), none.astype(np.int64), none, pivots, solved[:p], loose
     zb = z[np.ix_(at, at)]
-    zpb = -w @ zb
+    zpb, inverse = -w @ zb, np.frombuffer(row.inv).reshape(p, p)
     front = np.block([[inverse - zpb @ w.T, zpb], [zpb.T, zb]])
     i, j = np.frombuffer(row.need, np.int32).reshape(-1, 2).T
     return row.own, ids, front.tobytes(), solved.tobytes(), free.tobytes(), ids[i], ids[j], front[i, j], pivots, solved[:p], loose
@@ -203,6 +213,19 @@ def _down(with_inverse: bool):
     return run
 
 
+@dataclass
+class Plan:
+    """What an elimination owes to the pattern of its cells alone, so that another matrix of the same pattern may go by it.
+
+    ``spots(param, id, at, t)``: number, height and cluster of the elimination; ``plan(unit, path, at)``; clusters by height.
+    """
+
+    spots: DataFrame
+    plan: DataFrame
+    height: int
+    clusters: list[int]
+
+
 @dataclass
 class Dissection:
     """``cells(row, col, value)`` of the inverse, row >= col by number of the parameter, and ``solution(param, x, singular)``."""
@@ -211,55 +234,85 @@ class Dissection:
     solution: DataFrame
     height: int
     largest: int
+    plan: Plan
 
 
-def dissect(matrix: DataFrame, rhs: DataFrame | None = None, wanted: DataFrame | None = None, limit: int | None = None, inverse: bool = True) -> Dissection | None:
+def _planned(cells: DataFrame, params: DataFrame, sparse: int | None) -> Plan | None:
+    """The plan for ``cells(row, col)``; None where more than ``sparse`` cells a parameter and linked units a unit are given."""
+    names = store(params.distinct().withColumn("id", F.monotonically_increasing_id()))
+    numbered = store(names.withColumn("unit_name", unit_of(F.col("param"))))
+    units = numbered.groupBy("unit_name").agg(F.min("id").alias("unit"))
+    numbered = store(numbered.join(units, "unit_name"))
+    units = numbered.select("unit_name", "unit").distinct()
+    linked = cells.select(unit_of(F.col("row")).alias("_ua"), unit_of(F.col("col")).alias("_ub")).filter("_ua <> _ub").distinct()
+    end = lambda c: units.select(F.col("unit_name").alias(f"_u{c}"), F.col("unit").alias(c))
+    one_way = linked.join(end("a"), "_ua").join(end("b"), "_ub").select("a", "b")
+    edges = store(one_way.unionAll(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if sparse is not None:
+        # Both triangles count, and a unit's link to itself.
+        number = numbered.count()
+        if 2 * cells.count() - number > sparse * number:
+            several = units.count()
+            if several == number or edges.count() + several > sparse * several:
+                return None
+    paths, height = _heights(edges, numbered.select("unit").distinct())
+    plan = _elimination_heights(edges, paths, height)
+    own = plan.select("unit", "at", F.element_at("path", F.col("at") + 1).alias("t"))
+    spots = store(numbered.join(own, "unit").select("param", "id", "at", "t"))
+    clusters = list(plan.agg(*[F.count_distinct(F.element_at("path", k + 1)) for k in range(height)]).first())
+    return Plan(spots, plan, height, clusters)
+
+
+def dissect(
+    matrix: DataFrame, rhs: DataFrame | None = None, wanted: DataFrame | None = None, limit: int | None = None, inverse: bool = True,
+    sparse: int | None = None, plan: Plan | None = None,
+) -> Dissection | None:
     """Solve ``matrix(row, col, value)``, both triangles given, and invert it at its own cells and the ``wanted(row, col)`` pairs.
 
     With ``inverse`` off only the solution goes down; ``cells`` is empty.
-    None where a front would hold more than ``limit`` parameters. Undetermined parameters are flagged ``singular``; the solution and
+    None where a front would hold more than ``limit`` parameters, or where the matrix and the graph of its units have more than ``sparse``
+    links each. Undetermined parameters are flagged ``singular``; the solution and
     inverse hold null directions at zero in the separators where they show. Wanted pairs count as links, so many pairs
-    of distant stations make large fronts.
+    of distant stations make large fronts. ``plan`` hands in that of a matrix of the same pattern; where the pattern turns out to
+    be another, it is made anew.
     """
     limit = FRONT_LIMIT if limit is None else limit
-    summed = matrix.groupBy("row", "col").agg(F.sum("value").alias("value"))
-    names = store(matrix.select(F.col("row").alias("param")).distinct().withColumn("id", F.monotonically_increasing_id()))
-    numbered = store(names.withColumn("unit_name", unit_of(F.col("param"))))
-    units = numbered.groupBy("unit_name").agg(F.min("id").alias("unit"))
-    numbered = store(numbered.join(units, "unit_name").select("param", "id", "unit"))
-    end = lambda c, i: numbered.select(F.col("param").alias(c), F.col("id").alias(i), F.col("unit").alias(f"u{i}"))
-    cells = summed.join(end("row", "i"), "row").join(end("col", "j"), "col").filter("i >= j").select("i", "j", "ui", "uj", "value")
+    half = matrix.filter("row >= col").select("row", "col", "value")
     if wanted is not None:
-        both = wanted.select("row", "col").distinct().join(end("row", "i"), "row").join(end("col", "j"), "col")
-        asked = both.select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), F.when(F.col("i") >= F.col("j"), F.col("ui")).otherwise(F.col("uj")).alias("ui"), F.when(F.col("i") >= F.col("j"), F.col("uj")).otherwise(F.col("ui")).alias("uj"), F.lit(0.0).alias("value"))
-        cells = cells.unionByName(asked)
-    cells = store(cells)
-    one_way = cells.filter("ui <> uj").select(F.col("ui").alias("a"), F.col("uj").alias("b"))
-    edges = store(one_way.unionAll(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    paths, height = _heights(edges, numbered.select("unit").distinct())
-    plan = _elimination_heights(edges, paths, height)
+        half = half.unionByName(wanted.select(F.greatest("row", "col").alias("row"), F.least("row", "col").alias("col")).distinct().withColumn("value", F.lit(0.0)))
+    given = plan
+    plan = given or _planned(half, matrix.select(F.col("row").alias("param")), sparse)
+    if plan is None:
+        return None
+    height, clusters = plan.height, plan.clusters
 
     def parents(k: int) -> DataFrame:
-        return plan.select(F.element_at("path", k + 1).alias("t"), F.element_at("path", k + 2).alias("up")).filter("t IS NOT NULL").distinct()
-
-    spot = lambda u: plan.select(F.col("unit").alias(u), F.col("path").alias(f"p{u}"), F.col("at").alias(f"a{u}"))
-    at = F.least("aui", "auj")
-    path = F.when(F.col("aui") <= F.col("auj"), F.col("pui")).otherwise(F.col("puj"))
-    placed = cells.join(spot("ui"), "ui").join(spot("uj"), "uj").select(at.alias("at"), F.element_at(path, at + 1).alias("t"), "i", "j", "value")
+        return plan.plan.select(F.element_at("path", k + 1).alias("t"), F.element_at("path", k + 2).alias("up")).filter("t IS NOT NULL").distinct()
+
+    # A cell belongs to the cluster that eliminates the first of its two parameters.
+    spot = lambda c, e: plan.spots.select(F.col("param").alias(c), F.col("id").alias(f"i{e}"), F.col("at").alias(f"a{e}"), F.col("t").alias(f"t{e}"))
+    placed = half.join(spot("row", 0), "row").join(spot("col", 1), "col").select(
+        F.least("a0", "a1").alias("at"), F.when(F.col("a0") <= F.col("a1"), F.col("t0")).otherwise(F.col("t1")).alias("t"),
+        F.greatest("i0", "i1").alias("i"), F.least("i0", "i1").alias("j"), "value",
+    )
     if rhs is not None:
-        b = rhs.join(numbered, "param").withColumnRenamed("unit", "ui").join(spot("ui"), "ui")
-        placed = placed.unionByName(b.select(F.col("aui").alias("at"), F.element_at("pui", F.col("aui") + 1).alias("t"), F.col("id").alias("i"), F.lit(-1).cast("bigint").alias("j"), F.col("b").alias("value")))
+        placed = placed.unionByName(rhs.join(plan.spots, "param").select("at", "t", F.col("id").alias("i"), F.lit(-1).cast("bigint").alias("j"), F.col("b").alias("value")))
     placed = store(placed)
-    clusters = list(plan.agg(*[F.count_distinct(F.element_at("path", k + 1)) for k in range(height)]).first())
-    factors, kids, largest = [], None, 0
+    if given is not None and placed.count() < half.count() + (0 if rhs is None else rhs.count()):
+        return dissect(matrix, rhs, wanted, limit, inverse, sparse)
+    factors, kids, sizes = [], None, []
     nothing = matrix.sparkSession.createDataFrame([], "t long, outer array<long>, update binary, rest binary")
     for k in range(height):
         own = _deal(placed.filter(F.col("at") == k).select("t", "i", "j", "value"), clusters[k])
         below = _deal(nothing if kids is None else kids, clusters[k])
-        done = cut(own.groupBy("bucket").cogroup(below.groupBy("bucket")).applyInPandas(_eliminate(limit), _FACTOR))
-        largest = max(largest, done.agg(F.max("size")).first()[0] or 0)
-        if largest > limit:
+        done = cut(own.groupBy("bucket").cogroup(below.groupBy("bucket")).applyInPandas(_eliminate(limit, inverse), _FACTOR))
+        most = done.agg(F.max("size").alias("size"), F.max(F.size("outer")).alias("outer")).first()
+        sizes.append(most["size"] or 0)
+        if sizes[-1] > limit:
             return None
+        if given is not None and k + 1 == height and (most["outer"] or 0) > 0:
+            # A link that the plan does not know is left over at the end.
+            return dissect(matrix, rhs, wanted, limit, inverse, sparse)
         if k + 1 < height:
             done = done.join(parents(k), "t")
             kids = done.select(F.col("up").alias("t"), "outer", "update", "rest")
@@ -270,16 +323,20 @@ def dissect(matrix: DataFrame, rhs: DataFrame | None = None, wanted: DataFrame |
     fronts, out = matrix.sparkSession.createDataFrame([], _FRONT), []
     for k, done in reversed(list(enumerate(factors))):
         # Clusters meet the one above, whose inverse is as large as its front: few of those share a call.
-        above = clusters[min(k + 1, height - 1)]
-        keep = _deal(fronts.select("t", "ids", "z", "x", "nulls"), above)
-        own = _deal(done.withColumnsRenamed({"t": "own", "up": "t"}), above)
-        fronts = cut(keep.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInPandas(_down(inverse), _FRONT))
+        up = min(k + 1, height - 1)
+        salts = _salts(clusters[k], clusters[up], sizes[up] if inverse else 0, matrix.sparkSession)
+        own = done.withColumnsRenamed({"t": "own", "up": "t"}).withColumn("salt", F.pmod(F.xxhash64("own"), F.lit(salts)).cast("int"))
+        keep = fronts.select("t", "ids", "z", "x", "nulls").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        fronts = cut(
+            _deal(keep, clusters[up], "salt").groupBy("bucket").cogroup(_deal(own, clusters[up], "salt").groupBy("bucket")).applyInPandas(_down(inverse), _FRONT)
+        )
         out.append(fronts)
     parts = _FRONT_COLUMNS[5:]
     gathered = out[0].select(*parts)
     for more in out[1:]:
         gathered = gathered.unionByName(more.select(*parts))
+    names = plan.spots.select("param", "id")
     name = lambda c: names.select(F.col("param").alias(f"{c}_name"), F.col("id").alias(c))
     cells = gathered.select(F.inline(F.arrays_zip("row", "col", "value"))).join(name("row"), "row").join(name("col"), "col").select(F.col("row_name").alias("row"), F.col("col_name").alias("col"), "value")
     solution = gathered.select(F.inline(F.arrays_zip("id", "solved", "singular"))).join(names, "id").select("param", F.col("solved").alias("x"), "singular")
-    return Dissection(cells, solution, height, largest)
+    return Dissection(cells, solution, height, max(sizes, default=0), plan)

@@ -1,20 +1,24 @@
 """Normal equations from design rows.
 
 Equations are rows with ``misclosure``, ``weight`` and
-``design array<struct<param, coef>>``. Products are formed inside the row, so
-the only shuffle is the summing by cell, and that combines before it shuffles:
-an unknown every observation shares is summed on the map side first.
+``design array<struct<param, coef>>``. Products are formed inside the row and
+summed by cell within Arrow batches, so the only shuffle is the summing by cell
+of what is left: an unknown every observation shares is summed on the map side first.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.plans.lineage import cut
 
+BATCH_PRODUCTS = 2_000_000  # products that a task holds before it sums them
 SET_SLICE = 64  # sets that a task holds as Python objects at a time
 RHS = "="  # stands for the right-hand side among the parameter names; sorts before any code used
 
@@ -236,32 +240,84 @@ def set_block_values(equations: DataFrame, solution: DataFrame, set_id: str = "s
     )
 
 
+def _bordered(batch: pa.RecordBatch) -> tuple:
+    """Names in order, and per equation its terms with the right-hand side first: numbers of the names (-1 where there is none), coefficients, which are given."""
+    design = batch.column("design")
+    param, coef = design.flatten().flatten()
+    coded = pa.concat_arrays([pa.array([RHS], param.type), param]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order) + 1, np.int64)
+    place[order], place[-1] = np.arange(len(order)), -1
+    number = place[pc.fill_null(coded.indices, len(order)).to_numpy()]
+    some = ~np.asarray(design.is_null())
+    length = pc.fill_null(pc.list_value_length(design), 0).to_numpy()[some].astype(np.int64) + 1
+    first = np.cumsum(length) - length
+    inner = np.ones(length.sum(), bool)
+    inner[first] = False
+    names, value, given = np.full(len(inner), number[0]), np.empty(len(inner)), np.ones(len(inner), bool)
+    misclosure = batch.column("misclosure")
+    for at, column in ((first, misclosure.filter(pa.array(some))), (inner, coef)):
+        value[at], given[at] = column.to_numpy(zero_copy_only=False), ~np.asarray(column.is_null())
+    names[inner] = number[1:]
+    return coded.dictionary.take(pa.array(order)), names, value, given, first, length, some
+
+
+def _summed(names: pa.Array, deal: np.ndarray, keys: list, values: list, given: list) -> pa.RecordBatch:
+    """The cells of some equations, each once; one without a given product is null."""
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    value, known = np.concatenate(values), np.concatenate(given)
+    total = np.bincount(at[known], value[known], len(key))
+    empty = np.bincount(at[known], minlength=len(key)) == 0
+    row, col = key // len(names), key % len(names)
+    columns = [names.take(pa.array(row)), names.take(pa.array(col)), pa.array(total, pa.float64(), mask=empty), pa.array(deal[row] * 31 + deal[col])]
+    return pa.RecordBatch.from_arrays(columns, names=_CELL)
+
+
+_CELL = ["row", "col", "value", "deal"]
+
+
+def _deals(names: pa.Array) -> np.ndarray:
+    """A number for the station (or else the whole) of every name: its name without the last part."""
+    return np.array([zlib.crc32(n.rpartition("|")[0].encode() or n.encode()) for n in names.to_pylist()], dtype=np.int64)
+
+
+def _products(batches):
+    """Products of the terms of each equation, summed by cell within a batch."""
+    for batch in batches:
+        names, number, value, given, first, length, some = _bordered(batch)
+        if not some.all():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.float64()), pa.array([0], pa.int64())], names=_CELL)
+        scale = batch.column("weight").filter(pa.array(some))
+        weight, weighed = scale.to_numpy(zero_copy_only=False).astype(float), ~np.asarray(scale.is_null())
+        deal, keys, values, known, held = _deals(names), [], [], [], 0
+        for n in np.unique(length):
+            ones = np.flatnonzero(length == n)
+            step = max(1, BATCH_PRODUCTS // int(n * n))
+            for start in range(0, len(ones), step):
+                eq = ones[start : start + step]
+                at = first[eq][:, None] + np.arange(n)
+                a, v, g = number[at], value[at], given[at] & weighed[eq][:, None]
+                keep = (a[:, None, :] >= a[:, :, None]) & (a[:, :, None] >= 0)
+                keys.append((a[:, :, None] * len(names) + a[:, None, :])[keep])
+                values.append((weight[eq][:, None, None] * v[:, :, None] * v[:, None, :])[keep])
+                known.append((g[:, :, None] & g[:, None, :])[keep])
+                held += len(keys[-1])
+                if held >= BATCH_PRODUCTS:
+                    yield _summed(names, deal, keys, values, known)
+                    keys, values, known, held = [], [], [], 0
+        if held:
+            yield _summed(names, deal, keys, values, known)
+
+
 def normal_cells(equations: DataFrame) -> DataFrame:
     """Lower triangle of the normal matrix bordered by its right-hand side: ``(row, col, value)``.
 
     Cells of row ``=`` are the right-hand side; cell ``(=, =)`` is the weighted square sum of the misclosures.
+    The cells of two stations lie together, for whoever asks which stations are linked.
     """
-    bordered = F.concat(
-        F.array(F.struct(F.lit(RHS).alias("param"), F.col("misclosure").cast("double").alias("coef"))), F.col("design")
-    )
-    products = F.flatten(
-        F.transform(
-            F.col("_d"),
-            lambda a: F.transform(
-                F.filter(F.col("_d"), lambda b: b["param"] >= a["param"]),
-                lambda b: F.struct(
-                    a["param"].alias("row"), b["param"].alias("col"), (F.col("weight") * a["coef"] * b["coef"]).alias("value")
-                ),
-            ),
-        )
-    )
-    return (
-        equations.select("weight", bordered.alias("_d"))
-        # The outer form keeps the planner from copying the design's arithmetic into a filter on its size.
-        .select(F.inline_outer(products))
-        .groupBy("row", "col")
-        .agg(F.sum("value").alias("value"))
-    )
+    rows = equations.select(F.col("misclosure").cast("double").alias("misclosure"), F.col("weight").cast("double").alias("weight"), F.col("design").cast(_TERMS).alias("design"))
+    products = rows.mapInArrow(_products, "row string, col string, value double, deal long")
+    return products.repartition("deal").groupBy("deal", "row", "col").agg(F.sum("value").alias("value")).drop("deal")
 
 
 def split_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.dissect import dissect, unit_of
+from cairn.operators.dissect import dissect
 from cairn.operators.graph import connected_components
 from cairn.plans.lineage import cut, store
 
@@ -181,28 +181,17 @@ def conjugate_gradients(
     return state.select("rhs_id", "param", "x")
 
 
-def _sparse(matrix: DataFrame, params: DataFrame) -> bool:
-    """Whether a matrix, or the graph of its stations, has few links: the axes of linked stations fill small blocks of cells."""
-    number = params.count()
-    if matrix.count() <= SPARSE_CELLS * number:
-        return True
-    units = params.select(unit_of(F.col("param")).alias("unit")).distinct().count()
-    if units == number:
-        return False
-    links = matrix.select(unit_of(F.col("row")).alias("a"), unit_of(F.col("col")).alias("b")).distinct()
-    return links.count() <= SPARSE_CELLS * units
-
-
 def solve(
     matrix: DataFrame, rhs: DataFrame, limit: int = DENSE_LIMIT, tolerance: float = 1.0e-12,
-    comps: DataFrame | None = None, stored: bool = False, direct: bool = True,
+    comps: DataFrame | None = None, stored: bool = False, direct: bool = True, kept: dict | None = None,
 ) -> DataFrame:
     """``(param, x, singular)`` of the normal equations, component by component.
 
     Components above ``limit`` are solved by :func:`~cairn.operators.dissect.dissect` if they are sparse and their fronts
     are small, which suits long thin networks; else (or with ``direct`` off) by conjugate gradients, where ``singular`` is
     null as solving does not tell; :func:`singular_parameters` does. ``stored`` says that the cells already lie in the
-    checkpoint folder; ``comps`` hands in the components of an earlier solution over the same graph.
+    checkpoint folder; ``comps`` hands in the components of an earlier solution over the same graph, and ``kept`` carries the
+    order of its elimination from one call to the next.
     """
     if not stored:
         matrix, rhs = cut(matrix), cut(rhs)
@@ -214,8 +203,10 @@ def solve(
     if large.limit(1).count():
         part = matrix.join(large.withColumnRenamed("param", "row"), "row")
         b = rhs.join(large, "param")
-        split = dissect(part, b, inverse=False) if direct and _sparse(part, large) else None
+        kept = {} if kept is None else kept
+        split = dissect(part, b, inverse=False, sparse=SPARSE_CELLS, plan=kept.get("plan")) if direct else None
         if split is not None:
+            kept["plan"] = split.plan
             return out.unionByName(split.solution)
         cg = conjugate_gradients(part, b.withColumn("rhs_id", F.lit(0).cast("long")), tolerance)
         out = out.unionByName(cg.select("param", "x", F.lit(None).cast("boolean").alias("singular")))

@@ -68,3 +68,40 @@ def test_large_fronts_are_left_to_iteration(spark, monkeypatch):
     got = {r.param: r for r in solve.solve(matrix, rhs, limit=5).collect()}
     assert np.allclose([got[name].x for name in names], np.linalg.solve(a, np.ones(len(a))), rtol=1e-6)
     assert {r.singular for r in got.values()} == {None}
+
+
+def hung(links, n=160):
+    """Pairs of stations that hang together by one unknown only, with ``links`` between further stations."""
+    names = ["distsf|I0", *[f"S{i:03d}|u" for i in range(n)]]
+    a = np.zeros((n + 1, n + 1))
+    for i in range(1, n + 1):
+        a[i, i], a[0, i], a[i, 0] = 9.0 + i % 5, 0.1 * (i % 7) + 0.1, 0.1 * (i % 7) + 0.1
+    for i, j in [(k, k + 1) for k in range(1, n, 2)] + links:
+        a[i, j] = a[j, i] = -1.0 - 0.01 * i
+    a[0, 0] = 1000.0
+    return names, a
+
+
+def test_clusters_below_a_hub_are_dealt_and_a_plan_is_used_again(spark, monkeypatch):
+    """What hangs from one shared unknown goes down in parts; a plan serves the next matrix unless that has links it does not know."""
+    monkeypatch.setattr(dissect, "LAST_LINKS", 0)
+    monkeypatch.setattr(dissect, "HUB_DEGREE", 40)
+    monkeypatch.setattr(dissect, "PACK_CLUSTERS", 1)
+    assert dissect._salts(80, 1, 10, spark) > 1
+    assert dissect._salts(80, 1, 100_000, spark) == 1
+    plan = None
+    for links in ([], [], [(10, 13)]):
+        names, a = hung(links)
+        rows = [(names[i], names[j], float(a[i, j])) for i, j in zip(*np.nonzero(a))]
+        matrix = spark.createDataFrame(rows, "row string, col string, value double")
+        rhs = spark.createDataFrame([(name, float(i % 11) - 4.0) for i, name in enumerate(names)], "param string, b double")
+        found = dissect.dissect(matrix, rhs, plan=plan)
+        x = np.linalg.solve(a, np.arange(len(names)) % 11 - 4.0)
+        got = {r.param: r.x for r in found.solution.collect()}
+        assert np.allclose([got[name] for name in names], x)
+        inverse = np.linalg.inv(a)
+        cells = found.cells.collect()
+        assert len(cells) == (np.count_nonzero(a) + len(names)) // 2
+        assert np.allclose([c.value for c in cells], [inverse[names.index(c.row), names.index(c.col)] for c in cells])
+        assert (found.plan is plan) == (plan is not None and not links)
+        plan = found.plan

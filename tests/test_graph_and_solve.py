@@ -143,3 +143,16 @@ def test_equations_of_one_split_are_dealt(spark, tables):
     run = A.adjust(obs, network.start(tables).coalesce(1), A.Options(mode="datacheck", max_iterations=1))
     parts = run.equations.select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts >= 4
+
+
+def test_cells_are_summed_before_they_leave_python(spark, monkeypatch):
+    """Products are summed by cell in a task, also where they come in several lots; missing values add nothing."""
+    rows = [("s", 0.5, 2.0, [("a|u", 1.0), ("b|u", -1.0)])] * 50 + [("s", None, 1.0, [("a|u", 3.0)]), ("s", 1.0, None, [("c|u", 1.0)]), ("s", 1.0, 1.0, [])]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    want = {("=", "="): 26.0, ("=", "a|u"): 50.0, ("=", "b|u"): -50.0, ("a|u", "a|u"): 109.0, ("a|u", "b|u"): -100.0, ("b|u", "b|u"): 100.0, ("=", "c|u"): None, ("c|u", "c|u"): None}
+    for lot in (2_000_000, 7):
+        monkeypatch.setattr(N, "BATCH_PRODUCTS", lot)
+        assert {(r.row, r.col): r.value for r in N.normal_cells(df).collect()} == want
+    sent = df.select("misclosure", "weight", "design").mapInArrow(N._products, "row string, col string, value double, deal long")
+    monkeypatch.setattr(N, "BATCH_PRODUCTS", 2_000_000)
+    assert df.select("misclosure", "weight", "design").mapInArrow(N._products, sent.schema).count() == len(want)
