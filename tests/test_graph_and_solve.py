@@ -153,6 +153,6 @@ def test_cells_are_summed_before_they_leave_python(spark, monkeypatch):
     for lot in (2_000_000, 7):
         monkeypatch.setattr(N, "BATCH_PRODUCTS", lot)
         assert {(r.row, r.col): r.value for r in N.normal_cells(df).collect()} == want
-    sent = df.select("misclosure", "weight", "design").mapInArrow(N._products, "row string, col string, value double, deal long")
+    sent = df.select("misclosure", "weight", "design").mapInArrow(N._products, "row string, col string, value double")
     monkeypatch.setattr(N, "BATCH_PRODUCTS", 2_000_000)
     assert df.select("misclosure", "weight", "design").mapInArrow(N._products, sent.schema).count() == len(want)
